@@ -65,3 +65,29 @@ def lookup(probe: DataFrame, table: DataFrame, key: str, heavy: DataFrame | None
     hot, rest = flagged.filter("_hot").drop("_hot"), flagged.filter("_hot is null").drop("_hot")
     hot_table = table.join(F.broadcast(heavy), key, "left_semi")
     return hot.join(F.broadcast(hot_table), key, how).unionByName(rest.join(table, key, how))
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[str], n: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over the rows before, in the order of ``order`` within each group, without a task per group.
+
+    Rows are range partitioned, summed within each partition, and lifted by the sums of the partitions before. ``order``
+    must be total within a group.
+    """
+    from pyspark.sql import Window
+
+    ranged, _ = write_table(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(n).over(w), F.lit(0)))
+    parts = ranged.groupBy(*group, "_part").agg(F.sum(n).alias("_sum"))
+    v = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(v), F.lit(0))).drop("_sum")
+    return local.join(parts, [*group, "_part"]).withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the scan has fewer partitions than there are cores (small inputs of few row groups).
+
+    Larger inputs are returned as they are, so what this shuffles is at most one scan partition for each core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
