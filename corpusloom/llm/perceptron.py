@@ -62,6 +62,8 @@ CONFUSIONS = [
     ("n", "ri"), ("n", "u"), ("u", "n"), ("u", "ii"), ("m", "rn"), ("m", "nn"), ("w", "vv"), ("d", "cl"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("ri", "n"), ("fi", "h"), ("k", "lc"),
     ("0", "O"), ("0", "o"), ("1", "l"), ("1", "I"), ("1", "|"), ("1", "!"), ("5", "S"), ("8", "B"), ("2", "Z"), ("6", "b"), ("9", "g"), ("9", "q"),
 ]
+_PAIRS = {(b, a) for a, b in CONFUSIONS if len(b) == 2}
+_TWO = {b for b, _ in _PAIRS}
 
 
 def corrupt(word: str, rng: random.Random, most: int = 2) -> list[tuple[str, str]]:
@@ -142,16 +144,16 @@ class CharacterEditor:
             step = []
             for score, out, at in beam:
                 for y in labels:
-                    if y == c or len(at) < 2 * most:
-                        new = out + y
-                        if y != c or prefixes(new):
-                            if prefixes(new):
-                                step.append((score + s[y] - keep, new, at if y == c else (*at, i)))
+                    if y == "" and not (at and at[-1] == i - 1 and (token[i - 1 : i + 1], out[-1:]) in _PAIRS):
+                        continue  # only the second half of a letter that was read as two goes
+                    new = out + y
+                    if (y == c or y == "" or len(at) < 2 * most) and prefixes(new):
+                        step.append((score + s[y] - keep, new, at if y == c else (*at, i)))
             step.sort(key=lambda x: -x[0])
             beam = step[:width]
             if not beam:
                 return None
         for _, out, at in beam:
-            if at and accept(out) and len({a - j for j, a in enumerate(at)}) <= most:
+            if at and accept(out) and len(at) - sum((token[i - 1 : i + 1] in _TWO and i - 1 in at) for i in at) <= most:
                 return out, list(at)
         return None

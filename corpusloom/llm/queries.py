@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, mixing, ranking, repetition, splitting
+from . import encoding, mixing, ranking, repetition, scans, splitting
 
 
 def _pieces(spark, d):
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_noise(table(spark, d, "chunks"))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.running_text(table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.first_items(ranking.fused_ranking(table(spark, d, "retrieved_chunks")))
 
@@ -58,7 +66,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, d, "documents")).withColumn("share", F.round("share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_ranking, p6_ids, p6_roundtrip, p7_found, p7_shares, p7_records, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_text, p3_found, p3_ranking, p6_ids, p6_roundtrip, p7_found, p7_shares, p7_records, p8_found, p8_shares)}
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(13)"
 ORACLE = {
