@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 
@@ -42,7 +43,7 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column form of ``first_json``: canonical JSON, null where nothing parses."""
     for s in parts:

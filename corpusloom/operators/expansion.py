@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import write_table
+from ..scale import carry_last, write_table
 
 WALKED = ["CROSS_REFERENCES", "AMENDS"]
 
@@ -132,11 +132,22 @@ def admission_mechanism(targets: DataFrame, dist: DataFrame, nodes: DataFrame) -
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """For each point (point_id, key, at) the interval (interval_id, key, a, b) of its key that holds it, else the nearest.
+    """(point_id, interval_id, inside, distance): for each point (point_id, key, at) the interval (interval_id, key, a, b) of its key that holds it, else the nearest.
 
-    Half open; of several that hold it the one that starts last, of equally near ones the one that starts first.
+    Intervals are half open and do not overlap within a key, so the nearest is the last that starts before the point or
+    the first after it; of equally near ones the earlier. Points and starts are sorted together, so no pairs are formed.
+    Keys without intervals, and null positions, give no row.
     """
-    ends = F.least(F.abs(F.col("at") - F.col("a")), F.abs(F.col("at") - F.col("b")))
-    x = points.join(intervals, key).withColumn("inside", (F.col("a") <= F.col("at")) & (F.col("at") < F.col("b"))).withColumn("distance", F.when(F.col("inside"), 0).otherwise(ends))
-    best = x.groupBy("point_id").agg(F.min(F.struct("distance", F.when(F.col("inside"), -F.col("a")).otherwise(F.col("a")).alias("a"), "interval_id", "inside")).alias("m"))
-    return best.select("point_id", "m.interval_id", "m.inside", F.col("m.distance").cast("long").alias("distance"))
+    none = F.lit(None)
+    iv = F.struct("a", "b", "interval_id")
+    p = points.filter(F.col("at").isNotNull()).select(key, F.col("at").cast("long").alias("pos"), F.lit(1).alias("tag"), F.col("point_id").cast("string").alias("point_id"))
+    i = intervals.filter("a is not null and b is not null").select(key, F.col("a").cast("long").alias("pos"), F.lit(0).alias("tag"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "interval_id")
+    x = p.withColumn("iv", none.cast(f"struct<a:bigint,b:bigint,interval_id:{dict(intervals.dtypes)['interval_id']}>")).unionByName(i.select(key, "pos", "tag", none.cast("string").alias("point_id"), iv.alias("iv")))
+    x = carry_last(x, [key], ["pos", "tag"], "iv", "before")
+    x = x.withColumn("_r", -F.col("pos")).withColumn("_t", -F.col("tag"))
+    x = carry_last(x, [key], ["_r", "_t"], "iv", "after").filter("tag = 1")
+    far = lambda c: F.least(F.abs(F.col("pos") - F.col(f"{c}.a")), F.abs(F.col("pos") - F.col(f"{c}.b")))
+    inside = F.coalesce(F.col("pos") < F.col("before.b"), F.lit(False))
+    left = inside | F.col("after").isNull() | F.coalesce(far("before") <= far("after"), F.lit(False))
+    x = x.filter("before is not null or after is not null")
+    return x.select("point_id", F.when(left, F.col("before.interval_id")).otherwise(F.col("after.interval_id")).alias("interval_id"), inside.alias("inside"), F.when(inside, 0).when(left, far("before")).otherwise(far("after")).cast("long").alias("distance"))

@@ -1,9 +1,9 @@
 """All core queries and their SQL."""
 from __future__ import annotations
 
-from . import link_queries
+from . import evaluation_queries, link_queries
 
-MODULES = [link_queries]
+MODULES = [link_queries, evaluation_queries]
 
 
 def queries() -> dict:

@@ -91,3 +91,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def carry_last(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` of the rows up to this one, in the order of ``order`` within each group.
+
+    As ``running_totals``: range partitions, then what the partitions before carry over; no group has to fit one task.
+    """
+    from pyspark.sql import Window
+
+    ranged, _ = write_table(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(w))
+    ends = ranged.filter(F.col(value).isNotNull()).groupBy(*group, "_part").agg(F.max(F.struct(*order, value)).alias("_m"))
+    parts = ranged.select(*group, "_part").distinct().join(ends, [*group, "_part"], "left")
+    v = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_carry", F.last(F.col(f"_m.{value}"), ignorenulls=True).over(v)).drop("_m")
+    return local.join(parts, [*group, "_part"]).withColumn(out, F.coalesce("_local", "_carry")).drop("_part", "_local", "_carry")
