@@ -38,7 +38,7 @@ def publication_date(c: Column) -> Column:
 def definitions(c: Column, most: int = 6) -> Column:
     """Distinct terms that the text defines by 'X means', quoted forms first; 4 to 59 characters."""
     found = F.concat(_all(c, r'(?i)"([^"]+)"\s+means\b', 1), _all(c, r"(?i)'([^']+)'[\s]*means\b", 1), _all(c, r"(?i)‘([^’]+)’\s+means\b", 1), _all(c, r"\b([A-Z][\w\- ]{2,40})\s+means\b", 1))
-    sized = F.filter(F.transform(found, F.trim), lambda x: (F.length(x) > 3) & (F.length(x) < 60))
+    sized = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & (F.length(x) < 60))
     return F.slice(F.array_distinct(sized), 1, most)
 
 
@@ -52,12 +52,12 @@ def table_headers(c: Column, most: int = 3) -> Column:
     """Cells of the lines right above a rule line, joined by ' | '."""
     lines = F.split(c, "\n")
     pairs = F.filter(F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("b")), lambda p: p["b"].rlike(r"^\s*\|[\s\-:|]+\|\s*$") & (F.length(p["a"]) - F.length(F.replace(p["a"], F.lit("|"))) >= 3))
-    cells = lambda a: F.filter(F.transform(F.split(F.btrim(a, F.lit("|")), "\\|"), F.trim), lambda x: x != "")
+    cells = lambda a: F.filter(F.transform(F.split(F.btrim(a, F.lit("|")), "\\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.filter(F.transform(pairs, lambda p: F.array_join(cells(p["a"]), " | ")), lambda x: x != ""), 1, most)
 
 
 def headings(c: Column, most: int = 10) -> Column:
-    return F.slice(F.transform(_all(c, _m(r"^#{1,6}[ \t]+(.+)$"), 1), F.trim), 1, most)
+    return F.slice(F.transform(_all(c, _m(r"^#{1,6}[ \t]+(.+)$"), 1), lambda x: F.trim(x)), 1, most)
 
 
 def numbered_items(c: Column, most: int = 10) -> Column:
@@ -198,7 +198,7 @@ def clean_html(c: Column) -> Column:
     x = text_or_empty(c)
     for pattern, to in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)<p\b[^>]*>", ""), (r"(?i)</p>", "\n"), (r"(?i)<li\b[^>]*>", "- "), (r"(?i)</li>", "\n"), (r"<[^>]+>", "")):
         x = F.regexp_replace(x, pattern, to)
-    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(to))
     return F.btrim(F.regexp_replace(x, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))
 
@@ -249,4 +249,4 @@ def lenient_match(found: Column, expected: Column) -> Column:
 
 def obligation_sentences(c: Column) -> Column:
     """Sentences of 61 to 599 characters that say shall or must."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s).between(61, 599) & s.rlike("(?i)shall|must"))
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: F.length(s).between(61, 599) & s.rlike("(?i)shall|must"))

@@ -27,7 +27,7 @@ def _hop(src, kind, dst):
 
 
 def candidates(edges: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(family, order_key, question, target, path) of every family, from edges (src, dst, kind, edge_ord), nodes (node_id, kind, title, term) and chunks (lineage_id, node_type)."""
+    """(family, order_key, question, target, path) of every family, from edges (src, dst, kind, edge_ord), nodes (node_id, kind, title, term) and chunks (lineage_id, node_type). Targets without a record are no candidates."""
     e = edges.filter("src is not null and dst is not null")
     src, dst, kind = F.col("src"), F.col("dst"), F.col("kind")
     pad = F.lpad(F.col("edge_ord").cast("string"), 20, "0")
@@ -51,7 +51,7 @@ def candidates(edges: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFra
     out = single.select(_COLS)
     for x in (non_rel, one, two, direction, temporal, wrong, multi):
         out = out.unionByName(x.select(_COLS))
-    return out
+    return out.join(nodes.select(F.col("node_id").alias("target")).distinct(), "target", "left_semi").select(_COLS)
 
 
 def allocate(cands: DataFrame, quotas: dict[str, int], used: list[str] = (), prefix: str = "q") -> DataFrame:

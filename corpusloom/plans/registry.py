@@ -1,9 +1,9 @@
 """All core queries and their SQL."""
 from __future__ import annotations
 
-from . import evaluation_queries, link_queries
+from . import evaluation_queries, graph_queries, link_queries, text_queries
 
-MODULES = [link_queries, evaluation_queries]
+MODULES = [link_queries, evaluation_queries, graph_queries, text_queries]
 
 
 def queries() -> dict:
