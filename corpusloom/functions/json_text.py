@@ -54,11 +54,12 @@ def verdict(answer: Column) -> Column:
     """Struct of a judge's verdict: score 1 to 5, correct, confidence 0 to 1, claims, unsupported_rate (null without claims)."""
     j = extract_json(answer)
     text = lambda k: F.get_json_object(j, f"$.{k}")
-    whole = lambda k: F.greatest(F.lit(1), F.least(F.lit(5), F.round(text(k).try_cast("double")).cast("int")))
+    number = lambda k: text(k).try_cast("double")
+    within = lambda k, a, b: F.when(number(k).isNotNull(), F.greatest(F.lit(a), F.least(F.lit(b), number(k))))
     low = F.lower(F.trim(text("correct")))
     claims = F.slice(F.filter(F.from_json(text("claims"), "array<struct<claim:string,supported:boolean>>"), lambda x: F.length(F.trim(x["claim"])) > 0), 1, 10)
     wrong = F.size(F.filter(claims, lambda x: ~F.coalesce(x["supported"], F.lit(True))))
     return F.struct(
-        whole("score").alias("score"), F.when(low.isin("true", "t", "1", "yes"), True).when(low.isNotNull(), False).alias("correct"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), text("confidence").try_cast("double"))).alias("confidence"),
+        F.round(within("score", 1.0, 5.0)).cast("int").alias("score"), F.when(low.isin("true", "t", "1", "yes"), True).when(low.isNotNull(), False).alias("correct"),
+        within("confidence", 0.0, 1.0).alias("confidence"),
         claims.alias("claims"), F.when(F.size(claims) > 0, wrong / F.size(claims)).alias("unsupported_rate"))

@@ -139,7 +139,7 @@ def pair_compare(metrics: DataFrame, a: str, b: str) -> DataFrame:
 def table_by_k(means: DataFrame, metrics: list[str]) -> DataFrame:
     """Report table: a row per (system, k), a column per metric, three decimals, 'n/a' where undefined."""
     x = means.groupBy("system", "k").pivot("metric", metrics).agg(F.first("mean"))
-    return x.select("system", "k", *[F.coalesce(F.format_string("%.3f", F.col(m)), F.lit("n/a")).alias(m) for m in metrics])
+    return x.select("system", "k", *[F.when(F.col(m).isNotNull(), F.format_string("%.3f", F.col(m))).otherwise("n/a").alias(m) for m in metrics])
 
 
 def deltas(means: DataFrame, base: str) -> DataFrame:
