@@ -38,10 +38,14 @@ def word_encoder(file: str):
 
 
 def positions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (row_id, other columns, pos, word) of the words of each text; a text without words gives one row with null word."""
+    """Rows (row_id, other columns, pos, word) of the words of each text; a text without words gives one row with null word.
+
+    A text with characters that the JVM's Unicode tables do not know stays one word, which the encoder splits itself.
+    """
     keep = [c for c in docs.columns if c != text]
     x = spread(docs).withColumn("row_id", F.monotonically_increasing_id())
-    return x.select("row_id", *keep, F.posexplode_outer(F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))).alias("pos", "word"))
+    words = F.when(F.col(text).rlike("\\p{Cn}"), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0)))
+    return x.select("row_id", *keep, F.posexplode_outer(words).alias("pos", "word"))
 
 
 def word_table(words: DataFrame, file: str) -> DataFrame:
