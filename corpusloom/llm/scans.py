@@ -89,23 +89,23 @@ class LineTagger:
         self.model = Perceptron()
         self.common = frozenset(common)  # the commonest words, of which titles have few
 
-    def page_facts(self, lines: list[str], near: dict[int, Zone]) -> list[tuple[int, list[str]]]:
-        """(line index, features that do not depend on other tags) of the lines that are not blank."""
+    def page_facts(self, lines: list[str], near: dict[int, Zone]):
+        """(line index, number, note, edge, features) of the lines that are not blank; features are a function, as most lines need none."""
         nb = [i for i, x in enumerate(lines) if x.strip()]
         width = sorted(len(lines[i]) for i in nb)[int(len(nb) * 0.8)] if nb else 0
         text = "\n".join(lines)
         edges = {k: [skeleton(x) for x in z.top + z.foot] for k, z in near.items()}
         values = {k: {v for x in z.top + z.foot if (v := number_value(x)) is not None} for k, z in near.items()}
-        out = []
-        for k, i in enumerate(nb):
+
+        def features(k: int, v: int | None, m) -> list[str]:
+            i = nb[k]
             line, s = lines[i], lines[i].strip()
             up, down = min(k, 3), min(len(nb) - 1 - k, 9)
             edge = "top" if up < 2 else "foot" if down < 3 else "mid"
             f = [f"up{up}", f"down{min(down, 4)}", f"edge{edge}"]
-            v = number_value(line) if len(s) <= 20 else None
             if v is not None:
                 agree = sum(v + d in values[d] for d in values)
-                f += [f"num{edge}", f"num{up}.{min(down, 3)}", f"agree{min(agree, 2)}/{min(len(near), 2)}", f"agree{min(agree, 2)}{edge}", f"plain{s.isdigit()}{edge}", f"plain{s.isdigit()}{min(agree, 2)}"]
+                f += [f"num{edge}", f"num{up}.{min(down, 3)}", f"agree{min(agree, 2)}/{min(len(near), 2)}", f"agree{min(agree, 2)}{edge}", f"agree{min(agree, 2)}/{min(len(near), 4)}{s.isdigit()}", f"plain{s.isdigit()}{edge}", f"plain{s.isdigit()}{min(agree, 2)}"]
                 # nearer to the edge there may be a number of the same form
                 outer = nb[:k] if up < 2 else nb[k + 1 :]
                 f.append(f"outer{any(number_value(lines[j]) is not None for j in outer[-3:] if len(lines[j].strip()) <= 20) if edge != 'mid' else 'mid'}")
@@ -122,15 +122,19 @@ class LineTagger:
             words = re.findall(r"[a-z]+", s.lower())
             plain = sum(w in self.common for w in words)
             f += [f"common{min(plain, 3)}{edge}", f"common{min(plain, 3)}{title}{many > 0}{edge}", f"ends{bool(words) and words[-1] in self.common}{edge}", f"starts{bool(words) and words[0] in self.common}{title}{edge}"]
-            f += [f"like{int(best * 5)}{edge}", f"many{min(many, 2)}{edge}", f"title{title}{edge}", f"title{title}{edge}{many > 0}", f"title{title}{edge}{gap_below}{gap_above}", f"title{title}{up}{lower_next}", f"upper{s.isupper() and v is None}{edge}", f"slash{' / ' in s}{title}{edge}", f"stop{stop}{edge}", f"side{side}{edge}{title}"]
-            m = _NOTE.match(line)
+            f += [f"like{int(best * 5)}{edge}", f"many{min(many, 2)}{edge}", f"title{title}{edge}", f"title{title}{edge}{many > 0}", f"title{title}{edge}{gap_below}{gap_above}", f"title{title}{up}{lower_next}", f"lone{many > 0}{min(len(near), 3)}{title}{edge}", f"upper{s.isupper() and v is None}{edge}", f"slash{' / ' in s}{title}{edge}", f"stop{stop}{edge}", f"side{side}{edge}{title}"]
             if m:
                 mark = m[1] or m[2] or m[3]
                 cited = len(re.findall(rf"(?<=\S)\s?[(\[]{mark}[)\]]", text)) > 0
                 f += ["note", f"note{cited}", f"note{down < 9}", f"note{cited}{gap_above}", f"noteafter{edge}"]
             f += [f"indent{min(len(line) - len(line.lstrip()), 4)}", f"gap{gap_above}{min(down, 4)}"]
-            out.append((i, f))
-        return out
+            return f
+
+        for k, i in enumerate(nb):
+            s = lines[i].strip()
+            v = number_value(lines[i]) if len(s) <= 20 else None
+            m = _NOTE.match(lines[i])
+            yield i, v is not None, m is not None, k < 3 or k >= len(nb) - 4, (lambda k=k, v=v, m=m: features(k, v, m))
 
     @staticmethod
     def with_past(f: list[str], before: str, gap: bool) -> list[str]:
@@ -140,32 +144,34 @@ class LineTagger:
         return f + ["b" + x, "b" + x + note + num, "b" + x + f[1]]
 
     @staticmethod
-    def possible(f: list[str], before: str, gap: bool) -> list[str]:
-        """Tags that a line can have: a page number is a number, a title is none, a note has a mark or goes on from one."""
-        number = any(y.startswith("agree") for y in f)
-        note = "note" in f or (before == "footnote" and not gap and not number)
-        return ["body"] + (["page_number"] if number else ["header"]) + (["footnote"] if note else [])
+    def possible(number: bool, note: bool, edge: bool, before: str, gap: bool) -> list[str]:
+        """Tags that a line can have: numbers and titles stand near the page's edges, a note has a mark or goes on from one."""
+        note = note or (before == "footnote" and not gap and not number)
+        return ["body"] + (["page_number" if number else "header"] if edge else []) + (["footnote"] if note else [])
 
     def tag(self, lines: list[str], near: dict[int, Zone]) -> dict[int, str]:
         out: dict[int, str] = {}
         before, last = "start", -1
-        for i, f in self.page_facts(lines, near):
-            gap = i - last > 1
-            before = self.model.best(self.with_past(f, before, gap), self.possible(f, before, gap))
+        for i, number, note, edge, features in self.page_facts(lines, near):
+            tags = self.possible(number, note, edge, before, i - last > 1)
+            before = self.model.best(self.with_past(features(), before, i - last > 1), tags) if len(tags) > 1 else "body"
             out[i], last = before, i
         return out
 
     def train(self, pages: list[tuple[list[str], dict[int, Zone], dict[int, str]]], rounds: int = 5, seed: int = 3) -> "LineTagger":
         rng = random.Random(seed)
-        facts = [(self.page_facts(lines, near), tags) for lines, near, tags in pages]
+        facts = [([(i, number, note, edge, features() if edge or note or tags[i] == "footnote" else None) for i, number, note, edge, features in self.page_facts(lines, near)], tags) for lines, near, tags in pages]
         for r in range(rounds):
             rng.shuffle(facts)
             for page, tags in facts:
                 before, last = "start", -1
-                for i, f in page:
-                    x = self.with_past(f, before, i - last > 1)
-                    guess = self.model.best(x, self.possible(f, before, i - last > 1))
-                    self.model.update(tags[i], guess, x)
+                for i, number, note, edge, f in page:
+                    can = self.possible(number, note, edge, before, i - last > 1)
+                    guess = "body"
+                    if f is not None and len(can) > 1:
+                        x = self.with_past(f, before, i - last > 1)
+                        guess = self.model.best(x, can)
+                        self.model.update(tags[i], guess, x)
                     before, last = (tags[i] if r < 2 else guess), i
         self.model.average()
         return self
@@ -304,6 +310,7 @@ class Repairer:
     def __init__(self, lex: dict[str, int], tagger: LineTagger, joiner: LineJoiner, editor: CharacterEditor):
         self.lex, self.tagger, self.joiner, self.editor = lex, tagger, joiner, editor
         self.memo: dict[str, tuple[str, list[int]] | None] = {}
+        self.known: dict[str, list[tuple[str, int]]] = {}
         self.prefixes: set[str] | None = None
 
     def fix(self, word: str) -> tuple[str, list[int]] | None:
@@ -328,6 +335,15 @@ class Repairer:
         return out
 
     def parts(self, token: str) -> list[tuple[str, int]]:
+        """``unknown_parts`` of a token, remembered."""
+        out = self.known.get(token)
+        if out is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            out = self.known[token] = self.unknown_parts(token)
+        return out
+
+    def unknown_parts(self, token: str) -> list[tuple[str, int]]:
         """Words and numbers of a token that are to be known, with their places; list marks, note marks and known words are left out."""
         if _ENUM.match(token):
             return []
