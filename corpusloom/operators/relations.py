@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..scale import spread, write_table
 from .structure import article_heads, table_blocks
 
 _MENTION, _MORE = re.compile(fixed.ARTICLE_MENTION), re.compile(fixed.LIST_GOES_ON)
@@ -108,7 +109,7 @@ def mentions(docs: DataFrame, whole_lists: bool = True) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([r for d, t in zip(pdf["doc_id"], pdf["text"]) if t for r in mentions_of(d, t, whole_lists)], columns=["doc_id", "kind", "host", "ref", "instrument", "char_offset", "snippet", "build_order"])
 
-    return docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, MENTIONS)
+    return spread(docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, MENTIONS)
 
 
 def instrument_index(docs: DataFrame, number: str = "instrument") -> DataFrame:
@@ -145,7 +146,7 @@ def resolve(found: DataFrame, articles: DataFrame, index: DataFrame) -> DataFram
 
 def build_graph(docs: DataFrame, whole_lists: bool = True) -> DataFrame:
     """Edges of a corpus (doc_id, text, instrument), see ``resolve``."""
-    found = mentions(docs, whole_lists)
+    found, _ = write_table(mentions(docs, whole_lists), "mentions")  # texts are searched once
     articles = found.filter("kind = 'PART_OF'").select(F.col("host").alias("lineage_id"))
     return resolve(found, articles, instrument_index(docs))
 

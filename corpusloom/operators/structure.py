@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..scale import spread
 
 #: Characters: longest article chunk, shortest chunk that stands alone, longest packed sentence chunk.
 MAX_ARTICLE, MIN_CHUNK, MAX_SENTENCES = 8000, 200, 1200
@@ -99,7 +100,7 @@ def structure_marks(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "mark", "number", "title", "level", "span_start", "span_end", "n_rows", "n_cols"])
             yield out.astype({k: "Int32" for k in ("level", "span_start", "span_end", "n_rows", "n_cols")})
 
-    return docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, MARKS)
+    return spread(docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, MARKS)
 
 
 def structure_map(docs: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def chunk_documents(docs: DataFrame, drop_oversize: bool = False, by_offset: boo
                     rows.append((p["lineage"], d, p["node"], p["kind"], s, p["start"], p["end"], chapters[k][1] if k >= 0 else None, len(s) < MIN_CHUNK, p["absorbed"]))
             yield pd.DataFrame(rows, columns=["lineage_id", "doc_id", "node_id", "node_type", "text", "span_start", "span_end", "chapter", "thin", "absorbed"])
 
-    return docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, CHUNKS)
+    return spread(docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, CHUNKS)
 
 
 def recover_oversized(tree: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
