@@ -312,6 +312,7 @@ class Repairer:
         self.memo: dict[str, tuple[str, list[int]] | None] = {}
         self.known: dict[str, list[tuple[str, int]]] = {}
         self.prefixes: set[str] | None = None
+        self._heads: set[str] | None = None
 
     def fix(self, word: str) -> tuple[str, list[int]] | None:
         """(right form, places of wrong characters) of a word that no lexicon has, or None if no edit leads to a known word."""
@@ -334,6 +335,12 @@ class Repairer:
         self.memo[word] = out
         return out
 
+    def heads(self) -> set[str]:
+        """First parts of the lexicon's hyphenated words."""
+        if self._heads is None:
+            self._heads = {w.rsplit("-", 1)[0].rsplit("-", 1)[-1] for w in self.lex if "-" in w}
+        return self._heads
+
     def parts(self, token: str) -> list[tuple[str, int]]:
         """``unknown_parts`` of a token, remembered."""
         out = self.known.get(token)
@@ -418,6 +425,8 @@ class Repairer:
                 elif got[0] == "hyphen" and choice[0] == "open":
                     choice = got
             op, places, cut = choice
+            if op == "open" and n + 1 == len(body) and e[0].isalpha() and e[0] not in self.heads():
+                op = "join"  # what follows cannot be read; half a word is left, and no compound begins with it
             if op == "join":
                 found.append((i + 1, "hyphen"))
                 skip.add((i, "last"))

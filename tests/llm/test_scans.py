@@ -62,6 +62,9 @@ def test_page(repairer):
     nxt = scans.Zone.of("ce within nine days of receipt of the market\noperator.")
     assert (1, "hyphen") in repairer.page(end, {1: nxt})[0]
     assert not [x for x in repairer.page("ce within nine days of receipt of the market\noperator.", {-1: scans.Zone.of(end)})[0] if x[1] == "misread"]
+    # nothing to be read behind it: half a word is noise, the first part of a compound is not
+    assert (1, "hyphen") in repairer.page("The market operator shall publish the noti-", {})[0]
+    assert not [x for x in repairer.page("The market operator shall publish the cross-", {})[0] if x[1] == "hyphen"]
     long_ = "\n".join(["The market operator shall publish the notice."] * 20_000)
     assert len(repairer.page(long_, {})[1]) == 1
 
