@@ -236,6 +236,15 @@ def weaken(c: Column) -> Column:
     return F.when(F.locate("shall", c) > 0, first("shall", "may")).when(F.locate("must", c) > 0, first("must", "should"))
 
 
+def change_number(c: Column, double: bool = False) -> Column:
+    """A statement with its first number before a unit halved or doubled (half to even); null without one."""
+    p = r"(\d+)(\s*(?:%|per\s+cent|days?|months?|years?|hours?|weeks?|units?|megawatts?|[kMG]W))"
+    whole, number = F.regexp_extract(c, p, 0), F.regexp_extract(c, p, 1)
+    new = F.bround(number.cast("double") * (2.0 if double else 0.5), 0).cast("long").cast("string")
+    at = F.call_function('locate', whole, c)
+    return F.when(whole != "", F.concat(F.substring(c, F.lit(1), at - 1), new, F.regexp_extract(c, p, 2), F.substring(c, at + F.length(whole), F.length(c))))
+
+
 def closeness(a: Column, b: Column) -> Column:
     """1 - |a - b| / max(1, b), within [0, 1]; 1 without an expected value."""
     return F.when(b.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.coalesce(a, F.lit(0)) - b) / F.greatest(F.lit(1), b))))

@@ -151,6 +151,19 @@ def build_graph(docs: DataFrame, whole_lists: bool = True) -> DataFrame:
     return resolve(found, articles, instrument_index(docs))
 
 
+def graph_nodes(docs: DataFrame, edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """(lineage_id, kind, doc_id, title, term): nodes of the documents' trees and of all ends of edges, one row per key, the first source wins."""
+    none = F.lit(None).cast("string")
+    a = tree.filter("node_type in ('document', 'preamble', 'article')").select("lineage_id", F.col("node_type").alias("kind"), "doc_id", "title", none.alias("term"), F.lit(0).alias("prio"))
+    ends = edges.select(F.col("src").alias("lineage_id")).unionByName(edges.select(F.col("dst").alias("lineage_id"))).distinct()
+    last = F.element_at(F.split("lineage_id", ":"), -1)
+    kind = (F.when(F.col("lineage_id").startswith("ext:article:"), "external_article").when(F.col("lineage_id").startswith("ext:"), "external_document").when(F.col("lineage_id").startswith("corpus:"), "entity")
+            .when(F.col("lineage_id").contains(":term:"), "term").when(F.col("lineage_id").contains(":article:"), "article").when(F.col("lineage_id").endswith(":preamble"), "preamble").otherwise("document"))
+    b = ends.select("lineage_id", kind.alias("kind"), T.doc_of(F.col("lineage_id")).alias("doc_id"), none.alias("title"), F.when(kind.isin("term", "entity"), last).alias("term"), F.lit(1).alias("prio"))
+    first = a.unionByName(b).groupBy("lineage_id").agg(F.min(F.struct("prio", "kind", "doc_id", "title", "term")).alias("m"))
+    return first.select("lineage_id", "m.kind", "m.doc_id", "m.title", "m.term")
+
+
 def first_wins(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the first by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)

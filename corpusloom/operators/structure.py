@@ -279,3 +279,16 @@ def fold_islands(chunks: DataFrame, least: int = MIN_CHUNK) -> DataFrame:
     x = chunks.withColumn("_big", (F.length(F.coalesce("text", F.lit(""))) >= least).cast("int"))
     x = x.withColumn("island", F.greatest(F.sum("_big").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1)))
     return x.groupBy("doc_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.when(F.col("_big") == 0, F.col("lineage_id")))).alias("absorbed"))
+
+
+def coverage_audit(maps: DataFrame, truth: DataFrame) -> DataFrame:
+    """(doc_id, articles, chapters, tables, instrument, date, coverage): how far structure maps meet what is expected of them.
+
+    ``truth``: doc_id, articles, chapters, tables (counts), instrument, publication_date; a null expectation is met.
+    ``coverage`` is the mean of the five.
+    """
+    x = truth.select("doc_id", *[F.col(c).alias(f"t_{c}") for c in ("articles", "chapters", "tables", "instrument", "publication_date")]).join(maps, "doc_id", "left")
+    near = lambda c: T.closeness(F.col(c), F.col(f"t_{c}"))
+    same = lambda c: T.lenient_match(F.col(c), F.col(f"t_{c}"))
+    x = x.select("doc_id", near("articles").alias("articles"), near("chapters").alias("chapters"), near("tables").alias("tables"), same("instrument").alias("instrument"), same("publication_date").alias("date"))
+    return x.withColumn("coverage", F.round((F.col("articles") + F.col("chapters") + F.col("tables") + F.col("instrument") + F.col("date")) / 5, 6))

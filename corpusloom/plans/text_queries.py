@@ -13,6 +13,7 @@ from ..operators import models
 from ..operators import relations as rel
 from ..operators import retrieval as rt
 from ..operators import structure as st
+from ..operators.modes import MODES, Retriever
 from ..sources import readers, sinks
 from ..streaming import incremental as inc
 from ..session import table
@@ -64,6 +65,39 @@ def bm25_recall(s, d):
     return ev.aggregate(ev.metrics_at_k(_bm25(s, d, 20).withColumnRenamed("method", "system"), gold, gold.select("query_id")))
 
 
+def _retriever(s, d):
+    return Retriever(c.clean_chunks(s, d), c.nodes(s, d), c.edges(s, d))
+
+
+def _mode(mode):
+    def run(s, d):
+        x = _retriever(s, d).retrieve(_title_queries(s, d).select("query_id", "text"), mode)
+        return x.withColumn("source_methods", F.array_join("source_methods", "|"))
+
+    run.__name__ = f"retrieve_{mode}"
+    return run
+
+
+def rag_contexts(s, d):
+    return _retriever(s, d).answer_contexts(_title_queries(s, d).select("query_id", "text"))
+
+
+def text_graph_nodes(s, d):
+    docs = _docs(s, d)
+    return rel.graph_nodes(docs, rel.build_graph(docs), st.syntax_tree(docs)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def coverage_audit(s, d):
+    docs = _docs(s, d)
+    truth = docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("doc_id"), F.size(T.article_numbers(F.col("text"))).alias("articles"), F.lit(None).cast("int").alias("chapters"), T.table_count(F.col("text")).alias("tables"), F.col("instrument"), F.lit(None).cast("string").alias("publication_date"))
+    return st.coverage_audit(st.structure_map(docs), truth)
+
+
+def changed_numbers(s, d):
+    x = table(s, d, "graph_edges").filter("snippet is not null").select("snippet").distinct()
+    return x.select("snippet", T.change_number(F.col("snippet")).alias("changed")).filter("changed is not null")
+
+
 def _dense(s, d, k=10):
     e = table(s, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -228,7 +262,7 @@ def event_sessions(s, d):
     return inc.sessions(table(s, d, "events")).groupBy("user").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (text_features, table_features, document_titles, search_terms, bm25_topk, bm25_recall, dense_topk, dense_label_metrics, vector_cosine, html_clean, window_samples, line_offsets, structure_marks, recital_counts, structure_map, strategy_mix, syntax_tree, document_chunks, recovered_articles, span_overlap_check, thin_fold_islands, chunk_summary, nearest_interval, answer_scores, parser_scores, node_labels, lineage_parts, graph_from_text, cross_references_from_text, obligation_sentences, weakened_obligations, scenario_pairs, page_flags, row_fingerprint, answer_prompts, missing_embeddings, query_segments, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (text_features, table_features, document_titles, search_terms, bm25_topk, bm25_recall, dense_topk, dense_label_metrics, vector_cosine, html_clean, window_samples, line_offsets, structure_marks, recital_counts, structure_map, strategy_mix, syntax_tree, document_chunks, recovered_articles, span_overlap_check, thin_fold_islands, chunk_summary, nearest_interval, answer_scores, parser_scores, node_labels, lineage_parts, graph_from_text, cross_references_from_text, obligation_sentences, weakened_obligations, scenario_pairs, page_flags, row_fingerprint, answer_prompts, missing_embeddings, query_segments, event_windows, event_sessions, rag_contexts, text_graph_nodes, coverage_audit, changed_numbers, *map(_mode, MODES))}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(fixed.STOP_WORDS))) + "]"
 _TOK = f"list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(translate(coalesce({{0}}, ''), chr(1) || chr(2), '  '), '(' || '\\b\\d{{{{4}}}}/\\d{{{{2,5}}}}(?:/\\w{{{{2,3}}}})?\\b|\\b[A-Z][A-Z0-9]{{{{1,}}}}\\b' || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1) || '[^' || chr(2) || ']+' || chr(2) || '|[A-Za-z]+|\\d+'), lambda t: CASE WHEN NOT starts_with(t, chr(1)) THEN lower(t) WHEN regexp_matches(t, '^.[0-9]') THEN lower(trim(t, chr(1) || chr(2))) ELSE chr(1) || trim(t, chr(1) || chr(2)) END), lambda t: starts_with(t, chr(1)) OR (NOT list_contains({_STOP}, t) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]')))), lambda t: replace(t, chr(1), ''))"
@@ -260,6 +294,7 @@ nullif(regexp_extract(t, '\\b3\\d{10}\\b'), '') AS celex, trim(regexp_replace(lo
 FROM x, (SELECT '(?i)(Regulation|Directive|Decision)[*_ ]*\\(?[ ]*(EU|EC|EURATOM)[*_ ]*\\)?[*_ ]*(?:No[._ ]*)?[*_ ]*(\\d{4})[ ]*/[ ]*(\\d+)(?:\\s*/\\s*(EC|EEC))?' AS i, '(?i)(Regulation|Directive|Decision)[*_ ]*No?[._ ]*[*_ ]*(\\d{4})[\\s/]+(\\d+)' AS b)""",
     "search_terms": f"WITH {c.CHUNKS} SELECT lineage_id, array_to_string({_tok('text')}, ' ') AS terms FROM c",
     "bm25_topk": _BM + " SELECT query_id, rank, lineage_id, round(score, 5) AS score FROM runs WHERE rank <= 10",
+    "retrieve_sparse": _BM + " SELECT query_id, rank, lineage_id, round(1 / (60 + rank), 6) AS score, 'sparse' AS source_methods, CAST(NULL AS VARCHAR) AS graph_edge_type FROM runs WHERE rank <= 10",
     "dense_topk": _DN + " SELECT query_id, rank, vec_id, round(score, 5) AS score FROM r",
     "dense_label_metrics": _DN + ", p AS (SELECT query_id, e.label, avg(CASE WHEN r.label = e.label THEN 1.0 ELSE 0 END) AS p, min(CASE WHEN r.label = e.label THEN rank END) AS first FROM r JOIN embeddings e ON e.vec_id = r.query_id GROUP BY 1, 2) SELECT label, round(avg(p), 6) AS precision_at_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n FROM p GROUP BY 1",
     "vector_cosine": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -121,3 +121,24 @@ def test_nearest_interval_against_brute_force(spark):
     for k, p, at in pts[:200]:
         d = min((0 if a <= at < b else min(abs(at - a), abs(at - b)), a, i) for _, i, a, b in iv)
         assert (got[p].distance, got[p].interval_id) == (d[0], d[2])
+
+
+def test_modes(spark):
+    from corpusloom.operators.modes import MODES, Retriever
+
+    texts = {"a": "capacity market notice", "b": "tariff notice of the operator", "c": "unrelated words entirely", "d": "penalty calendar"}
+    chunks = spark.createDataFrame([(f"x:article:{i}", "x", texts[k], 10 * i, 10 * i + 9) for i, k in enumerate("abcd")], "lineage_id string, doc_id string, text string, span_start int, span_end int")
+    nodes = spark.createDataFrame([(f"x:article:{i}", "article", "x", str(i), f"T{i}", None) for i in range(4)], "node_id string, kind string, doc_id string, art_number string, title string, term string")
+    edges = graph(spark, [("x:article:0", "x:article:2"), ("x:article:2", "x:article:3")])
+    r = Retriever(chunks, nodes, edges)
+    q = spark.createDataFrame([(1, "capacity market"), (2, "zzz"), (3, None)], "query_id int, text string")
+    got = {m: [(x.lineage_id, x.graph_edge_type) for x in r.retrieve(q, m, 5).filter("query_id = 1").orderBy("rank").collect()] for m in MODES}
+    assert got["sparse"] == [("x:article:0", None)]
+    assert got["graph"] == [("x:article:0", "seed"), ("x:article:2", "CROSS_REFERENCES@1hop"), ("x:article:3", "CROSS_REFERENCES@2hop")]
+    assert got["hybrid"][0][0] == "x:article:0" and ("x:article:3", "CROSS_REFERENCES@2hop") in got["hybrid_graph"]
+    assert {x for x, _ in got["hybrid_rerank"]} == {x for x, _ in got["hybrid"]}
+    assert len({x for x, _ in got["hybrid_gr_expand"]}) >= len(got["hybrid_graph"])
+    with pytest.raises(ValueError):
+        r.retrieve(q, "no_such")
+    c = {x.query_id: x.refused for x in r.answer_contexts(q.filter("query_id != 3"), "sparse").collect()}
+    assert c == {1: False, 2: True}

@@ -87,6 +87,12 @@ def test_relations(spark):
     assert ("1:term:capacity", "1:article:7", "DEFINED_IN") in e
     assert ("1:article:2", "corpus:entity:market_participants", "APPLIES_TO") in e
     assert ("1:article:7", "1:document", "PART_OF") in e
+    docs2 = docs.filter("text is not null")
+    nodes = {r.lineage_id: r.kind for r in rel.graph_nodes(docs2, rel.build_graph(docs2), st.syntax_tree(docs2)).collect()}
+    assert nodes["1:article:7"] == "article" and nodes["1:preamble"] == "preamble" and nodes["1:term:capacity"] == "term" and nodes["ext:article:7"] == "external_article" and nodes["corpus:entity:market_participants"] == "entity"
+    truth = spark.createDataFrame([("1", 2, None, 2, "Regulation (EU) 2030/111", None)], "doc_id string, articles int, chapters int, tables int, instrument string, publication_date string")
+    cov = st.coverage_audit(st.structure_map(docs2), truth).first()
+    assert (cov.articles, cov.chapters, cov.tables, cov.instrument) == (1.0, 1.0, 0.5, 1.0) and cov.coverage == 0.9
     assert rel.list_members("2, 3 and 4", 1) == ["3", "4"] and rel.list_members("2, 3 and 4", 1, whole=False) == ["3"]
     assert rel.instrument_after(" of Regulation (EU) 2016/679", 0) == "2016/679" and rel.instrument_after(" of a conflict", 0) is None
     assert rel.first_entity("the market operators and consumers") == "market operators"

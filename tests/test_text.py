@@ -43,6 +43,8 @@ def test_scalars(spark):
     assert one(spark, T.doc_of(F.col("a")), a="d:article:5a:para:1") == "d" and one(spark, T.doc_of(F.col("a")), a="ext:instrument:1") == "ext"
     assert one(spark, T.article_num_of(F.col("a")), a="d:article:5a") == 5
     assert [(r.num, r.letter) for r in one(spark, T.article_refs(F.col("a")), a="Article 5a and article 7 (b)")] == [(5, "a"), (7, "b")]
+    assert one(spark, T.change_number(F.col("a")), a="within 5 days of 9 months") == "within 2 days of 9 months"
+    assert one(spark, T.change_number(F.col("a"), True), a="Article 5 within 30 per cent") == "Article 5 within 60 per cent"
     assert one(spark, T.weaken(F.col("a")), a="It shall and shall") == "It may and shall"
 
 
