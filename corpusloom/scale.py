@@ -6,6 +6,7 @@ out of the shuffle: their number is bounded by construction, so broadcasting the
 """
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -84,11 +85,18 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], n: str, ou
     return local.join(parts, [*group, "_part"]).withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
+#: Nodes of a logical plan after which rows are dealt out anew anyway; asking such a plan for its partitions would run it.
+_SHUFFLES = re.compile(r"\b(?:Join|Aggregate|Window|Sort|Repartition\w*|RebalancePartitions|GlobalLimit|Distinct|Deduplicate)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the scan has fewer partitions than there are cores (small inputs of few row groups).
+    """Rows dealt out to all cores where a plain scan has fewer partitions than there are cores (small inputs of few row groups).
 
-    Larger inputs are returned as they are, so what this shuffles is at most one scan partition for each core.
+    Larger inputs, and plans with a shuffle of their own, are returned as they are, so what this shuffles is at most one
+    scan partition for each core.
     """
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
