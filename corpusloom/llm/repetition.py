@@ -111,7 +111,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
     """
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20)))
-    pdf = spread(some.select("text").limit(sample)).mapInPandas(_labelled, ", ".join(f"{c} double" for c in [*FEATURES, "share"])).toPandas()
+    pdf = some.select("text").limit(sample).repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(_labelled, ", ".join(f"{c} double" for c in [*FEATURES, "share"])).toPandas()
     x, y = pdf[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), (pdf["share"].to_numpy(float) >= SHARE).astype(float)
     forest = fit(x, y, MONOTONE)
     if not y.any() or y.all():

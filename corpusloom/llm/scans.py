@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import norm_key
-from ..scale import running_totals, spread, write_table
+from ..scale import running_totals, write_table
 from .perceptron import CONFUSIONS, CharacterEditor, Perceptron
 
 #: A word belongs to the lexicon if at least one of LEX_SHARE clean words is that word (and LEX_LEAST in all): at most LEX_SHARE entries.
@@ -567,7 +567,7 @@ def page_noise(chunks: DataFrame, repairer: Repairer | None = None) -> DataFrame
             rows = [(c, a, n, k) for c, a, t, z in zip(pdf["chunk_id"], pdf["at"], pdf["text"], pdf["near"]) for n, k in r.page(t, _near(z))[0]]
             yield pd.DataFrame(rows, columns=["chunk_id", "at", "line_no", "noise"])
 
-    rows = spread(pages_with_neighbours(chunks).select("chunk_id", F.unix_micros("at").alias("at"), "text", "near")).mapInPandas(run, "chunk_id long, at long, line_no long, noise string")
+    rows = pages_with_neighbours(chunks).select("chunk_id", F.unix_micros("at").alias("at"), "text", "near").mapInPandas(run, "chunk_id long, at long, line_no long, noise string")
     last = chunks.filter("page_no is not null").select("chunk_id", F.unix_micros(F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp"))).alias("at")).groupBy("chunk_id").agg(F.max("at").alias("at"))
     return rows.join(last, ["chunk_id", "at"]).select("chunk_id", "line_no", "noise").distinct()
 
