@@ -152,3 +152,18 @@ def scenarios(docs: DataFrame, per_doc: int = 3, seed: int = 2024) -> DataFrame:
     s = s.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_doc).withColumn("weak", T.weaken(F.col("text")))
     both = F.explode(F.array(F.struct(F.lit(True).alias("compliant"), F.col("text").alias("text"), F.lit(None).cast("string").alias("deviation")), F.struct(F.lit(False).alias("compliant"), F.col("weak").alias("text"), F.lit("weakened_duty").alias("deviation")))).alias("x")
     return s.filter("weak is not null").select("doc_id", "n", both).select(F.concat_ws(":", "doc_id", F.col("n").cast("string"), F.when(F.col("x.compliant"), "ok").otherwise("bad")).alias("scenario_id"), "doc_id", "x.compliant", "x.text", "x.deviation")
+
+
+def rebuild_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(question, change) between two builds matched by question: 'removed', 'added', or 'retargeted'."""
+    a = old.select(F.lower(F.trim("question")).alias("question"), F.col("target").alias("a")).dropDuplicates(["question"])
+    b = new.select(F.lower(F.trim("question")).alias("question"), F.col("target").alias("b")).dropDuplicates(["question"])
+    x = a.join(b, "question", "full_outer").filter("a is null or b is null or a != b")
+    return x.select("question", F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").otherwise("retargeted").alias("change"))
+
+
+def legacy_flags(items: DataFrame) -> DataFrame:
+    """(item_id, flag): questions that name no article where their family asks for one ('no_article'), or carry a null name ('null_name')."""
+    q = F.col("question")
+    flags = F.array(F.when(q.rlike(r"\b[Nn]one\b|\bnull\b"), F.lit("null_name")), F.when((F.col("family") == "single_document") & ~q.rlike(r"(?i)article\s+\d"), F.lit("no_article")))
+    return items.select("item_id", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("flag"))

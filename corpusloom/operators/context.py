@@ -12,11 +12,12 @@ def _labels(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def context_lines(candidates: DataFrame, edges: DataFrame, names: DataFrame, most: int = 8, chars: int = 2000, kinds: list[str] | None = None) -> DataFrame:
+def context_lines(candidates: DataFrame, edges: DataFrame, names: DataFrame, most: int = 8, chars: int = 2000, kinds: list[str] | None = None, directions: tuple[str, ...] = ("out", "in")) -> DataFrame:
     """(query_id, lineage_id, n_lines, context): typed lines of the graph around each candidate (query_id, lineage_id, question).
 
     Outgoing lines come before incoming, each ordered by how many words of the question the neighbour's name shares,
-    then by the neighbour. One line per (kind, direction, neighbour), at most ``most`` lines and ``chars`` characters.
+    then by the neighbour. One line per (kind, direction, neighbour), at most ``most`` lines and ``chars`` characters;
+    ``kinds`` and ``directions`` ('out', 'in') restrict what is shown.
     """
     e = edges.filter("src is not null and dst is not null")
     if kinds:
@@ -24,8 +25,11 @@ def context_lines(candidates: DataFrame, edges: DataFrame, names: DataFrame, mos
     e = e.select("src", "dst", "kind").distinct()
     out = e.select(F.col("src").alias("lineage_id"), F.col("dst").alias("other"), F.lit(0).alias("way"), F.coalesce(_labels(fixed.OUT_LABEL)[F.col("kind")], F.col("kind")).alias("label"))
     inn = e.select(F.col("dst").alias("lineage_id"), F.col("src").alias("other"), F.lit(1).alias("way"), F.coalesce(_labels(fixed.IN_LABEL)[F.col("kind")], F.col("kind")).alias("label"))
+    if not set(directions) <= {"out", "in"} or not directions:
+        raise ValueError(f"unknown directions {directions!r}")
+    shown = out.unionByName(inn).filter(F.col("way").isin([{"out": 0, "in": 1}[x] for x in directions]))
     n = names.select(F.col("node_id").alias("other"), T.node_label(F.col("kind"), F.col("title"), F.col("term"), F.col("art_number"), F.col("node_id")).alias("name"))
-    x = candidates.select("query_id", "lineage_id", "question").join(out.unionByName(inn), "lineage_id").join(n, "other", "left").withColumn("name", F.coalesce("name", "other"))
+    x = candidates.select("query_id", "lineage_id", "question").join(shown, "lineage_id").join(n, "other", "left").withColumn("name", F.coalesce("name", "other"))
     x = x.withColumn("score", T.overlap_score(F.col("question"), F.col("name")))
     w = Window.partitionBy("query_id", "lineage_id").orderBy("way", F.col("score").desc(), "other", "label")
     x = x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).withColumn("line", F.concat("label", F.lit(" "), "name"))

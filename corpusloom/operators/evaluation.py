@@ -154,3 +154,21 @@ def judge_summary(scored: DataFrame, by: list[str], metrics: list[str]) -> DataF
     ok = scored.filter("error is null") if "error" in scored.columns else scored
     m = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])).alias("m")
     return ok.select(*by, m).select(*by, "m.*").groupBy(*by, "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+
+
+def scenario_summary(audits: DataFrame) -> DataFrame:
+    """(baseline, n, hit_rate, mean_rank, top3, detection_accuracy) of scenario audits (baseline, rank, compliant, called_compliant).
+
+    The mean rank is over hits; accuracy over audits that made a call.
+    """
+    hit = F.col("rank").isNotNull()
+    return audits.groupBy("baseline").agg(
+        F.count("*").alias("n"), F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg((hit & (F.col("rank") <= 3)).cast("double")), 6).alias("top3"),
+        F.round(F.avg((F.col("compliant") == F.col("called_compliant")).cast("double")), 6).alias("detection_accuracy"))
+
+
+def correction_resolved(kind: Column, original: Column, correction: Column) -> Column:
+    """Whether a proposed correction undoes a deviation: a weakened duty is a duty again, a changed number is the original's again."""
+    low = F.lower(F.coalesce(correction, F.lit("")))
+    numbers = F.regexp_extract_all(F.coalesce(original, F.lit("")), F.lit(r"\d+"), F.lit(0))
+    return F.when(kind == "weakened_duty", low.rlike(r"\b(shall|must)\b")).when(kind == "changed_number", F.forall(numbers, lambda n: F.array_contains(F.regexp_extract_all(low, F.lit(r"\d+"), F.lit(0)), n))).otherwise(F.lit(None).cast("boolean"))

@@ -151,3 +151,17 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, key: str) -> DataF
     left = inside | F.col("after").isNull() | F.coalesce(far("before") <= far("after"), F.lit(False))
     x = x.filter("before is not null or after is not null")
     return x.select("point_id", F.when(left, F.col("before.interval_id")).otherwise(F.col("after.interval_id")).alias("interval_id"), inside.alias("inside"), F.when(inside, 0).when(left, far("before")).otherwise(far("after")).cast("long").alias("distance"))
+
+
+def eligibility(targets: DataFrame, pool: DataFrame, seeds: DataFrame, edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(query_id, node_id, status) of targets: 'in_pool', or what expansion could rescue them: 'one_hop', 'two_hop_only', 'unreachable'."""
+    reach = expand(seeds, edges, 2, kinds).select("query_id", "node_id", "hop")
+    x = targets.select("query_id", "node_id").distinct().join(pool.select("query_id", "node_id", F.lit(True).alias("held")).distinct(), ["query_id", "node_id"], "left").join(reach, ["query_id", "node_id"], "left")
+    return x.select("query_id", "node_id", F.when(F.col("held"), "in_pool").when(F.col("hop") == 1, "one_hop").when(F.col("hop") == 2, "two_hop_only").otherwise("unreachable").alias("status"))
+
+
+def strong_seeds(seeds: DataFrame, least: float, most: int = 15) -> DataFrame:
+    """The best score of each seed of a query, those of at least ``least``, at most ``most`` per query."""
+    best = seeds.groupBy("query_id", "node_id").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
+    return best.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")

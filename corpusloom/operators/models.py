@@ -96,3 +96,20 @@ def voted_scenarios(drafts: DataFrame, votes: DataFrame, least: int = 3) -> Data
     g = x.groupBy("scenario_id").agg(F.sum(F.col("ok").cast("int")).alias("n"), F.max_by("drafter", F.when(F.col("ok"), F.struct("score", "drafter"))).alias("drafter"))
     every = drafts.select("scenario_id").distinct().join(g, "scenario_id", "left")
     return every.select("scenario_id", F.when(F.col("n") > 0, F.col("drafter")).alias("drafter"), F.when(F.col("n") > 1, "both").when(F.col("n") == 1, "single").otherwise("escalate").alias("decision"))
+
+
+def structure_prompts(docs: DataFrame, windows: int = 6, chars: int = 2500) -> DataFrame:
+    """(id, prompt): asks a model for title, instrument, date, articles and definitions of each document, shown by sampled windows."""
+    from ..functions.text import sample_windows
+
+    w = F.transform(sample_windows(F.col("text"), windows, chars), lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]))
+    return docs.filter("text != ''").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Give title, instrument, publication_date, articles and definitions of this document as a JSON object.\n"), F.array_join(w, "\n[...]\n")).alias("prompt"))
+
+
+def reviewed(extracted: DataFrame, answers: DataFrame, fields: list[str]) -> DataFrame:
+    """Extracted fields (id, …) overruled by a model's answers (id, answer) wherever those give a value that is not blank."""
+    from ..functions.json_text import extract_json
+
+    j = answers.select("id", extract_json(F.col("answer")).alias("j"))
+    x = extracted.join(j, "id", "left")
+    return x.select("id", *[F.coalesce(F.nullif(F.trim(F.get_json_object("j", f"$.{f}")), F.lit("")), F.col(f)).alias(f) for f in fields])

@@ -12,6 +12,8 @@ from ..functions.text import clean_html
 
 #: Bytes and pages below which a PDF is suspect.
 MIN_BYTES, MIN_PAGES = 50_000, 2
+#: Tag prefixes of a manifest; more is an error.
+MAX_TAGS = 10_000
 
 MANIFEST_FIELDS = ["doc_id", "filename", "folder_key", "title", "doc_type", "language", "instrument", "celex", "publication_date", "source_url", "publisher", "status", "risk", "domain", "notes"]
 
@@ -113,7 +115,9 @@ def manifest(files: DataFrame, tags: DataFrame) -> DataFrame:
     ``tags``: (prefix, tags, prio); a prefix may end in '*'. The first prefix by prio that fits a name gives its tags.
     Names with dora, nis2 or gdpr are of high risk.
     """
-    t = F.broadcast(tags.select(F.rtrim(F.col("prefix"), F.lit("*")).alias("p"), F.col("tags").alias("t"), "prio").limit(10_000))  # a hand-kept list
+    if tags.count() > MAX_TAGS:
+        raise ValueError("too many tag prefixes for a hand-kept list")
+    t = F.broadcast(tags.select(F.rtrim(F.col("prefix"), F.lit("*")).alias("p"), F.col("tags").alias("t"), "prio"))
     x = files.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("filename"), "folder_key")
     hit = x.join(t, F.col("doc_id").startswith(F.col("p"))).groupBy("doc_id", "folder_key").agg(F.min(F.struct("prio", "p", "t")).alias("m")).select("doc_id", "folder_key", F.col("m.t").alias("tags"))
     x = x.join(hit, ["doc_id", "folder_key"], "left")

@@ -106,3 +106,11 @@ def test_bootstrap(spark):
     with pytest.raises(ValueError):
         st.small_bootstrap([])
     assert st.bootstrap_ci(d.limit(0), ["g"], "key").count() == 0
+
+
+def test_scenarios(spark):
+    a = spark.createDataFrame([("b", 1, True, True), ("b", 5, True, False), ("b", None, False, None)], "baseline string, rank int, compliant boolean, called_compliant boolean")
+    r = ev.scenario_summary(a).first()
+    assert (r.n, r.hit_rate, r.mean_rank, r.top3, r.detection_accuracy) == (3, 0.666667, 3.0, 0.333333, 0.5)
+    d = spark.createDataFrame([("weakened_duty", "It shall", "It shall do"), ("weakened_duty", "x", "may"), ("changed_number", "in 5 days", "5 days"), ("changed_number", "in 5 days", "2 days"), ("other", "a", None)], "k string, o string, c string")
+    assert [x[0] for x in d.select(ev.correction_resolved(F.col("k"), F.col("o"), F.col("c"))).collect()] == [True, False, True, False, None]

@@ -112,6 +112,15 @@ def test_undirected_and_distances(spark):
     assert d == {"t": 0, "a1": 1, "a2": 2, "e": 3}
 
 
+def test_eligibility_and_strong_seeds(spark):
+    e = graph(spark, [("A", "B"), ("B", "C")])
+    t = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C"), (1, "Z")], "query_id int, node_id string")
+    got = {r.node_id: r.status for r in ex.eligibility(t, seeds(spark, "A"), seeds(spark, "A"), e).collect()}
+    assert got == {"A": "in_pool", "B": "one_hop", "C": "two_hop_only", "Z": "unreachable"}
+    s = spark.createDataFrame([(1, "a", 0.2), (1, "a", 0.9), (1, "b", 0.5), (1, "c", 0.1)], "query_id int, node_id string, score double")
+    assert [(r.node_id, r.score) for r in ex.strong_seeds(s, 0.3).orderBy("node_id").collect()] == [("a", 0.9), ("b", 0.5)]
+
+
 def test_nearest_interval_against_brute_force(spark):
     rng = random.Random(3)
     iv = [("k", i, 10 * i + 2, 10 * i + rng.randint(3, 9)) for i in range(30)]

@@ -88,6 +88,10 @@ def test_model_cache(spark, tmp_path):
         got = {r.id: r for r in models.ask_cached(p, path, "m", client, waits=()).collect()}
         assert got["1"].answer == got["2"].answer == "HELLO" and got["3"].answer is None and "no" in got["3"].error
     assert spark.read.parquet(path).count() == 1
+    pr = models.structure_prompts(spark.createDataFrame([(1, "x" * 9000), (2, None)], "doc_id int, text string")).collect()
+    assert len(pr) == 1 and "[...]" in pr[0].prompt
+    rv = models.reviewed(spark.createDataFrame([("1", "old", "2020")], "id string, title string, date string"), spark.createDataFrame([("1", '{"title": "new", "date": " "}')], "id string, answer string"), ["title", "date"]).first()
+    assert (rv.title, rv.date) == ("new", "2020")
     first = spark.createDataFrame([("a", True, 0.9), ("b", True, 0.2), ("c", None, None)], "id string, correct boolean, confidence double")
     second = spark.createDataFrame([("b", False, 0.8)], "id string, correct boolean, confidence double")
     assert {r.id: (r.correct, r.decision) for r in models.escalate(first, second).collect()} == {"a": (True, "first"), "b": (False, "second"), "c": (None, "none")}
@@ -110,6 +114,9 @@ def test_rerank_and_context(spark):
     n = spark.createDataFrame([("a2", "article", "Capacity", None, "2")], "node_id string, kind string, title string, term string, art_number string")
     c = cx.context_lines(q, e, n).first()
     assert c.context == "CITES Article 2 Capacity\nAMENDED_BY a4" and c.n_lines == 2
+    assert cx.context_lines(q, e, n, directions=("in",)).first().context == "AMENDED_BY a4"
+    with pytest.raises(ValueError):
+        cx.context_lines(q, e, n, directions=("up",))
     rows = spark.createDataFrame([(1, 1, "a1", "d", "text", "AMENDS@1hop")], "query_id int, rank int, lineage_id string, doc_id string, text string, edge string")
     out = {r.query_id: r for r in cx.refuse(spark.createDataFrame([(1,), (2,)], "query_id int"), cx.answer_context(rows)).collect()}
     assert out[2].refused and out[2].context == "[INSUFFICIENT CONTEXT]" and "a1 via AMENDS@1hop" in out[1].context
@@ -130,6 +137,10 @@ def test_benchmark(spark):
     c = spark.createDataFrame([("d:article:5a",), ("d:preamble",), ("e:table:1",)], "lineage_id string")
     w = spark.createDataFrame([("d:article:5a",), ("d:article:5",), ("d:article:9",), ("e:article:1",), ("f:article:1",)], "want string")
     assert {r.want: (r.lineage_id, r.step) for r in bm.priority_match(w, c).collect()} == {"d:article:5a": ("d:article:5a", 1), "d:article:5": ("d:article:5a", 2), "d:article:9": ("d:article:5a", 3), "e:article:1": ("e:table:1", 5), "f:article:1": (None, None)}
+    other = items.withColumn("target", F.lit("t9"))
+    assert {r.change for r in bm.rebuild_diff(items, other).collect()} == {"retargeted"} and bm.rebuild_diff(items, items).count() == 0
+    flags = bm.legacy_flags(spark.createDataFrame([("1", "single_document", "What about it?"), ("2", "one_hop", "Which act does Article None amend?")], "item_id string, family string, question string"))
+    assert {tuple(r) for r in flags.collect()} == {("1", "no_article"), ("2", "null_name")}
     s = bm.scenarios(spark.createDataFrame([(1, "x" * 61 + " shall act. Short must. " + "y" * 70 + " must go."), (2, None)], "doc_id int, text string"), 1)
     assert s.count() == 2 and s.filter("compliant").count() == 1
 
