@@ -1,4 +1,4 @@
-"""Repetition inside a document: exact share, document statistics, and a boosted classifier on them."""
+"""Repetition inside a document: exact share, document statistics, and boosted trees on them."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -15,14 +15,14 @@ from .trees import Forest, fit
 WORD = regex.compile(r"\p{L}+")
 #: Words in a run, and the share from which a document counts as repetitive.
 RUN, SHARE = 5, 0.3
-#: Documents, at most, whose statistics are labelled to train the classifier.
+#: Documents, at most, whose statistics are labelled to train the trees.
 SAMPLE = 4000
-#: Candidates are documents whose log odds are at most SLACK below those of the least certain positive of the sample.
-SLACK = 4.0
+#: Candidates are documents whose predicted share is at least one part in SLACK of the least prediction for a repetitive document of the sample.
+SLACK = 10.0
 
-FEATURES = ["seen_words", "seen_pairs", "seen_triples", "seen_lines", "seen_sentences", "top_word", "log_words", "mean_word"]
+FEATURES = ["seen_words", "seen_pairs", "seen_triples", "seen_fours", "seen_lines", "seen_sentences", "top_word", "log_words", "mean_word"]
 #: The score never falls when more of a document was seen before.
-MONOTONE = [1, 1, 1, 1, 1, 0, 0, 0]
+MONOTONE = [1, 1, 1, 1, 1, 1, 0, 0, 0]
 _SENTENCE = regex.compile(r"[.!?;:|\n\r]+")
 
 
@@ -88,8 +88,9 @@ def statistics(text: str | None, words: list[str], codes: np.ndarray) -> list[fl
 
     two = _join(codes[:-1], codes[1:]) if n > 1 else codes[:0]
     three = _join(two[:-1], codes[2:]) if n > 2 else codes[:0]
+    four = _join(two[:-2], two[2:]) if n > 3 else codes[:0]
     return [
-        1 - (int(codes.max()) + 1) / n, _cover(_seen(two), n, 2) / n, _cover(_seen(three), n, 3) / n, units(text.splitlines()), units(_SENTENCE.split(text)),
+        1 - (int(codes.max()) + 1) / n, _cover(_seen(two), n, 2) / n, _cover(_seen(three), n, 3) / n, _cover(_seen(four), n, 4) / n, units(text.splitlines()), units(_SENTENCE.split(text)),
         float(np.bincount(codes).max()) / n, float(np.log1p(n)), sum(map(len, words)) / n,
     ]
 
@@ -105,22 +106,25 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
-    """A classifier and its threshold, from at most ``sample`` documents drawn by a hash of the id.
+    """Trees that predict the repeated share from statistics, and the least prediction of a candidate.
 
-    Without a positive (or a negative) in the sample the score is constant and every document is a candidate.
+    Learnt from at most ``sample`` documents drawn by a hash of the id. The threshold is SHARE, or the least prediction
+    for a repetitive document of the sample if that is less, divided by SLACK. An empty sample makes every document a
+    candidate.
     """
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20)))
     pdf = some.select("text").limit(sample).repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(_labelled, ", ".join(f"{c} double" for c in [*FEATURES, "share"])).toPandas()
-    x, y = pdf[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), (pdf["share"].to_numpy(float) >= SHARE).astype(float)
-    forest = fit(x, y, MONOTONE)
-    if not y.any() or y.all():
+    x, y = pdf[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), pdf["share"].to_numpy(float)
+    forest = fit(x, y, MONOTONE, squared=True)
+    if not len(y):
         return forest, -np.inf
-    return forest, float(forest.score(x[y > 0]).min()) - SLACK
+    least = float(forest.score(x[y >= SHARE]).min(initial=SHARE))
+    return forest, least / SLACK
 
 
 def repetition_scores(docs: DataFrame, model: tuple[Forest, float] | None = None) -> DataFrame:
-    """(doc_id, n_words, score, candidate, share): ``share`` is exact, and null for documents the classifier rules out.
+    """(doc_id, n_words, score, candidate, share): ``score`` is the predicted share; ``share`` is exact, and null for documents the trees rule out.
 
     Null, empty and wordless texts have no words and share 0; rows with equal ids stay separate. One pass without a shuffle.
     """
@@ -136,7 +140,10 @@ def repetition_scores(docs: DataFrame, model: tuple[Forest, float] | None = None
             share = [repeated_share(c) if h else (0.0 if not len(c) else None) for c, h in zip(codes, hit)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(c) for c in codes], "score": score, "candidate": hit, "share": pd.array(share, dtype="Float64")})
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_words long, score double, candidate boolean, share double")
+    kind = dict(docs.dtypes)["doc_id"]
+    # ids pass the worker as strings: a null among integers would turn them all into floats
+    out = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, "doc_id string, n_words long, score double, candidate boolean, share double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def repeated_shares(docs: DataFrame) -> DataFrame:

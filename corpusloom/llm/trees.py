@@ -20,7 +20,7 @@ class Forest:
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Log odds of each row of ``x``; a NaN goes left."""
+        """Prediction (log odds, or the value itself after squared loss) of each row of ``x``; a NaN goes left."""
         at = np.repeat(self.roots[None, :], len(x), axis=0)
         rows = np.arange(len(x))[:, None]
         for _ in range(self.depth):
@@ -29,15 +29,15 @@ class Forest:
         return self.base + self.value[at].sum(axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 48, ridge: float = 1.0) -> Forest:
-    """Logistic boosting on histograms. ``monotone``: 1, 0 or -1 for each feature; a score never falls as a +1 feature grows.
+def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 48, ridge: float = 1.0, squared: bool = False) -> Forest:
+    """Boosting on histograms, logistic or with ``squared`` loss. ``monotone``: 1, 0 or -1 for each feature; a score never falls as a +1 feature grows.
 
     A split on a constrained feature is taken only if its leaf values stand in the right order; the values of the two
-    sides are then bounded by their mean, so that deeper splits keep the order. Labels of one class give a constant.
+    sides are then bounded by their mean, so that deeper splits keep the order. Labels of one class (or value) give a constant.
     """
     n, k = x.shape
     p0 = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
-    base = float(np.log(p0 / (1 - p0)))
+    base = (float(y.mean()) if n else 0.0) if squared else float(np.log(p0 / (1 - p0)))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.array([]) for j in range(k)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(k)], axis=1) if n else np.zeros((0, k), int)
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
@@ -77,9 +77,9 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40, dept
         right[me] = grow(idx[go_right], g, h, level + 1, *br)
         return me
 
-    for _ in range(trees if n and 0 < y.mean() < 1 else 0):
-        p = 1 / (1 + np.exp(-score))
-        root = grow(np.arange(n), p - y, np.maximum(p * (1 - p), 1e-6), 0, -np.inf, np.inf)
+    for _ in range(trees if n and y.min() < y.max() else 0):
+        p = score if squared else 1 / (1 + np.exp(-score))
+        root = grow(np.arange(n), p - y, np.ones(n) if squared else np.maximum(p * (1 - p), 1e-6), 0, -np.inf, np.inf)
         roots.append(root)
         one = Forest(*map(np.array, (feature, threshold, left, right, value)), np.array([root]), depth, 0.0)
         score = score + one.score(x)

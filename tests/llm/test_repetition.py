@@ -58,7 +58,7 @@ def test_operator(spark):
     for i in range(400):
         phrase = fresh(12)
         rows.append((i, fresh(60) if i % 4 else phrase + ". " + fresh(10) + ". " + (phrase + ". ") * (i % 5), 0.0, 0))
-    rows += [(1000, None, 0.0, 0), (1001, "", 0.0, 0), (1002, "1 2 3", 0.0, 0), (1003, "x y z v w " * 50_000, 0.0, 0), (None, "a b c d e f " * 9, 0.0, 0), (1, rows[1][1], 0.0, 0)]
+    rows += [(1000, None, 0.0, 0), (1001, "", 0.0, 0), (1002, "1 2 3", 0.0, 0), (1003, "x y z v w " * 50_000, 0.0, 0), (None, "a b c d e f " * 9, 0.0, 0), (1, rows[1][1], 0.0, 0), (2**60 + 1, "a b c d e f " * 9, 0.0, 0)]
     df = spark.createDataFrame(rows, D)
     got = [(r.doc_id, r.share) for r in rp.repetition_scores(df).collect()]
     want = {i for i, t, *_ in rows if brute(rp.words_of(t)) >= 0.3}
