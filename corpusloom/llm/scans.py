@@ -541,7 +541,7 @@ def pages_with_neighbours(chunks: DataFrame) -> DataFrame:
     Neighbours meet by (doc_id, page_no), so a document of any number of pages is spread over all tasks.
     """
     at = F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp"))
-    pages = chunks.filter("page_no is not null").select("chunk_id", norm_key(F.col("doc_id")).alias("doc_id"), "page_no", "text", at.alias("at"))
+    pages = chunks.filter("page_no is not null and chunk_id is not null").select("chunk_id", norm_key(F.col("doc_id")).alias("doc_id"), "page_no", "text", at.alias("at"))
     some = pages.filter("text is not null and doc_id is not null").groupBy("doc_id", "page_no").agg(F.max_by(_zone(F.col("text")), F.struct("at", "chunk_id")).alias("zone"))
     near = some.select("doc_id", F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("d"), (F.col("page_no") - F.col("d")).alias("page_no"), "zone")
     near = near.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("d", "zone.top", "zone.foot", "zone.firsts", "zone.lasts")).alias("near"))
@@ -556,7 +556,8 @@ def page_noise(chunks: DataFrame, repairer: Repairer | None = None) -> DataFrame
     """(chunk_id, line_no, noise) of all pages: header, page_number, footnote, hyphen, misread.
 
     Lines count from 1 and blank lines count; null and empty pages have no noise. Of rows sent again (same chunk_id) the
-    latest counts; other scans of a page are pages of their own. Rows with null doc_id or page number have no neighbours.
+    latest counts; other scans of a page are pages of their own. Rows without chunk_id are left out, rows without doc_id
+    have no neighbours.
     """
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast(repairer or train(chunks))  # bounded: LEX_SHARE words, models over them

@@ -84,7 +84,7 @@ def test_operator(spark, repairer):
 
     t = lambda d: dt.datetime(2024, 1, d)
     p1, p2 = "The market operator shall publish the noti-", "ce within nine days of receipt.\n\nThe nctwork."
-    rows = [(1, "D", 1, p1, t(1), 0, 0), (1, "d", 1, p1, t(2), 0, 0), (2, "d", 2, p2, t(1), 0, 0), (3, "d", 2, p2, t(3), 0, 0), (4, None, 1, p1, t(1), 0, 0), (5, "e", 1, None, t(1), 0, 0), (6, "e", 2, "", None, 0, 0), (7, "f", None, p1, t(1), 0, 0)]
+    rows = [(1, "D", 1, p1, t(1), 0, 0), (1, "d", 1, p1, t(2), 0, 0), (2, "d", 2, p2, t(1), 0, 0), (3, "d", 2, p2, t(3), 0, 0), (4, None, 1, p1, t(1), 0, 0), (5, "e", 1, None, t(1), 0, 0), (6, "e", 2, "", None, 0, 0), (7, "f", None, p1, t(1), 0, 0), (None, "g", 1, p1, t(1), 0, 0)]
     df = spark.createDataFrame(rows, S)
     got = {tuple(r) for r in scans.page_noise(df, repairer).collect()}
     assert got == {(1, 1, "hyphen"), (2, 3, "misread"), (3, 3, "misread")}
