@@ -12,12 +12,13 @@ from ..keys import norm_key, norm_label
 from ..scale import write_table
 
 
-def probit_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds z, the normal quantile of p, to batches of distinct percentiles."""
+def with_probits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds z and z0, the normal quantiles of p and p_absent; z0 is 0 where no item is absent."""
     inv = NormalDist().inv_cdf
     for pdf in batches:
         pdf["z"] = [inv(p) for p in pdf["p"]]
-        yield pdf
+        pdf["z0"] = [inv(p) if p > 0 else 0.0 for p in pdf["p_absent"]]
+        yield pdf.drop(columns=["p", "p_absent"])
 
 
 def list_name(methods: Column) -> Column:
@@ -62,22 +63,15 @@ def fused_ranking(results: DataFrame, weights: dict[str, float] | None = None) -
     n_items = items.groupBy("query_id").agg(F.count("*").alias("n_all"))
     lists = base.filter("score is not null").select("query_id", "list").distinct()
     pct = tied_percentiles(base.filter("score is not null"), ["query_id", "list"], lists.join(n_items, "query_id"))
-    pct, _ = write_table(pct, "percentiles")
-    # distinct percentiles are few (fractions of small counts); the inverse normal is taken once of each
-    z = pct.select("p").union(pct.filter("p_absent > 0").select("p_absent")).distinct().mapInPandas(probit_table, "p double, z double")
+    pct, _ = write_table(pct.mapInPandas(with_probits, f"query_id {dict(results.dtypes)['query_id']}, list string, score double, z double, z0 double"), "percentiles")
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("list") == name, float(w)).otherwise(weight)
-    pct = pct.join(z, "p").withColumn("w", weight)
-    floor = pct.filter("p_absent > 0").select("query_id", "list", "w", F.col("p_absent").alias("p")).distinct().join(z, "p")
-    floors = floor.groupBy("query_id").agg(F.sum(F.col("z") * F.col("w")).alias("z_floor"))
-    total = pct.select("query_id", "list", "w").distinct().groupBy("query_id").agg(F.sum("w").alias("w_all"))
-    gain = base.filter("score is not null").join(pct, ["query_id", "list", "score"])
-    gain = gain.join(floor.select("query_id", "list", F.col("z").alias("z0")), ["query_id", "list"], "left")
     # every item starts from the floor of all lists and gains where it is present
-    gain = gain.groupBy("query_id", "lineage_id").agg(F.sum(F.col("w") * (F.col("z") - F.coalesce("z0", F.lit(0.0)))).alias("gain"), F.count("*").alias("n_lists"))
-    x = items.join(gain, ["query_id", "lineage_id"], "left").join(total, "query_id", "left").join(floors, "query_id", "left")
-    fused = (F.coalesce("z_floor", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))) / F.col("w_all")
+    floors = pct.groupBy("query_id", "list").agg(F.max("z0").alias("z0")).groupBy("query_id").agg(F.sum(F.col("z0") * weight).alias("z_floor"), F.sum(weight).alias("w_all"))
+    gain = base.filter("score is not null").join(pct, ["query_id", "list", "score"]).groupBy("query_id", "lineage_id").agg(F.sum(weight * (F.col("z") - F.col("z0"))).alias("gain"), F.count("*").alias("n_lists"))
+    x = items.join(gain, ["query_id", "lineage_id"], "left").join(floors, "query_id", "left")
+    fused = (F.col("z_floor") + F.coalesce("gain", F.lit(0.0))) / F.col("w_all")
     return x.select("query_id", "lineage_id", fused.alias("fused"), F.coalesce("n_lists", F.lit(0)).alias("n_lists"))
 
 
