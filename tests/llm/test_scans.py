@@ -87,7 +87,7 @@ def test_operator(spark, repairer):
     rows = [(1, "D", 1, p1, t(1), 0, 0), (1, "d", 1, p1, t(2), 0, 0), (2, "d", 2, p2, t(1), 0, 0), (3, "d", 2, p2, t(3), 0, 0), (4, None, 1, p1, t(1), 0, 0), (5, "e", 1, None, t(1), 0, 0), (6, "e", 2, "", None, 0, 0), (7, "f", None, p1, t(1), 0, 0), (None, "g", 1, p1, t(1), 0, 0)]
     df = spark.createDataFrame(rows, S)
     got = {tuple(r) for r in scans.page_noise(df, repairer).collect()}
-    assert got == {(1, 1, "hyphen"), (2, 3, "misread"), (3, 3, "misread")}
+    assert got == {(1, 1, "hyphen"), (2, 3, "misread"), (3, 3, "misread"), (4, 1, "hyphen")}
     text = [(r.doc_id, r.para_no, r.page_no, r.text) for r in scans.running_text(df, repairer).orderBy("doc_id", "para_no").collect()]
     assert text == [("d", 1, 1, "The market operator shall publish the notice within nine days of receipt."), ("d", 2, 2, "The network.")]
     assert scans.page_noise(df.limit(0), repairer).count() == 0 and scans.running_text(df.limit(0), repairer).count() == 0
