@@ -17,7 +17,8 @@ WORD = regex.compile(r"\p{L}+")
 RUN, SHARE = 5, 0.3
 #: Documents, at most, whose statistics are labelled to train the trees.
 SAMPLE = 4000
-#: Candidates are documents whose predicted share is at least one part in SLACK of the least prediction for a repetitive document of the sample.
+#: Candidates are documents whose predicted share is at least one part in SLACK of the least prediction for a repetitive document of the sample,
+#: and all whose ``seen_fours`` reaches SHARE: repeated runs of four cover every repeated run of five, so no repetitive document is ruled out.
 SLACK = 10.0
 
 FEATURES = ["seen_words", "seen_pairs", "seen_triples", "seen_fours", "seen_lines", "seen_sentences", "top_word", "log_words", "mean_word"]
@@ -109,15 +110,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
     """Trees that predict the repeated share from statistics, and the least prediction of a candidate.
 
     Learnt from at most ``sample`` documents drawn by a hash of the id. The threshold is SHARE, or the least prediction
-    for a repetitive document of the sample if that is less, divided by SLACK. An empty sample makes every document a
-    candidate.
+    for a repetitive document of the sample if that is less, divided by SLACK. A sample without a repetitive document
+    (or an empty one) makes every document a candidate.
     """
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, sample / max(total, 1)) * (1 << 20)))
     pdf = some.select("text").limit(sample).repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(_labelled, ", ".join(f"{c} double" for c in [*FEATURES, "share"])).toPandas()
     x, y = pdf[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), pdf["share"].to_numpy(float)
     forest = fit(x, y, MONOTONE, squared=True)
-    if not len(y):
+    if not (y >= SHARE).any():
         return forest, -np.inf
     least = float(forest.score(x[y >= SHARE]).min(initial=SHARE))
     return forest, least / SLACK
@@ -136,7 +137,7 @@ def repetition_scores(docs: DataFrame, model: tuple[Forest, float] | None = None
             codes = [codes_of(w) for w in words]
             x = np.array([statistics(t, w, c) for t, w, c in zip(pdf["text"], words, codes)], dtype=float).reshape(-1, len(FEATURES))
             score = forest.score(x) if len(x) else np.zeros(0)
-            hit = (score >= least) & np.array([len(c) > 0 for c in codes], dtype=bool)
+            hit = ((score >= least) | (x[:, FEATURES.index("seen_fours")] >= SHARE)) & np.array([len(c) > 0 for c in codes], dtype=bool)
             share = [repeated_share(c) if h else (0.0 if not len(c) else None) for c, h in zip(codes, hit)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(c) for c in codes], "score": score, "candidate": hit, "share": pd.array(share, dtype="Float64")})
 

@@ -67,3 +67,28 @@ def test_operator(spark):
     assert exact[1000] == exact[1001] == exact[1002] == 0.0 and exact[1003] > 0.99
     assert all(abs(exact[i] - brute(rp.words_of(t))) < 1e-12 for i, t, *_ in rows if i != 1)
     assert rp.repetition_scores(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60))
+def test_runs_of_four_cover_runs_of_five(words):
+    codes = rp.codes_of(words)
+    assert rp.statistics(" ".join(words), words, codes)[rp.FEATURES.index("seen_fours")] >= rp.repeated_share(codes)
+
+
+def test_rare_positives_beyond_the_sample(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(40)), 0.0, 0) for i in range(300)]
+    drawn = {r.doc_id for r in spark.range(0, 300).selectExpr("id as doc_id").filter("pmod(xxhash64(doc_id, 'train'), 1048576) < 1048576 * 30 / 300").collect()}
+    rare = [i for i in range(300) if i not in drawn][:3]
+    for i in rare:
+        rows[i] = (i, "once upon a time there was " * 4, 0.0, 0)
+    df = spark.createDataFrame(rows, D)
+    model = rp.train(df, 30)
+    assert model[1] == -np.inf
+    strict = (model[0], np.inf)  # trees that rule out everything
+    for m in (model, strict):
+        got = {r.doc_id for r in rp.repetition_scores(df, m).filter("share >= 0.3").collect()}
+        assert got == {i for i, t, *_ in rows if brute(rp.words_of(t)) >= 0.3} and got >= set(rare)
