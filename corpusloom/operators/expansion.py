@@ -124,6 +124,24 @@ def distances(seeds: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFram
     return known
 
 
+def target_distances(targets: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, node_id, hop): least undirected distance of targets from the seeds over all kinds, where it is at most two.
+
+    The same as ``distances`` to two hops, looked up from both ends: seeds and targets meet at a node that is at most one
+    step from either, so the nodes around a hub between them are never formed.
+    """
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
+
+    def around(x: DataFrame, step: str) -> DataFrame:
+        x = x.select("query_id", "node_id").distinct()
+        near = x.join(pairs, x["node_id"] == pairs["a"]).select("query_id", "node_id", F.col("b").alias("mid"), F.lit(1).alias(step))
+        return x.select("query_id", "node_id", F.col("node_id").alias("mid"), F.lit(0).alias(step)).unionByName(near)
+
+    from_seeds = around(seeds, "s").groupBy("query_id", "mid").agg(F.min("s").alias("s"))
+    return around(targets, "t").join(from_seeds, ["query_id", "mid"]).groupBy("query_id", "node_id").agg(F.min(F.col("s") + F.col("t")).alias("hop"))
+
+
 def admission_mechanism(targets: DataFrame, dist: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, node_id, hop, mechanism): why a target was not admitted: OUT_OF_CORPUS, SEED_PRESENT (within two hops) or SEED_MISS."""
     x = targets.join(nodes.select("node_id", F.lit(True).alias("there")).distinct(), "node_id", "left").join(dist, ["query_id", "node_id"], "left")

@@ -119,19 +119,14 @@ def undirected_traversal(s, d):
     return x.select("query_id", "node_id", "hop", "score", "rank", F.array_join("seeds", "|").alias("seeds"), F.array_join("kinds", "|").alias("kinds"))
 
 
-def _bfs_seeds(s, d):
-    return c.seeds(s, d, 1)
-
-
 def bfs_distance(s, d):
-    e = c.edges(s, d).filter("dst is not null and kind in ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN')")
-    return ex.distances(_bfs_seeds(s, d), e, 3)
+    return ex.distances(c.seeds(s, d, None), c.edges(s, d).filter("dst is not null"), 3)
 
 
 def admission_mechanism(s, d):
-    e = c.edges(s, d).filter("dst is not null and kind in ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN')")
     t = c.gold(s, d).select("query_id", F.col("lineage_id").alias("node_id"))
-    return ex.admission_mechanism(t, ex.distances(_bfs_seeds(s, d), e, 3), c.nodes(s, d)).groupBy("mechanism").agg(F.count("*").alias("n"))
+    near = ex.target_distances(t, c.seeds(s, d, None), c.edges(s, d).filter("dst is not null"))
+    return ex.admission_mechanism(t, near, c.nodes(s, d)).groupBy("mechanism").agg(F.count("*").alias("n"))
 
 
 def graph_context(s, d):

@@ -112,6 +112,27 @@ def test_undirected_and_distances(spark):
     assert d == {"t": 0, "a1": 1, "a2": 2, "e": 3}
 
 
+def test_distances_over_all_kinds_from_all_seeds(spark, monkeypatch):
+    from corpusloom.plans import graph_queries as gq
+
+    edges = spark.createDataFrame([("s1", "doc", "PART_OF", 0), ("t1", "doc", "PART_OF", 1), ("s2", "e", "APPLIES_TO", 2), ("t2", "e", "APPLIES_TO", 3), ("t2", "far", "IMPLEMENTS", 4), ("far", "beyond", "AMENDS", 5)], E)
+    nodes = real(spark, ["s1", "s2", "doc", "e", "t1", "t2", "far", "beyond"])
+    ranked = spark.createDataFrame([(1, "sparse", 1, "s1", 0.9), (1, "sparse", 2, "s2", 0.5), *[(1, "rerank", i, x, 0.5) for i, x in enumerate(["t1", "t2", "far", "no_node"])]], "query_id int, method string, rank long, lineage_id string, score double")
+    for name, df in (("edges", edges), ("nodes", nodes), ("lists", ranked), ("gold", ranked.filter("method = 'rerank'").select("query_id", "lineage_id", "rank"))):
+        monkeypatch.setattr(gq.c, name, lambda s, d, df=df: df)
+    assert {r.node_id: r.hop for r in gq.bfs_distance(spark, "").collect()} == {"s1": 0, "s2": 0, "doc": 1, "e": 1, "t1": 2, "t2": 2, "far": 3}
+    assert {r.mechanism: r.n for r in gq.admission_mechanism(spark, "").collect()} == {"SEED_PRESENT": 2, "SEED_MISS": 1, "OUT_OF_CORPUS": 1}
+
+
+def test_target_distances_against_distances(spark):
+    rng = random.Random(4)
+    e = spark.createDataFrame([(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}", rng.choice(["PART_OF", "AMENDS"]), i) for i in range(70)] + [(f"n{i}", "hub", "APPLIES_TO", 100 + i) for i in range(0, 60, 4)], E)
+    s = spark.createDataFrame([(q, f"n{rng.randint(0, 60)}") for q in (1, 2, 3) for _ in range(3)], "query_id int, node_id string")
+    t = spark.createDataFrame([(q, f"n{i}") for q in (1, 2, 3) for i in range(0, 61, 2)], "query_id int, node_id string")
+    want = {tuple(r) for r in ex.distances(s, e, 2).join(t, ["query_id", "node_id"], "left_semi").collect()}
+    assert {tuple(r) for r in ex.target_distances(t, s, e).collect()} == want and len(want) > 20
+
+
 def test_eligibility_and_strong_seeds(spark):
     e = graph(spark, [("A", "B"), ("B", "C")])
     t = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C"), (1, "Z")], "query_id int, node_id string")
