@@ -155,7 +155,7 @@ def syntax_tree(docs: DataFrame) -> DataFrame:
 
 
 def _fold(parts: list[dict], least: int) -> list[dict]:
-    """Chunks shorter than ``least`` go into the one before; the first goes into the next."""
+    """Chunks shorter than ``least`` go into the one before; the first goes into the next. Where all are shorter, they become one."""
     out: list[dict] = []
     wait: list[dict] = []
     for p in parts:
@@ -170,7 +170,10 @@ def _fold(parts: list[dict], least: int) -> list[dict]:
             p = p | {"start": wait[0]["start"], "absorbed": [w["lineage"] for w in wait] + p["absorbed"]}
             wait = []
         out.append(p)
-    return out or wait[:1]
+    if wait:
+        # nothing is long enough to take the thin ones, so they become one chunk
+        out = [wait[0] | {"end": max(w["end"] for w in wait), "absorbed": [*wait[0]["absorbed"], *(x for w in wait[1:] for x in [w["lineage"], *w["absorbed"]])]}]
+    return out
 
 
 def sentence_parts(doc: str, text: str, most: int = MAX_SENTENCES, least: int = MIN_CHUNK, by_offset: bool = False) -> list[dict]:

@@ -48,6 +48,17 @@ def test_tree_and_chunks(spark):
     assert (m.articles, m.tables, m.recitals, m.strategy) == (2, 1, 1, "article_based")
 
 
+def test_documents_of_thin_parts_only(spark):
+    text = "# Short act\n\n## **Article 1**\n\nOne.\n\n## **Article 2**\n\nTwo.\n\n## **Article 3**\n\nThree."
+    docs = spark.createDataFrame([("d", text), ("e", text[text.index("## **Article 1") :]), ("one", "## **Article 4**\n\nAlone.")], "doc_id string, text string")
+    c = {r.doc_id: r for r in st.chunk_documents(docs).collect()}
+    assert len(c) == 3 and c["d"].text == text and (c["d"].span_start, c["d"].span_end) == (0, len(text)) and c["d"].thin
+    assert (c["d"].lineage_id, c["d"].absorbed) == ("d:preamble", ["d:article:1", "d:article:2", "d:article:3"])
+    assert (c["e"].lineage_id, c["e"].absorbed) == ("e:article:1", ["e:article:2", "e:article:3"]) and c["e"].text.endswith("Three.")
+    assert (c["one"].lineage_id, c["one"].absorbed) == ("one:article:4", [])
+    assert st.recover_oversized(st.syntax_tree(docs), st.chunk_documents(docs), docs).count() == 0
+
+
 def test_folding_and_oversize(spark):
     long_ = "## **Article 1**\n\n" + "(a) " + "word " * 1000 + "\n\n(b) " + "word " * 1000 + "\n\n## **Article 2**\n\nshort"
     parts = st.article_parts("d", long_)
