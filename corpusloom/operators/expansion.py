@@ -91,19 +91,37 @@ def undirected_search(seeds: DataFrame, edges: DataFrame, targets: DataFrame, ki
     """
     if max_hops not in (1, 2):
         raise ValueError("max_hops must be 1 or 2")
-    e = _kinds(edges, kinds).select("edge_ord", "src", "dst", "kind")
-    both = e.select("edge_ord", F.col("src").alias("a"), F.col("dst").alias("b"), "kind").unionByName(e.filter("src != dst").select("edge_ord", F.col("dst").alias("a"), F.col("src").alias("b"), "kind"))
-    s = seeds.select("query_id", F.col("node_id").alias("seed"), "score")
-    one = s.join(both, s["seed"] == both["a"]).select("query_id", "seed", "score", F.col("b").alias("node_id"), F.lit(1).alias("hop"), F.array("kind").alias("ks"), F.col("edge_ord").alias("e1"))
-    trails = one.drop("e1")
-    if max_hops == 2:
-        b2 = both.select(F.col("edge_ord").alias("e2"), F.col("a").alias("mid"), "b", F.col("kind").alias("k2"))
-        two = one.join(b2, (one["node_id"] == b2["mid"]) & (one["e1"] != b2["e2"])).select("query_id", "seed", "score", F.col("b").alias("node_id"), F.lit(2).alias("hop"), F.concat("ks", F.array("k2")).alias("ks"))
-        trails = trails.unionByName(two)
-    trails = trails.filter("node_id != seed").join(targets.select("node_id").distinct(), "node_id", "left_semi")
-    # trails of one (target, seed, hop, kinds) fall together before the group is gathered
-    slim = trails.groupBy("query_id", "node_id", "seed", "hop", "ks").agg(F.max("score").alias("score"))
-    got = slim.groupBy("query_id", "node_id").agg(F.min("hop").alias("hop"), F.max("score").alias("score"), F.array_sort(F.collect_set("seed")).alias("seeds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ks")))).alias("kinds"))
+    e = _kinds(edges, kinds).select("src", "dst", "kind")
+    both = e.toDF("a", "b", "kind").unionByName(e.toDF("b", "a", "kind"))
+    adj = both.groupBy("a", "b").agg(F.collect_set("kind").alias("ks"))
+    real = targets.select("node_id").distinct()
+    s = seeds.groupBy("query_id", F.col("node_id").alias("seed")).agg(F.max("score").alias("score"))
+    near = s.join(adj, s["seed"] == adj["a"]).select("query_id", "seed", "score", F.col("b").alias("node_id"), "ks")
+
+    def gathered(x: DataFrame) -> DataFrame:
+        return x.groupBy("query_id", "node_id").agg(F.min("hop").alias("hop"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("seeds")))).alias("seeds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
+
+    trails = near.filter("node_id != seed").join(real, "node_id", "left_semi").select("query_id", "node_id", F.lit(1).alias("hop"), "score", F.array("seed").alias("seeds"), F.col("ks").alias("kinds"))
+    if max_hops == 1:
+        got = gathered(trails)
+    else:
+        # all seeds next to a middle node stand in one row; the same edge twice would lead back to its seed, so leaving the seed out is enough
+        mids, _ = write_table(near.groupBy("query_id", F.col("node_id").alias("mid")).agg(F.collect_list(F.struct("seed", "score", "ks")).alias("by")), "middles")
+        to = adj.select(F.col("a").alias("mid"), F.col("b").alias("node_id"), F.col("ks").alias("k2")).join(real, "node_id", "left_semi")
+
+        def over(x: DataFrame) -> DataFrame:
+            x = x.withColumn("by", F.filter("by", lambda y: y["seed"] != F.col("node_id"))).filter(F.size("by") > 0)
+            return x.select("query_id", "node_id", F.lit(2).alias("hop"), F.array_max(F.col("by.score")).alias("score"), F.col("by.seed").alias("seeds"), F.array_distinct(F.concat(F.flatten(F.col("by.ks")), F.col("k2"))).alias("kinds"))
+
+        # Behind a middle node, more than cap targets come before the one at place cap + 3 by key, with no lower score (but for
+        # one that is itself the best seed) and no more hops. So a hub's later targets can be among the first only if other
+        # trails lead to them or they are seeds, and the hub's trails are looked up for these alone.
+        wide = to.groupBy("mid").agg(F.count("*").alias("n")).filter(F.col("n") > cap + 2).select("mid")
+        hubs, _ = write_table(to.join(wide, "mid", "left_semi"), "hubs")
+        part, _ = write_table(gathered(trails.unionByName(over(mids.join(to.join(wide, "mid", "left_anti"), "mid")))), "trails")
+        heads = hubs.withColumn("n", F.row_number().over(Window.partitionBy("mid").orderBy("node_id"))).filter(F.col("n") <= cap + 2).drop("n")
+        likely = part.select("query_id", "node_id").unionByName(mids.select("query_id", "mid").join(heads.select("mid", "node_id"), "mid").select("query_id", "node_id")).unionByName(s.select("query_id", F.col("seed").alias("node_id"))).distinct()
+        got = gathered(part.unionByName(over(likely.join(hubs, "node_id").join(mids, ["query_id", "mid"]))))
     zero = s.join(targets.select(F.col("node_id").alias("seed")).distinct(), "seed", "left_semi").groupBy("query_id", "seed").agg(F.max("score").alias("score"))
     zero = zero.select("query_id", F.col("seed").alias("node_id"), F.lit(0).alias("hop"), "score", F.array("seed").alias("seeds"), F.array().cast("array<string>").alias("kinds")).join(got.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hop", "node_id")

@@ -113,9 +113,9 @@ def two_hop_only(s, d):
 
 
 def undirected_traversal(s, d):
-    seeds = c.lists(s, d).filter("method = 'dense' and rank <= 2").select("query_id", F.col("lineage_id").alias("node_id"), F.round("score", 6).alias("score"))
+    dense = c.lists(s, d).filter("method = 'dense'").select("query_id", F.col("lineage_id").alias("node_id"), F.round("score", 6).alias("score"))
     targets = c.nodes(s, d).filter("kind in ('article', 'preamble')").select("node_id")
-    x = ex.undirected_search(seeds, c.edges(s, d).filter("dst is not null"), targets, ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN"])
+    x = ex.undirected_search(ex.strong_seeds(dense, 0.0), c.edges(s, d).filter("dst is not null"), targets, KINDS)
     return x.select("query_id", "node_id", "hop", "score", "rank", F.array_join("seeds", "|").alias("seeds"), F.array_join("kinds", "|").alias("kinds"))
 
 

@@ -112,6 +112,42 @@ def test_undirected_and_distances(spark):
     assert d == {"t": 0, "a1": 1, "a2": 2, "e": 3}
 
 
+@pytest.mark.parametrize("cap", [3, 60])
+def test_undirected_search_against_brute_force(spark, cap):
+    rng = random.Random(cap)
+    kinds = ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN", "APPLIES_TO"]
+    rows = [(f"n{rng.randint(0, 80):02}", f"n{rng.randint(0, 80):02}", rng.choice(kinds), i) for i in range(110)] + [(f"n{i:02}", f"hub{i % 2}", "APPLIES_TO", 200 + i) for i in range(80)]
+    s = [(q, f"n{n:02}", rng.choice([0.2, 0.5, 0.9])) for q in range(8) for n in rng.sample(range(81), rng.randint(1, 5))]
+    real_ = [f"n{i:02}" for i in range(81) if i % 7]
+    both = [(i, *x) for a, b, k, i in rows for x in {(a, b, k), (b, a, k)}]
+    want = {}
+    for q, seed, score in s:
+        for i, a, b, k in both:
+            if a == seed:
+                for hop, t, ks in [(1, b, {k})] + [(2, y, {k, k2}) for j, x, y, k2 in both if x == b and j != i]:
+                    if t != seed and t in real_:
+                        w = want.setdefault((q, t), [9, 0.0, set(), set()])
+                        want[q, t] = [min(w[0], hop), max(w[1], score), w[2] | {seed}, w[3] | ks]
+    for q, seed, score in s:
+        if seed in real_:
+            want.setdefault((q, seed), [0, score, {seed}, set()])
+    got = ex.undirected_search(spark.createDataFrame(s, "query_id int, node_id string, score double"), spark.createDataFrame(rows, E), real(spark, real_), kinds, cap=cap).collect()
+    for q in range(8):
+        best = sorted((-w[1], w[0], t, sorted(w[2]), sorted(w[3])) for (p, t), w in want.items() if p == q)[:cap]
+        assert [(-r.score, r.hop, r.node_id, r.seeds, r.kinds) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == best
+
+
+def test_undirected_query_walks_four_kinds_from_fifteen_seeds(spark, monkeypatch):
+    from corpusloom.plans import graph_queries as gq
+
+    edges = spark.createDataFrame([("s02", "e", "APPLIES_TO", 0), ("t", "e", "APPLIES_TO", 1)] + [(f"s{i:02}", f"t{i:02}", "AMENDS", 2 + i) for i in range(17)], E)
+    nodes = real(spark, ["t", *[f"t{i:02}" for i in range(17)]]).selectExpr("node_id", "'article' as kind")
+    ranked = spark.createDataFrame([(1, "dense", i + 1, f"s{i:02}", 0.9 - i / 100) for i in range(17)], "query_id int, method string, rank long, lineage_id string, score double")
+    for name, df in (("edges", edges), ("nodes", nodes), ("lists", ranked)):
+        monkeypatch.setattr(gq.c, name, lambda s, d, df=df: df)
+    assert {r.node_id: r.hop for r in gq.undirected_traversal(spark, "").collect()} == {"t": 2, **{f"t{i:02}": 1 for i in range(15)}}
+
+
 def test_distances_over_all_kinds_from_all_seeds(spark, monkeypatch):
     from corpusloom.plans import graph_queries as gq
 
