@@ -37,7 +37,7 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return lists(spark, d).filter("method = 'rerank' and rank <= 3").select("query_id", "lineage_id", "rank")
 
 
-def seeds(spark: SparkSession, d: str, k: int | None = 3) -> DataFrame:
+def seeds(spark: SparkSession, d: str, k: int | None = 10) -> DataFrame:
     """The sparse list's first items of each query that are nodes; all of the list without ``k``."""
     s = lists(spark, d).filter("method = 'sparse'" + ("" if k is None else f" and rank <= {k}")).select("query_id", F.col("lineage_id").alias("node_id"))
     return s.join(nodes(spark, d).select("node_id"), "node_id", "left_semi").select("query_id", "node_id").distinct()

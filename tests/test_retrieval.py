@@ -112,6 +112,21 @@ def test_undirected_and_distances(spark):
     assert d == {"t": 0, "a1": 1, "a2": 2, "e": 3}
 
 
+def test_expansion_starts_from_ten_seeds(spark, monkeypatch):
+    from corpusloom.plans import graph_queries as gq
+
+    edges = graph(spark, [(f"s{i:02}", f"t{i:02}") for i in range(12)])
+    nodes = real(spark, [f"{x}{i:02}" for x in "st" for i in range(12)])
+    ranked = spark.createDataFrame([(1, "sparse", i + 1, f"s{i:02}", 0.9 - i / 100) for i in range(12)] + [(1, "rerank", 1, "t09", 0.9), (1, "rerank", 2, "t10", 0.8)], "query_id int, method string, rank long, lineage_id string, score double")
+    chunks = nodes.selectExpr("node_id as lineage_id")
+    for name, df in (("edges", edges), ("nodes", nodes), ("lists", ranked), ("clean_chunks", chunks)):
+        monkeypatch.setattr(gq.c, name, lambda s, d, df=df: df)
+    want = {f"t{i:02}" for i in range(10)}
+    for q in (gq.graph_expand_2hop, gq.two_hop_provenance, gq.one_hop_candidates, gq.admission_split_12_9):
+        assert {r.node_id for r in q(spark, "").filter("hop = 1" if q is gq.graph_expand_2hop else "true").collect()} == want
+    assert {r.budget: r.targets_admitted for r in gq.budget_sweep(spark, "").collect()} == {20: 1, 30: 1, 40: 1}
+
+
 @pytest.mark.parametrize("cap", [3, 60])
 def test_undirected_search_against_brute_force(spark, cap):
     rng = random.Random(cap)
