@@ -75,15 +75,22 @@ class Retriever:
         return x.join(edge.select("query_id", "lineage_id", F.col("edge").alias("graph_edge_type")), ["query_id", "lineage_id"], "left").select(OUT)
 
     def expanded(self, pool: DataFrame, per_seed: int = 2) -> DataFrame:
-        """The pool and, behind it, up to ``per_seed`` new neighbours of each of its nodes; a neighbour of several falls to the first."""
+        """The pool and, behind it, up to ``per_seed`` new chunks within two hops of each of its nodes, nearest first; nodes choose in order of their key, and what one took no later one takes."""
         pool, _ = write_table(pool, "pool")
-        seeds = self.seed_nodes(pool).select("query_id", "node_id")
-        new = ex.two_hop_paths(seeds, self.edges, self.chunks.select(F.col("lineage_id").alias("node_id")), ex.WALKED, max_hops=1)
-        new = new.join(pool.select("query_id", F.col("lineage_id").alias("node_id")), ["query_id", "node_id"], "left_anti").withColumn("seed", F.col("path")[0])
-        new = new.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("ord"))).filter(F.col("n") <= per_seed)
+        seeds, _ = write_table(self.seed_nodes(pool).select("query_id", F.col("node_id").alias("seed")), "seeds")
+        near = ex.expand(seeds.select(F.col("seed").alias("query_id"), F.col("seed").alias("node_id")).distinct(), self.edges).withColumnRenamed("query_id", "seed")
+        near = near.join(self.chunks.select(F.col("lineage_id").alias("node_id")), "node_id", "left_semi")
+        new = seeds.join(near, "seed").join(pool.select("query_id", F.col("lineage_id").alias("node_id")), ["query_id", "node_id"], "left_anti")
+        # the nodes before the nth took at most per_seed * (n - 1), so it never needs more than its first per_seed * n
+        new = new.withColumn("nth", F.dense_rank().over(Window.partitionBy("query_id").orderBy("seed")))
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("hop", "node_id"))).filter(F.col("n") <= per_seed * F.col("nth"))
+        one = F.struct("node_id", "hop", "kinds")
+        by_seed = new.groupBy("query_id", "seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("c")))), lambda x: x["c"]).alias("c"))
+        turns = by_seed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seed", "c"))).alias("turns"))
+        none = F.array().cast(by_seed.schema["c"].dataType)
+        taken = F.aggregate("turns", none, lambda had, s: F.concat(had, F.slice(F.filter(s["c"], lambda x: ~F.exists(had, lambda y: y["node_id"] == x["node_id"])), 1, per_seed)))
         size = pool.groupBy("query_id").agg(F.max("rank").alias("size"))
-        w = Window.partitionBy("query_id").orderBy("seed", "n")
-        more = new.join(size, "query_id").select("query_id", (F.col("size") + F.row_number().over(w)).alias("rank"), F.col("node_id").alias("lineage_id"), F.lit(0.0).alias("score"), F.array(F.lit("graph:expand")).alias("source_methods"), F.concat(F.array_join("relations", ";"), F.lit("@1hop")).alias("graph_edge_type"))
+        more = turns.select("query_id", F.posexplode(taken).alias("pos", "x")).join(size, "query_id").select("query_id", (F.col("size") + F.col("pos") + 1).alias("rank"), F.col("x.node_id").alias("lineage_id"), F.lit(0.0).alias("score"), F.array(F.lit("graph:expand")).alias("source_methods"), F.concat(F.array_join("x.kinds", ";"), F.lit("@"), F.col("x.hop").cast("string"), F.lit("hop")).alias("graph_edge_type"))
         return pool.select(OUT).unionByName(more.select(OUT))
 
     def reranked(self, queries: DataFrame, pool: DataFrame, kinds: list[str] | None, with_context: bool) -> DataFrame:

@@ -223,3 +223,19 @@ def test_modes(spark):
         r.retrieve(q, "no_such")
     c = {x.query_id: x.refused for x in r.answer_contexts(q.filter("query_id != 3"), "sparse").collect()}
     assert c == {1: False, 2: True}
+
+
+def test_expanded_pool_takes_two_hops_and_chooses_in_order(spark):
+    from corpusloom.operators.modes import Retriever
+
+    keys = ["a", "b", "c", "n1", "n2", "n3", "n4", "n5", "z"]
+    chunks = spark.createDataFrame([(k, "x", k, 0, 1) for k in keys], "lineage_id string, doc_id string, text string, span_start int, span_end int")
+    nodes = real(spark, keys)
+    # n3 is near a, which has no room for it, and near b; c has one chunk at one hop and one at two
+    edges = graph(spark, [("a", "n1"), ("a", "n2"), ("a", "n3"), ("b", "n1"), ("b", "n3"), ("c", "n4"), ("n4", "n5"), ("c", "a"), ("c", "no_chunk")])
+    pool = spark.createDataFrame([(1, i + 1, k, 0.5, ["sparse"], None) for i, k in enumerate("abc")] + [(2, 1, "c", 0.5, ["sparse"], None)], "query_id int, rank long, lineage_id string, score double, source_methods array<string>, graph_edge_type string")
+    got = {}
+    for r in Retriever(chunks, nodes, edges).expanded(pool).filter("source_methods[0] = 'graph:expand'").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.lineage_id, r.graph_edge_type))
+    assert got[1] == [(4, "n1", "CROSS_REFERENCES@1hop"), (5, "n2", "CROSS_REFERENCES@1hop"), (6, "n3", "CROSS_REFERENCES@1hop"), (7, "n4", "CROSS_REFERENCES@1hop"), (8, "n5", "CROSS_REFERENCES@2hop")]
+    assert got[2] == [(2, "a", "CROSS_REFERENCES@1hop"), (3, "n4", "CROSS_REFERENCES@1hop")]
