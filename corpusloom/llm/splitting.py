@@ -56,8 +56,8 @@ class RangeMax:
 def cut(text: str, limit: int, overlap: int, marks: dict[int, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, strength) of pieces of at most ``limit`` characters; neighbours share exactly ``overlap`` of them.
 
-    The strongest boundary is sought in the upper half of the permissible lengths, then, if that half has none, in the
-    lower; a text without any boundary is cut at the limit. A text within the limit is one piece.
+    Each piece ends at the strongest boundary of all permissible lengths (more than ``overlap``, at most ``limit``), the
+    rightmost of equals; where there is no boundary at all it is cut at the limit. A text within the limit is one piece.
     """
     n, limit = len(text), max(int(limit), 1)
     overlap = min(max(int(overlap), 0), limit - 1)
@@ -68,12 +68,9 @@ def cut(text: str, limit: int, overlap: int, marks: dict[int, int] | None = None
     out, start = [], 0
     while n - start > limit:
         end, s = start + limit, 0
-        least, half = start + overlap + 1, start + max(limit // 2, overlap + 1)
-        for a, b in ((half, end), (least, half - 1)):
-            i = table.best(int(np.searchsorted(pos, a)), int(np.searchsorted(pos, b, "right"))) if table else -1
-            if i >= 0:
-                end, s = int(pos[i]), int(strength[i])
-                break
+        i = table.best(int(np.searchsorted(pos, start + overlap + 1)), int(np.searchsorted(pos, end, "right"))) if table else -1
+        if i >= 0:
+            end, s = int(pos[i]), int(strength[i])
         out.append((start, end, s))
         start = end - overlap
     out.append((start, n, 0))
@@ -105,30 +102,42 @@ def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
 PIECES = "chunk_id long, piece_no int, n_pieces int, lineage_id string, node_type string, text string, span_start int, span_end int, boundary string"
 
+#: Characters of the source for which chunks and node boundaries meet in one key.
+STRETCH = 8192
+
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            marks: dict[int, int] = {}
-            for node in r.nodes if r.nodes is not None else []:
-                s = NODE_STRENGTH.get(node["kind"], 5)
-                for p in (node["a"], node["b"]):
-                    if p is not None and p == p:
-                        marks[int(p) - r.span_start] = max(s, marks.get(int(p) - r.span_start, 0))
+            marks = {int(m["at"]): int(m["s"]) for m in r.marks} if r.marks is not None else {}
             parts = cut(r.text, r.max_chars, r.overlap_chars, marks)
             rows += [(r.chunk_id, i, len(parts), r.lineage_id, r.node_type, r.text[a:b], r.span_start + a, r.span_start + b, NAMES[s] if i + 1 < len(parts) else "end") for i, (a, b, s) in enumerate(parts)]
         yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "n_pieces", "lineage_id", "node_type", "text", "span_start", "span_end", "boundary"])
 
 
+def node_marks(big: DataFrame, ast_nodes: DataFrame) -> DataFrame:
+    """(chunk_id, marks): boundaries of child nodes inside each chunk's text, as (at, s): offset in the text and strength.
+
+    Boundaries of a parent are reduced to one per position before they meet the chunks, by stretches of the source, so a
+    parent with any number of nodes is spread over the tasks, and a chunk gathers at most one mark per character it has.
+    """
+    kind = norm_key(F.col("node_type"))
+    strength = F.coalesce(*[F.when(kind == k, v) for k, v in NODE_STRENGTH.items()], F.lit(5))
+    ends = ast_nodes.select(norm_key(F.col("parent_lineage")).alias("lineage_id"), strength.alias("s"), F.explode(F.array("span_start", "span_end")).alias("p")).filter("lineage_id is not null and p is not null")
+    ends = ends.groupBy("lineage_id", "p").agg(F.max("s").alias("s")).withColumn("stretch", F.floor(F.col("p") / STRETCH))
+    last = F.col("span_start") + F.length("text") - 1
+    spans = big.select("chunk_id", "lineage_id", F.col("span_start").alias("a"), last.alias("b"), F.explode(F.sequence(F.floor(F.col("span_start") / STRETCH), F.floor(last / STRETCH))).alias("stretch"))
+    inside = spans.join(ends, ["lineage_id", "stretch"]).filter("p > a and p <= b")
+    return inside.groupBy("chunk_id").agg(F.collect_list(F.struct((F.col("p") - F.col("a")).alias("at"), "s")).alias("marks"))
+
+
 def split_oversized(chunks: DataFrame, limits: DataFrame, ast_nodes: DataFrame) -> DataFrame:
     """Pieces of the oversized chunks (see PIECES): within the limit, each with its span in the source.
 
     Boundaries come from the text and from the child nodes in ``ast_nodes`` (strength by node_type). Nodes with null or
-    foreign spans are ignored; repeated nodes count once. Chunks within their limit give no row.
+    foreign spans are ignored; of several nodes at one position the strongest counts. Chunks within their limit give no row.
     """
     big = oversized(chunks, limits)
-    keys = big.select("lineage_id").distinct()
-    nodes = ast_nodes.select(norm_key(F.col("parent_lineage")).alias("lineage_id"), norm_key(F.col("node_type")).alias("kind"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
-    nodes = nodes.join(keys, "lineage_id", "left_semi").groupBy("lineage_id").agg(F.collect_set(F.struct("kind", "a", "b")).alias("nodes"))
-    return big.join(nodes, "lineage_id", "left").select("chunk_id", "lineage_id", "node_type", "text", "span_start", F.col("_limit").alias("max_chars"), F.col("_overlap").alias("overlap_chars"), "nodes").mapInPandas(_pieces, PIECES)
+    x = big.join(node_marks(big, ast_nodes), "chunk_id", "left")
+    return x.select("chunk_id", "lineage_id", "node_type", "text", "span_start", F.col("_limit").alias("max_chars"), F.col("_overlap").alias("overlap_chars"), "marks").mapInPandas(_pieces, PIECES)

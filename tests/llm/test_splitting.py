@@ -27,6 +27,30 @@ def test_range_maximum_against_brute_force(strengths, data):
     assert t.best(lo, hi) == want
 
 
+def brute(text, limit, overlap, marks):
+    """The same cut without a table: looks at every position of the window."""
+    pos, strength = sp.boundaries(text, marks)
+    at = dict(zip(pos.tolist(), strength.tolist()))
+    overlap, out, start = min(overlap, limit - 1), [], 0
+    while len(text) - start > limit:
+        can = [p for p in range(start + overlap + 1, start + limit + 1) if p in at]
+        end = max(can, key=lambda p: (at[p], p)) if can else start + limit
+        out.append((start, end, at.get(end, 0) if can else 0))
+        start = end - overlap
+    return out + [(start, len(text), 0)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab .,;\n漢", max_size=300), st.integers(1, 60), st.integers(0, 50), st.dictionaries(st.integers(-5, 320), st.integers(1, 7), max_size=10))
+def test_cuts_against_brute_force(text, limit, overlap, marks):
+    assert sp.cut(text, limit, overlap, marks) == brute(text, limit, overlap, marks)
+
+
+def test_the_strongest_boundary_of_the_whole_window():
+    text = "x" * 28 + "\n\n" + "y " * 60
+    assert sp.cut(text, 100, 0)[0] == (0, 30, sp.BLANK_LINE)
+
+
 def test_natural_boundaries():
     text = "One two three. Four five six seven.\n\nEight nine ten eleven twelve thirteen."
     parts = sp.cut(text, 45, 0)
@@ -62,3 +86,14 @@ def test_operator(spark):
     assert all(src[r.span_start : r.span_end] == r.text for r in one)
     assert all(a.span_end - b.span_start == 5 for a, b in zip(one, one[1:]))
     assert sp.split_oversized(ch.limit(0), lim, ast.limit(0)).count() == 0
+
+
+def test_a_parent_with_very_many_nodes_and_chunks(spark):
+    text = "aaaa bbbb. " * 2000
+    ch = spark.createDataFrame([(i, "d:hot", "article", text, i * 10, None, 0) for i in range(20)], C)
+    nodes = [("D:HOT", k, 50 + 100 * (i % 300), 90 + 100 * (i % 300), "") for i in range(3000) for k in ("sentence", "paragraph")]
+    out = sp.split_oversized(ch, spark.createDataFrame([("any", 500, 20, "")], L), spark.createDataFrame(nodes, A)).collect()
+    for c in range(20):
+        marks = {p - c * 10: 6 for i in range(300) for p in (50 + 100 * i, 90 + 100 * i) if 0 < p - c * 10 < len(text.strip())}
+        want = brute(text.strip(), 500, 20, marks)
+        assert sorted((r.span_start - c * 10, r.span_end - c * 10) for r in out if r.chunk_id == c) == [(a, b) for a, b, _ in want]
