@@ -50,6 +50,12 @@ def test_round_trip_and_counts(spark):
     assert en.encode(docs.limit(0)).count() == 0
 
 
+def test_every_word_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(en, "HEAD_CHARS", 0)
+    docs, t = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string"), reference()
+    assert {r.doc_id: list(r.ids) for r in en.encode(docs).collect()} == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(ODD)}
+
+
 def test_rare_words_go_by_key(spark, monkeypatch):
     monkeypatch.setattr(en, "HEAD", 2)
     docs = spark.createDataFrame([(1, "the the the the one two three"), (2, "the the the")], "doc_id long, text string")
