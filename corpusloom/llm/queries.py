@@ -58,6 +58,10 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).records
 
 
+def p7_margins(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).margins
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_scores(table(spark, d, "documents")).filter(F.col("share") >= repetition.SHARE).select("doc_id").distinct()
 
@@ -66,7 +70,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, d, "documents")).withColumn("share", F.round("share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_text, p3_found, p3_ranking, p6_ids, p6_roundtrip, p7_found, p7_shares, p7_records, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_text, p3_found, p3_ranking, p6_ids, p6_roundtrip, p7_found, p7_shares, p7_records, p7_margins, p8_found, p8_shares)}
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(13)"
 ORACLE = {
