@@ -63,6 +63,27 @@ def test_nulls_and_empty(spark):
     assert rk.fused_ranking(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_quantiles(spark):
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.0749, 0.075, 0.3, 0.5, 0.6, 0.925, 0.9251, 0.999999]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    assert all(abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-12 * max(1, abs(r.z)) for r in df.select("p", rk.probit(df["p"]).alias("z")).collect())
+
+
+def test_hot_queries_have_the_same_result(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(q, f"d:{l}", [m], rng.choice([None, float(rng.randint(0, 9)), rng.random()])) for q, n in ((1, 40), (2, 5), (3, 60)) for m in ("dense", "sparse", "graph") for l in rng.sample(range(80), n)]
+    cold = {(r.query_id, r.lineage_id): (r.fused, r.n_lists) for r in rk.fused_ranking(frame(spark, rows)).collect()}
+    monkeypatch.setattr(rk, "LEAST_HOT", 30)
+    hot = {(r.query_id, r.lineage_id): (r.fused, r.n_lists) for r in rk.fused_ranking(frame(spark, rows)).collect()}
+    assert cold.keys() == hot.keys() and all(abs(a - b) < 1e-9 and n == m for (a, n), (b, m) in ((cold[k], hot[k]) for k in cold))
+
+
+def test_one_shuffle_by_query(spark):
+    df = spark.createDataFrame([(i, i % 9, f"d{i}", ["dense"], float(i), "x", 1) for i in range(50)], S)
+    plan = rk.first_items(rk.fused_ranking(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_hot_query_is_split(spark):
     rows = [(1, f"d{i}", ["dense"], float(i % 7)) for i in range(3000)]
     out = {r.lineage_id: r.fused for r in rk.fused_ranking(frame(spark, rows)).collect()}
