@@ -90,8 +90,20 @@ def corrupt(word: str, rng: random.Random, most: int = 2) -> list[tuple[str, str
     return out
 
 
+# fixed values: marks that may stand where a line breaks off inside a word
+BREAKS = "-‐‑\xad¬"
+#: Operations at a line's end mark: the two halves are one word and the mark goes, the mark stays as a hyphen, or nothing is known.
+JOINS = ["join", "hyphen", "open"]
+
+
+def one_edit(token: str) -> set[str]:
+    """All forms that one confusion may have turned into ``token``."""
+    return {token[:i] + a + token[i + len(b) :] for a, b in CONFUSIONS for i in range(len(token) - len(b) + 1) if token.startswith(b, i)}
+
+
 class CharacterEditor:
-    """Predicts for each character what it stands for: itself (keep), another one (replace), nothing (delete), or more (insert)."""
+    """Predicts for each character what it stands for: itself (keep), another one (replace), nothing (delete), or more (insert); and at
+    the mark that ends a line, which line-join operation (JOINS) it is. One model holds all operations."""
 
     def __init__(self):
         self.model = Perceptron()
@@ -105,13 +117,26 @@ class CharacterEditor:
         kind = lambda x: "9" if x.isdigit() else "a" if x.isalpha() else x
         return ["c" + c, "p" + p1 + c, "n" + c + n1, "w" + p1 + c + n1, "P" + p2 + p1 + c, "N" + c + n1 + n2, "W" + p2 + p1 + c + n1 + n2, "k" + kind(p1) + c + kind(n1), "K" + kind(p2) + kind(p1) + c + kind(n1) + kind(n2)]
 
-    def train(self, words: list[str], seed: int = 7, rounds: int = 3) -> "CharacterEditor":
+    @staticmethod
+    def join_features(a: str, b: str, mark: str, lex: dict[str, int]) -> list[str]:
+        """Of a line's last word without its mark, and the next line's first."""
+        left, right, whole = a.rsplit("-", 1)[-1], b.split("-", 1)[0], a + b
+        one, pair = left + right in lex, f"{left}-{right}" in lex
+        f = [f"one{one}{pair}", f"one{one}{left in lex}{right in lex}", f"pair{pair}", f"mark{mark == '-'}{one}{pair}", f"letters{right.isalpha()}", f"more{lex.get(left + right, 0) > lex.get(left + '-' + right, 0)}{one}{pair}", f"len{min(len(left), 3)}{min(len(right), 3)}{one}", f"has{whole in lex}"]
+        return ["\n" + x for x in f]
+
+    def join(self, a: str, b: str, mark: str, lex: dict[str, int]) -> str:
+        """The line-join operation between ``a`` and ``b``."""
+        return self.model.best(self.join_features(a, b, mark, lex), JOINS)
+
+    def train(self, words: list[str], lex: dict[str, int] | None = None, most: int = 2500, seed: int = 7, rounds: int = 3) -> "CharacterEditor":
+        """From clean ``words``, of which errors are made, and the words of ``lex`` (``most`` at most), which are broken at line ends."""
         rng = random.Random(seed)
-        data = []
+        data: list[tuple] = []
         for w in words:
-            data.append([(c, c) for c in w])
-            data.append(corrupt(w, rng))
-        for pairs in data:
+            data.append(([(c, c) for c in w],))
+            data.append((corrupt(w, rng),))
+        for (pairs,) in data:
             for c, y in pairs:
                 own = self.labels.setdefault(c, [c])
                 if y not in own:
@@ -121,11 +146,28 @@ class CharacterEditor:
                 own = self.labels.setdefault(c, [c])
                 if y not in own:
                     own.append(y)
+        whole = sorted(w for w in lex or () if len(w) > 3 and "-" not in w)
+        pairs_ = sorted(w for w in lex or () if "-" in w)
+        broken: list[tuple] = []
+        for w in rng.sample(whole, min(len(whole), most)):
+            at = rng.randint(2, len(w) - 1)
+            broken.append((w[:at], w[at:], rng.choice(BREAKS + "---"), "join"))
+            odd = list(w)
+            odd[rng.randrange(len(w))] = rng.choice("|0159")
+            broken.append(("".join(odd[:at]), "".join(odd[at:]), rng.choice(BREAKS), "open"))
+        for w in rng.sample(pairs_, min(len(pairs_), most)) * max(1, len(broken) // (4 * max(min(len(pairs_), most), 1))):
+            a, b = w.rsplit("-", 1)
+            broken.append((a, b, rng.choice(BREAKS + "---"), "hyphen"))
+        data += broken
         for _ in range(rounds):
             rng.shuffle(data)
-            for pairs in data:
-                s = "".join(c for c, _ in pairs)
-                for i, (c, y) in enumerate(pairs):
+            for row in data:
+                if len(row) == 4:
+                    f = self.join_features(*row[:3], lex)
+                    self.model.update(row[3], self.model.best(f, JOINS), f)
+                    continue
+                s = "".join(c for c, _ in row[0])
+                for i, (c, y) in enumerate(row[0]):
                     f = self.features(s, i)
                     self.model.update(y, self.model.best(f, self.labels[c]), f)
         self.model.average()

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,28 +13,36 @@ from pyspark.sql import functions as F
 
 from ..keys import norm_key
 from ..scale import running_totals, write_table
-from .perceptron import CONFUSIONS, CharacterEditor, Perceptron
+from .perceptron import BREAKS, CONFUSIONS, CharacterEditor, Perceptron, one_edit
 
-#: A word belongs to the lexicon if at least one of LEX_SHARE clean words is that word (and LEX_LEAST in all): at most LEX_SHARE entries.
+#: Every clean word that occurs LEX_LEAST times is known. Those that are at least one in LEX_SHARE of all words go to all workers (so at
+#: most LEX_SHARE entries); a page gets the rarer ones that it may contain by a join.
 LEX_SHARE, LEX_LEAST = 200_000, 3
+#: A rare word stands for itself unless an edit leads to a word that is this many times as frequent.
+FAR_MORE = 1000
+#: Outermost lines of a page that may be furniture, at its top and its foot; lines and words of a page that its neighbours see.
+TOP_LINES, FOOT_LINES = 3, 4
+ZONE_TOP, ZONE_FOOT, ZONE_FIRSTS, ZONE_LASTS = 2, 3, 5, 8
 #: Clean texts, at most, from which synthetic pages are made to train the line tagger, and words that train the editor.
 TRAIN_TEXTS, TRAIN_WORDS = 500, 2500
 #: Corrections a Python worker keeps in memory.
 MEMO = 200_000
 
-# fixed values: marks that may stand where a line breaks off inside a word
-BREAKS = "-‐‑\xad¬"
 TAGS = ["body", "header", "page_number", "footnote"]
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "!": "1", "i": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "b": "6", "g": "9", "q": "9"})
-_NUMBER_LINE = re.compile(r"^\W*(?:(?:page|p|pg|seite|s|no)\b\.?\s*)?\W*([0-9lIi|!OoSsBZzbgq]{1,5}|[ivxlcdm]{1,7})\s*(?:(?:of|/|von|sur|de)\s*[0-9lIi|!OoSsBZzbgq]{1,5})?[^\w.;:,]*$", re.I)
+#: Characters of the longest page number, such as "Page 1234 of 12345", without what frames it.
+NUMBER_CHARS = 20
+FRAME = " \t\r\f-–—_=~*#.,;:[](){}<>/\\'\"«»•·…"
+_NUMBER_LINE = re.compile(r"^(?:(?:page|p|pg|seite|s|no)\b\.?\s*)?\W*([0-9lIi|!OoSsBZzbgq]{1,5}|[ivxlcdm]{1,7})\s*(?:(?:of|/|von|sur|de)\s*[0-9lIi|!OoSsBZzbgq]{1,5})?$", re.I)
 _NOTE = re.compile(r"^\s*(?:\((\d{1,2})\)|\[(\d{1,2})\]|(\d{1,2})\))\s+\S")
 _SIDE = re.compile(r"^\s*[\[(]?\w{1,5}[\])]?\s{2,}(\S.*)$|^\s*(\S.*?)\s{2,}[\[(]?\w{1,5}[\])]?\s*$")
 
 
 def number_value(line: str) -> int | None:
     """The number that a line of nothing but a (possibly misread) page number shows."""
-    m = _NUMBER_LINE.match(line)
+    core = line.strip(FRAME)
+    m = _NUMBER_LINE.match(core) if len(core) <= NUMBER_CHARS and not line.rstrip().endswith((".", ";", ":", ",")) else None
     if not m:
         return None
     s = m[1]
@@ -57,14 +65,20 @@ def skeleton(line: str) -> str:
     return re.sub(r"[^a-z]+", "", line.lower())
 
 
+@lru_cache(maxsize=100_000)
+def _pairs_of(a: str) -> frozenset[str]:
+    return frozenset(a[i : i + 2] for i in range(len(a) - 1))
+
+
+@lru_cache(maxsize=200_000)
 def alike(a: str, b: str) -> float:
     """Share of equal letter pairs of two skeletons."""
     if not a or not b or abs(len(a) - len(b)) > 4:
         return 0.0
     if a == b:
         return 1.0
-    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-    return 2 * sum((x & y).values()) / max(sum(x.values()) + sum(y.values()), 1)
+    x, y = _pairs_of(a), _pairs_of(b)
+    return 2 * len(x & y) / max(len(x) + len(y), 1)
 
 
 @dataclass
@@ -79,7 +93,7 @@ class Zone:
     @staticmethod
     def of(text: str) -> "Zone":
         nb = [x for x in text.split("\n") if x.strip()]
-        return Zone(nb[:2], nb[-3:], [x.split()[0] for x in nb[:5]], [x.split()[-1] for x in nb[-8:]])
+        return Zone(nb[:ZONE_TOP], nb[-ZONE_FOOT:], [x.split()[0] for x in nb[:ZONE_FIRSTS]], [x.split()[-1] for x in nb[-ZONE_LASTS:]])
 
 
 class LineTagger:
@@ -108,7 +122,7 @@ class LineTagger:
                 f += [f"num{edge}", f"num{up}.{min(down, 3)}", f"agree{min(agree, 2)}/{min(len(near), 2)}", f"agree{min(agree, 2)}{edge}", f"agree{min(agree, 2)}/{min(len(near), 4)}{s.isdigit()}", f"plain{s.isdigit()}{edge}", f"plain{s.isdigit()}{min(agree, 2)}"]
                 # nearer to the edge there may be a number of the same form
                 outer = nb[:k] if up < 2 else nb[k + 1 :]
-                f.append(f"outer{any(number_value(lines[j]) is not None for j in outer[-3:] if len(lines[j].strip()) <= 20) if edge != 'mid' else 'mid'}")
+                f.append(f"outer{any(number_value(lines[j]) is not None for j in outer[-3:]) if edge != 'mid' else 'mid'}")
             sk = skeleton(line)
             same = [max([alike(sk, o) for o in e], default=0.0) for e in edges.values()] if edge != "mid" and len(sk) > 5 else []
             best, many = max(same, default=0.0), sum(x > 0.7 for x in same)
@@ -122,7 +136,7 @@ class LineTagger:
             words = re.findall(r"[a-z]+", s.lower())
             plain = sum(w in self.common for w in words)
             f += [f"common{min(plain, 3)}{edge}", f"common{min(plain, 3)}{title}{many > 0}{edge}", f"ends{bool(words) and words[-1] in self.common}{edge}", f"starts{bool(words) and words[0] in self.common}{title}{edge}"]
-            f += [f"like{int(best * 5)}{edge}", f"many{min(many, 2)}{edge}", f"title{title}{edge}", f"title{title}{edge}{many > 0}", f"title{title}{edge}{gap_below}{gap_above}", f"title{title}{up}{lower_next}", f"lone{many > 0}{min(len(near), 3)}{title}{edge}", f"upper{s.isupper() and v is None}{edge}", f"slash{' / ' in s}{title}{edge}", f"stop{stop}{edge}", f"side{side}{edge}{title}"]
+            f += [f"like{int(best * 5)}{edge}", f"many{min(many, 2)}{edge}", f"title{title}{edge}", f"title{title}{edge}{many > 0}", f"title{title}{edge}{gap_below}{gap_above}", f"title{title}{up}{lower_next}", f"lone{many > 0}{min(len(near), 3)}{title}{edge}", f"upper{s.isupper() and v is None}{edge}", f"stop{stop}{edge}", f"side{side}{edge}{title}"]
             if m:
                 mark = m[1] or m[2] or m[3]
                 cited = len(re.findall(rf"(?<=\S)\s?[(\[]{mark}[)\]]", text)) > 0
@@ -132,9 +146,9 @@ class LineTagger:
 
         for k, i in enumerate(nb):
             s = lines[i].strip()
-            v = number_value(lines[i]) if len(s) <= 20 else None
+            v = number_value(s)
             m = _NOTE.match(lines[i])
-            yield i, v is not None, m is not None, k < 3 or k >= len(nb) - 4, (lambda k=k, v=v, m=m: features(k, v, m))
+            yield i, v is not None, m is not None, k < TOP_LINES or k >= len(nb) - FOOT_LINES, (lambda k=k, v=v, m=m: features(k, v, m))
 
     @staticmethod
     def with_past(f: list[str], before: str, gap: bool) -> list[str]:
@@ -177,52 +191,13 @@ class LineTagger:
         return self
 
 
-class LineJoiner:
-    """Perceptron for the operation at a line's end mark: 'join' (one word, the mark goes), 'hyphen' (the mark stays), 'open' (nothing known)."""
-
-    OPS = ["join", "hyphen", "open"]
-
-    def __init__(self):
-        self.model = Perceptron()
-
-    @staticmethod
-    def features(a: str, b: str, mark: str, lex: dict[str, int]) -> list[str]:
-        left, right, whole = a.rsplit("-", 1)[-1], b.split("-", 1)[0], a + b
-        one, pair = left + right in lex, f"{left}-{right}" in lex
-        return [f"one{one}{pair}", f"one{one}{left in lex}{right in lex}", f"pair{pair}", f"mark{mark == '-'}{one}{pair}", f"letters{right.isalpha()}", f"more{lex.get(left + right, 0) > lex.get(left + '-' + right, 0)}{one}{pair}", f"len{min(len(left), 3)}{min(len(right), 3)}{one}", f"has{whole in lex}"]
-
-    def op(self, a: str, b: str, mark: str, lex: dict[str, int]) -> str:
-        return self.model.best(self.features(a, b, mark, lex), self.OPS)
-
-    def train(self, lex: dict[str, int], rounds: int = 3, seed: int = 5) -> "LineJoiner":
-        rng = random.Random(seed)
-        words = sorted(w for w in lex if len(w) > 3 and "-" not in w)
-        pairs = sorted(w for w in lex if "-" in w)
-        data = []
-        for w in rng.sample(words, min(len(words), TRAIN_WORDS)):
-            at = rng.randint(2, len(w) - 1)
-            data.append((w[:at], w[at:], rng.choice(BREAKS + "---"), "join"))
-            broken = [c for c in w]
-            broken[rng.randrange(len(w))] = rng.choice("|0159")
-            data.append(("".join(broken[:at]), "".join(broken[at:]), rng.choice(BREAKS), "open"))
-        for w in pairs * max(1, len(data) // (4 * max(len(pairs), 1))):
-            a, b = w.rsplit("-", 1)
-            data.append((a, b, rng.choice(BREAKS + "---"), "hyphen"))
-        for _ in range(rounds):
-            rng.shuffle(data)
-            for a, b, mark, y in data:
-                f = self.features(a, b, mark, lex)
-                self.model.update(y, self.model.best(f, self.OPS), f)
-        self.model.average()
-        return self
-
-
 def synthetic_documents(texts: list[str], seed: int = 11) -> list[tuple[list[str], dict[int, Zone], dict[int, str]]]:
     """Labelled pages made from clean texts: lines, the neighbours' zones, the tag of each line that is not blank."""
     rng = random.Random(seed)
     out = []
     sentences = [s for t in texts for s in re.split(r"(?<=[.;])\s+", re.sub(r"[#*|]+", " ", t)) if 20 < len(s) < 300]
-    titles = [" ".join(re.findall(r"[A-Za-z]+", s)[2:4]) for s in sentences] or ["General notice"]
+    words_ = [re.findall(r"[A-Za-z]+", s) for s in sentences]
+    titles = [" ".join(w[at : at + n]) for w in words_ for at, n in [(rng.randint(0, 3), rng.randint(1, 6))] if w[at : at + n]] or ["General report"]
     noise = lambda s: "".join(rng.choice([b for a, b in CONFUSIONS if a == c] or [c]) if rng.random() < 0.03 else c for c in s)
 
     def number(style: int, n: int, last: int) -> str:
@@ -236,9 +211,8 @@ def synthetic_documents(texts: list[str], seed: int = 11) -> list[tuple[list[str
         width, n_pages, offset = rng.randint(58, 82), rng.choice([1, 2, 2, 3, 4, 6, 10]), rng.choice([0, 0, 0, 4, 60, 117])
         style, at_foot, numbered, indent = rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 8]), rng.random() < 0.6, rng.random() < 0.85, rng.random() < 0.25
         number_first = rng.random() < 0.5
-        title = rng.choice(titles).strip().capitalize() or "General notice"
-        title += rng.choice([" / " + rng.choice(titles).lower(), "", ""]) + rng.choice([" notice", " Notice", ""])
-        other = rng.choice(titles).strip().capitalize() + rng.choice([" Notice", ""])
+        style_of = rng.choice([str.capitalize, str.capitalize, str.title])
+        title, other = (style_of(rng.choice(titles)) + (rng.choice([", ", ": ", " - ", " – ", "; ", " | "]) + style_of(rng.choice(titles)) if rng.random() < 0.3 else "") for _ in range(2))
         headed, two, foot_title, shout, beside = rng.random() < 0.75, rng.random() < 0.25, rng.random() < 0.35, rng.random() < 0.25, rng.random() < 0.2
         noted, square, spaced, first_too = rng.random() < 0.5, rng.random() < 0.3, rng.random() < 0.6, rng.random() < 0.3
         pages = []
@@ -251,7 +225,7 @@ def synthetic_documents(texts: list[str], seed: int = 11) -> list[tuple[list[str
                     notes += 1
                     words[-1] += f"[{notes}]" if square else f"({notes})"
                 if rng.random() < 0.1:
-                    words += f"This covers the {title}.".split()
+                    words += f"{rng.choice(sentences)[:20]} {title}.".split()
                 if rng.random() < 0.25:
                     words.insert(0, rng.choice(["1.", "(a)", "(ii)", "2.", "-", "(b)"]))
                 line = "   " if indent else ""
@@ -305,10 +279,10 @@ _NUMERIC = re.compile(r"^[0-9lIO|!oSBZ]+$")
 
 
 class Repairer:
-    """Everything a worker needs: lexicon, tagger, joiner, editor; corrections are remembered."""
+    """Everything a worker needs: lexicon, tagger, editor; corrections are remembered."""
 
-    def __init__(self, lex: dict[str, int], tagger: LineTagger, joiner: LineJoiner, editor: CharacterEditor):
-        self.lex, self.tagger, self.joiner, self.editor = lex, tagger, joiner, editor
+    def __init__(self, lex: dict[str, int], tagger: LineTagger, editor: CharacterEditor):
+        self.lex, self.tagger, self.editor = lex, tagger, editor
         self.memo: dict[str, tuple[str, list[int]] | None] = {}
         self.known: dict[str, list[tuple[str, int]]] = {}
         self.prefixes: set[str] | None = None
@@ -321,15 +295,14 @@ class Repairer:
         if self.prefixes is None:
             self.prefixes = {w[:i] for w in self.lex if "-" not in w for i in range(len(w) + 1)}
         out = None
-        if len(word) <= 40:
-            digits = sum(c.isdigit() for c in word)
-            if digits and 2 * digits >= len(word) and _NUMERIC.match(word):
-                out = self.editor.edits(word, lambda s: not s or s.isdigit(), str.isdigit)
-            elif len(word) > 1:
-                low, most = word.lower(), 1 if len(word) < 6 else 2 if len(word) < 11 else 3
-                out = self.editor.edits(low, self.prefixes.__contains__, self.lex.__contains__, most=most)
-                if out is None and low != word:  # capitals that were read for digits or small letters
-                    out = self.editor.edits(word, lambda s: s.lower() in self.prefixes, lambda s: s.lower() in self.lex, most=most)
+        digits = sum(c.isdigit() for c in word)
+        if digits and 2 * digits >= len(word) and _NUMERIC.match(word):
+            out = self.editor.edits(word, lambda s: not s or s.isdigit(), str.isdigit)
+        elif len(word) > 1:
+            low, most = word.lower(), 1 + (len(word) - 1) // 5  # one edit for every five characters begun
+            out = self.editor.edits(low, self.prefixes.__contains__, self.lex.__contains__, most=most)
+            if out is None and low != word:  # capitals that were read for digits or small letters
+                out = self.editor.edits(word, lambda s: s.lower() in self.prefixes, lambda s: s.lower() in self.lex, most=most)
         if len(self.memo) >= MEMO:
             self.memo.clear()
         self.memo[word] = out
@@ -370,8 +343,21 @@ class Repairer:
             i += len(part)
         return out
 
-    def page(self, text: str | None, near: dict[int, Zone]) -> tuple[list[tuple[int, str]], list[str], bool]:
-        """(line number, kind) of all noise of a page; its paragraphs; whether the last paragraph goes on on the next page."""
+    def fix_here(self, word: str, rare: dict[str, tuple[int | None, str | None]]) -> tuple[str, list[int]] | None:
+        """``fix`` on a page with the rare words ``rare``: such a word is right unless it would become one that is FAR_MORE frequent."""
+        out = self.fix(word)
+        n, other = rare.get(word.lower(), (None, None))
+        if n is not None and not (out and self.lex.get(out[0].lower(), 0) >= FAR_MORE * n):
+            return None
+        return out or ((other, [i for i in range(len(word)) if word[i : i + 1].lower() != other[i : i + 1]]) if other else None)
+
+    def page(self, text: str | None, near: dict[int, Zone], rare: dict[str, tuple[int | None, str | None]] | None = None) -> tuple[list[tuple[int, str]], list[str], bool]:
+        """(line number, kind) of all noise of a page; its paragraphs; whether the last paragraph goes on on the next page.
+
+        ``rare``: of words on this page that the lexicon lacks, how often they occur in clean texts, or the rare word that
+        one confusion turned into them.
+        """
+        rare = rare or {}
         if not text or not text.strip():
             return [], [], False
         lines = text.split("\n")
@@ -392,15 +378,15 @@ class Repairer:
         def link(a: str, b: str, mark: str, edit: bool = True) -> tuple[str, list[int], int]:
             """Operation between two halves, places of wrong characters, and where the second half begins."""
             left, right = a.rsplit("-", 1)[-1], b.split("-", 1)[0]
-            op = self.joiner.op(a, b, mark, self.lex)
+            op = self.editor.join(a, b, mark, self.lex)
             whole = left + right
             if op == "join" and whole in self.lex:
                 return "join", [], len(left)
             if op == "hyphen" or (left in self.lex and right in self.lex and mark == "-"):
                 return "hyphen", [], len(left)
-            if whole in self.lex:
+            if whole in self.lex or rare.get(whole, (None,))[0] is not None:
                 return "join", [], len(left)
-            fixed = self.fix(whole) if edit and right[:1].isalpha() or right[:1] in "|!(01569" else None
+            fixed = self.fix_here(whole, rare) if edit and right[:1].isalpha() or right[:1] in "|!(01569" else None
             if fixed and not any(c.isdigit() for c in fixed[0]):
                 return "join", fixed[1], len(left)
             return "open", [], len(left)
@@ -439,7 +425,7 @@ class Repairer:
             joined[i] = op
             if op == "join" and n + 1 < len(body):
                 left, right = e[0].rsplit("-", 1)[-1], first_word(tokens[body[n + 1]][0]).split("-", 1)[0]
-                if places and (f := self.fix(left + right)):
+                if places and (f := self.fix_here(left + right, rare)):
                     head, rest = tokens[i][-1][: len(tokens[i][-1]) - 1 - len(left)], tokens[body[n + 1]][0][len(right) :]
                     repaired[i][-1] = head + _like(f[0], tokens[i][-1][len(head) :])
                     repaired[body[n + 1]][0] = rest
@@ -471,7 +457,7 @@ class Repairer:
                     ps = [p for p in ps if p[1] + len(p[0]) < len(t)]
                 new = repaired[i][k]
                 for w, at in ps:
-                    f = self.fix(w)
+                    f = self.fix_here(w, rare)
                     if f:
                         bad.add(i)
                         new = new.replace(w, _like(f[0], w), 1)
@@ -501,42 +487,79 @@ def _like(word: str, shape: str) -> str:
     return word.upper() if shape.isupper() and len(shape) > 1 else word.capitalize() if shape[:1].isupper() else word
 
 
-def lexicon(chunks: DataFrame) -> dict[str, int]:
-    """Words of the clean chunks (no page_no) with their counts; a bounded number (see LEX_SHARE), whatever the corpus holds.
+def word_counts(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(w, n) of the words of the clean chunks (no page_no) that occur LEX_LEAST times, and the count from which a word goes to all workers.
 
     Hyphenated words count whole and in parts. Letters in brackets, truncated and coded strings are no words.
     """
-    x = chunks.filter("page_no is null and text is not null").select(F.explode(F.split(F.lower("text"), "\\s+")).alias("w"))
-    x = x.filter(~F.col("w").rlike("^[(\\[].[)\\]]")).select(F.regexp_extract("w", "^[(\\[\"'„“«]*(\\p{L}+(?:-\\p{L}+)*)[.,;:)\\]\"'“”»?!]*$", 1).alias("w")).filter("w != ''")
-    whole = x.groupBy("w").agg(F.count("*").alias("n"))
-    parts = whole.filter(F.col("w").contains("-")).select(F.explode(F.split("w", "-")).alias("w"), "n").filter("w != ''")
-    counts = whole.unionByName(parts).groupBy("w").agg(F.sum("n").alias("n"))
-    counts, _ = write_table(counts, "lexicon")
+    x = chunks.filter("page_no is null and text is not null").select(F.explode(F.split(F.lower("text"), "\\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    x = x.filter(~F.col("w").rlike("^[(\\[].[)\\]]")).select(F.regexp_extract("w", "^[(\\[\"'„“«]*(\\p{L}+(?:-\\p{L}+)*)[.,;:)\\]\"'“”»?!]*$", 1).alias("w"), "n").filter("w != ''")
+    forms = F.when(F.col("w").contains("-"), F.concat(F.array("w"), F.split("w", "-"))).otherwise(F.array("w"))
+    counts, _ = write_table(x.select(F.explode(forms).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")), "lexicon")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEX_LEAST, -(-total // LEX_SHARE))
+    return counts.filter(F.col("n") >= LEX_LEAST), max(LEX_LEAST, -(-total // LEX_SHARE))
+
+
+def lexicon(chunks: DataFrame) -> dict[str, int]:
+    """The words that go to all workers, with their counts; a bounded number (see LEX_SHARE), whatever the corpus holds."""
+    counts, least = word_counts(chunks)
     return {r["w"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
 
 
-def train(chunks: DataFrame) -> Repairer:
+@dataclass
+class Trained:
+    """What ``train`` learns: the repairer, and the words that are known but too rare for all workers (None: there can be none)."""
+
+    repairer: Repairer
+    tail: DataFrame | None = None
+
+
+def train(chunks: DataFrame) -> Trained:
     """Lexicon and models from the clean chunks; the labelled samples are bounded by TRAIN_TEXTS and TRAIN_WORDS."""
-    lex = lexicon(chunks)
+    counts, least = word_counts(chunks)
+    lex = {r["w"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
     some = chunks.filter("page_no is null and length(text) between 200 and 20000").select("chunk_id", "text").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(TRAIN_TEXTS).collect()
     words = [w for w in lex if "-" not in w and len(w) > 1]
     words = sorted(words, key=lambda w: (-lex[w], w))[:TRAIN_WORDS]
     years = [str(y) for y in range(2000, 2060)] + [str(n) for n in range(10, 130)]
-    editor = CharacterEditor().train(words + years)
+    editor = CharacterEditor().train(words + years, lex, TRAIN_WORDS)
     tagger = LineTagger(sorted(lex, key=lambda w: (-lex[w], w))[:40]).train(synthetic_documents([r["text"] for r in some]))
-    return Repairer(lex, tagger, LineJoiner().train(lex), editor)
+    return Trained(Repairer(lex, tagger, editor), counts.filter(F.col("n") < least) if least > LEX_LEAST else None)
+
+
+def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(w, v, v == w) for w in pdf["w"] for v in {w} | one_edit(w)]
+        yield pd.DataFrame(rows, columns=["w", "v", "own"])
+
+
+def rare_words(pages: DataFrame, trained: Trained) -> DataFrame:
+    """(chunk_id, at, rare): for each page, its words that are beyond the lexicon of all workers but known, or one confusion from such a word.
+
+    Distinct words are looked up once, in all their forms; words broken at a line's end count in one piece as well.
+    """
+    spark = pages.sparkSession
+    head = spark.createDataFrame([(w,) for w in trained.repairer.lex], "w string")  # bounded: LEX_SHARE words
+    marked = F.split(F.regexp_replace(F.lower("text"), f"[{BREAKS}][ \\t]*\\n\\s*", "\x01"), "[^\\p{L}\\p{N}|!(\x01]+")
+    token = F.col("t")
+    words = F.when(token.contains("\x01"), F.concat(F.array(F.translate(token, "\x01", "")), F.split(token, "\x01"))).otherwise(F.array(token))
+    on_page = pages.filter("text is not null").select("chunk_id", "at", F.explode(F.array_distinct(marked)).alias("t")).select("chunk_id", "at", F.explode(words).alias("w")).select("chunk_id", "at", F.rtrim("w", F.lit("!|(")).alias("w"))
+    on_page, _ = write_table(on_page.filter("length(w) > 1 and not w rlike '^[0-9]+$'").join(F.broadcast(head), "w", "left_anti"), "unknown")
+    forms = on_page.select("w").distinct().mapInPandas(_variants, "w string, v string, own boolean")
+    hits = forms.join(trained.tail.select(F.col("w").alias("v"), "n"), "v").groupBy("w").agg(F.max(F.when(F.col("own"), F.col("n"))).alias("n"), F.max_by("v", F.struct("n", "v")).alias("other"))
+    return on_page.join(hits, "w").groupBy("chunk_id", "at").agg(F.collect_list(F.struct("w", "n", "other")).alias("rare"))
 
 
 def _zone(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\r", "  "))) > 0)
-    words = lambda a, k: F.transform(a, lambda x: F.element_at(F.filter(F.split(F.translate(x, "\t\r", "  "), " "), lambda y: y != ""), k))
-    return F.struct(F.slice(lines, 1, 2).alias("top"), F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)).alias("foot"), words(F.slice(lines, 1, 5), 1).alias("firsts"), words(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), F.lit(8)), -1).alias("lasts"))
+    lines = F.split(F.btrim(text, F.lit(" \t\r\n")), "\\s*\\n\\s*")
+    end = lambda k: F.greatest(F.size(lines) - k + 1, F.lit(1))
+    firsts = F.transform(F.slice(lines, 1, ZONE_FIRSTS), lambda x: F.substring_index(F.translate(x, "\t\r", "  "), " ", 1))
+    lasts = F.transform(F.slice(lines, end(ZONE_LASTS), F.lit(ZONE_LASTS)), lambda x: F.substring_index(F.rtrim(F.translate(x, "\t\r", "  ")), " ", -1))
+    return F.struct(F.slice(lines, 1, ZONE_TOP).alias("top"), F.slice(lines, end(ZONE_FOOT), F.lit(ZONE_FOOT)).alias("foot"), firsts.alias("firsts"), lasts.alias("lasts"))
 
 
-def pages_with_neighbours(chunks: DataFrame) -> DataFrame:
-    """Pages with the zones of the two pages before and after; of several scans of a neighbour the latest serves.
+def pages_with_neighbours(chunks: DataFrame, trained: Trained) -> DataFrame:
+    """Pages with the zones of the two pages before and after (of several scans of a neighbour the latest serves), and their rare words.
 
     Neighbours meet by (doc_id, page_no), so a document of any number of pages is spread over all tasks.
     """
@@ -545,14 +568,21 @@ def pages_with_neighbours(chunks: DataFrame) -> DataFrame:
     some = pages.filter("text is not null and doc_id is not null").groupBy("doc_id", "page_no").agg(F.max_by(_zone(F.col("text")), F.struct("at", "chunk_id")).alias("zone"))
     near = some.select("doc_id", F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("d"), (F.col("page_no") - F.col("d")).alias("page_no"), "zone")
     near = near.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("d", "zone.top", "zone.foot", "zone.firsts", "zone.lasts")).alias("near"))
-    return pages.join(near, ["doc_id", "page_no"], "left")
+    x = pages.join(near, ["doc_id", "page_no"], "left")
+    if trained.tail is None:
+        return x.withColumn("rare", F.lit(None).cast("array<struct<w:string,n:bigint,other:string>>"))
+    return x.join(rare_words(pages, trained), ["chunk_id", "at"], "left")
+
+
+def _rare(rows) -> dict[str, tuple[int | None, str | None]]:
+    return {r["w"]: (r["n"], r["other"]) for r in (rows if rows is not None else [])}
 
 
 def _near(rows) -> dict[int, Zone]:
     return {int(r["d"]): Zone(*([x for x in (r[k] if r[k] is not None else []) if x is not None] for k in ("top", "foot", "firsts", "lasts"))) for r in (rows if rows is not None else [])}
 
 
-def page_noise(chunks: DataFrame, repairer: Repairer | None = None) -> DataFrame:
+def page_noise(chunks: DataFrame, trained: Trained | None = None) -> DataFrame:
     """(chunk_id, line_no, noise) of all pages: header, page_number, footnote, hyphen, misread.
 
     Lines count from 1 and blank lines count; null and empty pages have no noise. Of rows sent again (same chunk_id) the
@@ -560,42 +590,43 @@ def page_noise(chunks: DataFrame, repairer: Repairer | None = None) -> DataFrame
     have no neighbours.
     """
     spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(repairer or train(chunks))  # bounded: LEX_SHARE words, models over them
+    trained = trained or train(chunks)
+    shared = spark.sparkContext.broadcast(trained.repairer)  # bounded: LEX_SHARE words, models over them
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
-            rows = [(c, a, n, k) for c, a, t, z in zip(pdf["chunk_id"], pdf["at"], pdf["text"], pdf["near"]) for n, k in r.page(t, _near(z))[0]]
+            rows = [(c, a, n, k) for c, a, t, z, w in zip(pdf["chunk_id"], pdf["at"], pdf["text"], pdf["near"], pdf["rare"]) for n, k in r.page(t, _near(z), _rare(w))[0]]
             yield pd.DataFrame(rows, columns=["chunk_id", "at", "line_no", "noise"])
 
-    rows = pages_with_neighbours(chunks).select("chunk_id", F.unix_micros("at").alias("at"), "text", "near").mapInPandas(run, "chunk_id long, at long, line_no long, noise string")
+    rows = pages_with_neighbours(chunks, trained).select("chunk_id", F.unix_micros("at").alias("at"), "text", "near", "rare").mapInPandas(run, "chunk_id long, at long, line_no long, noise string")
     last = chunks.filter("page_no is not null").select("chunk_id", F.unix_micros(F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp"))).alias("at")).groupBy("chunk_id").agg(F.max("at").alias("at"))
     return rows.join(last, ["chunk_id", "at"]).select("chunk_id", "line_no", "noise").distinct()
 
 
-def running_text(chunks: DataFrame, repairer: Repairer | None = None) -> DataFrame:
+def running_text(chunks: DataFrame, trained: Trained | None = None) -> DataFrame:
     """(doc_id, para_no, page_no, text): the repaired paragraphs of each scanned document in reading order.
 
     Of several scans of a page the latest serves. A paragraph that a page break cuts is put together again; page_no is
     where it begins. Furniture is left out, broken words are joined, wrong characters replaced.
     """
     spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(repairer or train(chunks))
+    trained = trained or train(chunks)
+    shared = spark.sparkContext.broadcast(trained.repairer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
             rows = []
-            for d, p, t, z in zip(pdf["doc_id"], pdf["page_no"], pdf["text"], pdf["near"]):
-                near = _near(z)
-                _, paras, ends = r.page(t, near)
+            for d, p, t, z, w in zip(pdf["doc_id"], pdf["page_no"], pdf["text"], pdf["near"], pdf["rare"]):
+                _, paras, ends = r.page(t, _near(z), _rare(w))
                 rows += [(d, p, k, x, ends and k == len(paras) - 1) for k, x in enumerate(paras)]
             yield pd.DataFrame(rows, columns=["doc_id", "page_no", "part", "text", "goes_on"])
 
-    pages = pages_with_neighbours(chunks).filter("doc_id is not null")
+    pages = pages_with_neighbours(chunks, trained).filter("doc_id is not null")
     newest = pages.groupBy("doc_id", "page_no").agg(F.max(F.struct("at", "chunk_id")).alias("m")).select("doc_id", "page_no", "m.at", "m.chunk_id")
     pages = pages.join(newest, ["doc_id", "page_no", "at", "chunk_id"], "left_semi").dropDuplicates(["doc_id", "page_no"])
-    parts = pages.select("doc_id", "page_no", "text", "near").mapInPandas(run, "doc_id string, page_no int, part int, text string, goes_on boolean")
+    parts = pages.select("doc_id", "page_no", "text", "near", "rare").mapInPandas(run, "doc_id string, page_no int, part int, text string, goes_on boolean")
     parts, _ = write_table(parts, "parts")
     opened = parts.filter("goes_on").select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(0).alias("part"), F.lit(0).alias("starts"))
     x = parts.join(opened, ["doc_id", "page_no", "part"], "left").withColumn("starts", F.coalesce("starts", F.lit(1)))
