@@ -39,6 +39,7 @@ _NOTE = re.compile(r"^\s*(?:\((\d{1,2})\)|\[(\d{1,2})\]|(\d{1,2})\))\s+\S")
 _SIDE = re.compile(r"^\s*[\[(]?\w{1,5}[\])]?\s{2,}(\S.*)$|^\s*(\S.*?)\s{2,}[\[(]?\w{1,5}[\])]?\s*$")
 
 
+@lru_cache(maxsize=100_000)
 def number_value(line: str) -> int | None:
     """The number that a line of nothing but a (possibly misread) page number shows."""
     core = line.strip(FRAME)
@@ -57,6 +58,7 @@ def number_value(line: str) -> int | None:
     return int(d) if d.isdigit() else None
 
 
+@lru_cache(maxsize=100_000)
 def skeleton(line: str) -> str:
     """Letters of a line in lower case, a number at either side taken off: what a running title keeps from page to page."""
     m = _SIDE.match(line)
@@ -146,8 +148,8 @@ class LineTagger:
 
         for k, i in enumerate(nb):
             s = lines[i].strip()
-            v = number_value(s)
-            m = _NOTE.match(lines[i])
+            v = number_value(s) if len(s.strip(FRAME)) <= NUMBER_CHARS else None
+            m = _NOTE.match(s) if s[0] in "([" or s[0].isdigit() else None
             yield i, v is not None, m is not None, k < TOP_LINES or k >= len(nb) - FOOT_LINES, (lambda k=k, v=v, m=m: features(k, v, m))
 
     @staticmethod
@@ -285,6 +287,7 @@ class Repairer:
         self.lex, self.tagger, self.editor = lex, tagger, editor
         self.memo: dict[str, tuple[str, list[int]] | None] = {}
         self.known: dict[str, list[tuple[str, int]]] = {}
+        self.plain: set[str] = set()  # tokens of which nothing is to be known
         self.prefixes: set[str] | None = None
         self._heads: set[str] | None = None
 
@@ -321,6 +324,10 @@ class Repairer:
             if len(self.known) >= MEMO:
                 self.known.clear()
             out = self.known[token] = self.unknown_parts(token)
+            if not out and token[-1] not in BREAKS:
+                if len(self.plain) >= MEMO:
+                    self.plain.clear()
+                self.plain.add(token)
         return out
 
     def unknown_parts(self, token: str) -> list[tuple[str, int]]:
@@ -351,8 +358,8 @@ class Repairer:
             return None
         return out or ((other, [i for i in range(len(word)) if word[i : i + 1].lower() != other[i : i + 1]]) if other else None)
 
-    def page(self, text: str | None, near: dict[int, Zone], rare: dict[str, tuple[int | None, str | None]] | None = None) -> tuple[list[tuple[int, str]], list[str], bool]:
-        """(line number, kind) of all noise of a page; its paragraphs; whether the last paragraph goes on on the next page.
+    def page(self, text: str | None, near: dict[int, Zone], rare: dict[str, tuple[int | None, str | None]] | None = None, with_text: bool = True) -> tuple[list[tuple[int, str]], list[str], bool]:
+        """(line number, kind) of all noise of a page; its paragraphs (none without ``with_text``); whether the last goes on on the next page.
 
         ``rare``: of words on this page that the lexicon lacks, how often they occur in clean texts, or the rare word that
         one confusion turned into them.
@@ -445,6 +452,8 @@ class Repairer:
                         bad.add(body[0])
                     break
         for i in body:
+            if self.plain.issuperset(tokens[i]):
+                continue
             last = len(tokens[i]) - 1
             for k, token in enumerate(tokens[i]):
                 t = token
@@ -463,7 +472,7 @@ class Repairer:
                         new = new.replace(w, _like(f[0], w), 1)
                 repaired[i][k] = new
         found += [(i + 1, "misread") for i in bad]
-        return sorted(set(found)), *self._paragraphs(lines, body, repaired, joined, tags)
+        return sorted(set(found)), *(self._paragraphs(lines, body, repaired, joined, tags) if with_text else ([], False))
 
     @staticmethod
     def _paragraphs(lines, body, repaired, joined, tags) -> tuple[list[str], bool]:
@@ -551,11 +560,13 @@ def rare_words(pages: DataFrame, trained: Trained) -> DataFrame:
 
 
 def _zone(text: Column) -> Column:
-    lines = F.split(F.btrim(text, F.lit(" \t\r\n")), "\\s*\\n\\s*")
+    blank = F.lit(" \t\r")
+    lines = F.split(F.btrim(text, F.lit(" \t\r\n")), "\\n\\s*")
     end = lambda k: F.greatest(F.size(lines) - k + 1, F.lit(1))
+    cut = lambda a: F.transform(a, lambda x: F.rtrim(x, blank))
     firsts = F.transform(F.slice(lines, 1, ZONE_FIRSTS), lambda x: F.substring_index(F.translate(x, "\t\r", "  "), " ", 1))
     lasts = F.transform(F.slice(lines, end(ZONE_LASTS), F.lit(ZONE_LASTS)), lambda x: F.substring_index(F.rtrim(F.translate(x, "\t\r", "  ")), " ", -1))
-    return F.struct(F.slice(lines, 1, ZONE_TOP).alias("top"), F.slice(lines, end(ZONE_FOOT), F.lit(ZONE_FOOT)).alias("foot"), firsts.alias("firsts"), lasts.alias("lasts"))
+    return F.struct(cut(F.slice(lines, 1, ZONE_TOP)).alias("top"), cut(F.slice(lines, end(ZONE_FOOT), F.lit(ZONE_FOOT))).alias("foot"), firsts.alias("firsts"), lasts.alias("lasts"))
 
 
 def pages_with_neighbours(chunks: DataFrame, trained: Trained) -> DataFrame:
@@ -565,7 +576,7 @@ def pages_with_neighbours(chunks: DataFrame, trained: Trained) -> DataFrame:
     """
     at = F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp"))
     pages = chunks.filter("page_no is not null and chunk_id is not null").select("chunk_id", norm_key(F.col("doc_id")).alias("doc_id"), "page_no", "text", at.alias("at"))
-    some = pages.filter("text is not null and doc_id is not null").groupBy("doc_id", "page_no").agg(F.max_by(_zone(F.col("text")), F.struct("at", "chunk_id")).alias("zone"))
+    some = pages.filter("text is not null and doc_id is not null").select("doc_id", "page_no", "at", "chunk_id", _zone(F.col("text")).alias("zone")).groupBy("doc_id", "page_no").agg(F.max_by("zone", F.struct("at", "chunk_id")).alias("zone"))
     near = some.select("doc_id", F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("d"), (F.col("page_no") - F.col("d")).alias("page_no"), "zone")
     near = near.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("d", "zone.top", "zone.foot", "zone.firsts", "zone.lasts")).alias("near"))
     x = pages.join(near, ["doc_id", "page_no"], "left")
@@ -596,7 +607,7 @@ def page_noise(chunks: DataFrame, trained: Trained | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
-            rows = [(c, a, n, k) for c, a, t, z, w in zip(pdf["chunk_id"], pdf["at"], pdf["text"], pdf["near"], pdf["rare"]) for n, k in r.page(t, _near(z), _rare(w))[0]]
+            rows = [(c, a, n, k) for c, a, t, z, w in zip(pdf["chunk_id"], pdf["at"], pdf["text"], pdf["near"], pdf["rare"]) for n, k in r.page(t, _near(z), _rare(w), with_text=False)[0]]
             yield pd.DataFrame(rows, columns=["chunk_id", "at", "line_no", "noise"])
 
     rows = pages_with_neighbours(chunks, trained).select("chunk_id", F.unix_micros("at").alias("at"), "text", "near", "rare").mapInPandas(run, "chunk_id long, at long, line_no long, noise string")
