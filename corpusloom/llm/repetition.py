@@ -17,14 +17,16 @@ WORD = regex.compile(r"\p{L}+")
 RUN, SHARE = 5, 0.3
 #: Documents, at most, whose statistics are labelled to train the trees.
 SAMPLE = 4000
-#: Candidates are documents whose predicted share is at least one part in SLACK of the least prediction for a repetitive document of the sample,
-#: and all whose ``seen_fours`` reaches SHARE: repeated runs of four cover every repeated run of five, so no repetitive document is ruled out.
+#: The trees send a document straight to the exact check if its predicted share is at least one part in SLACK of the least prediction
+#: for a repetitive document of the sample. All others are checked exactly only if two proven bounds leave it open that they are repetitive:
+#: repeated runs of two words, and then of four, cover every repeated run of five.
 SLACK = 10.0
+#: Characters, at most, of the texts that are worked on at once, unless one text has more.
+PIECE = 4_000_000
 
-FEATURES = ["seen_words", "seen_pairs", "seen_triples", "seen_fours", "seen_lines", "seen_sentences", "top_word", "log_words", "mean_word"]
+FEATURES = ["seen_words", "seen_pairs", "top_word", "log_words", "mean_word"]
 #: The score never falls when more of a document was seen before.
-MONOTONE = [1, 1, 1, 1, 1, 1, 0, 0, 0]
-_SENTENCE = regex.compile(r"[.!?;:|\n\r]+")
+MONOTONE = [1, 1, 0, 0, 0]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -32,78 +34,81 @@ def words_of(text: str | None) -> list[str]:
     return [w.lower() for w in WORD.findall(text)] if text else []
 
 
-def codes_of(words: list[str]) -> np.ndarray:
-    ids: dict[str, int] = {}
-    return np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1].astype(np.int64)
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dense codes of pairs of codes, without collisions."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+class Words:
+    """The words of several documents as one array of codes, with the document of each; runs never reach over a document's end."""
 
+    def __init__(self, codes: np.ndarray, doc: np.ndarray, n: np.ndarray):
+        self.codes, self.doc, self.n = codes, doc, n
+        self._runs = {1: codes}
 
-def _seen(codes: np.ndarray) -> np.ndarray:
-    """Whether the same code occurred at an earlier place."""
-    if not len(codes):
-        return np.zeros(0, bool)
-    _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-    return first[inverse] < np.arange(len(codes))
+    @staticmethod
+    def of(texts: list[list[str]]) -> "Words":
+        ids: dict[str, int] = {}
+        codes = np.array([ids.setdefault(w, len(ids)) for t in texts for w in t], dtype=np.int64)
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        return Words(codes, np.repeat(np.arange(len(texts)), n), n)
 
+    def of_docs(self, keep: np.ndarray) -> "Words":
+        """Only the documents that ``keep`` marks, numbered anew."""
+        new = np.cumsum(keep) - 1
+        at = keep[self.doc]
+        return Words(_dense(self.codes[at]), new[self.doc[at]], self.n[keep])
 
-def _cover(starts: np.ndarray, n: int, run: int) -> int:
-    """Number of places within ``run`` of a start."""
-    d = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(d, np.flatnonzero(starts), 1)
-    np.add.at(d, np.minimum(np.flatnonzero(starts) + run, n), -1)
-    return int((np.cumsum(d)[:n] > 0).sum())
+    def runs(self, k: int) -> np.ndarray:
+        """Codes of the runs of ``k`` words (1, 2, 4 or 5) that begin at each place, without collisions."""
+        if k not in self._runs:
+            half, rest = {2: (1, 1), 4: (2, 2), 5: (4, 1)}[k]
+            a, b = self.runs(half), self.runs(rest)
+            n = max(len(self.codes) - k + 1, 0)
+            self._runs[k] = _dense(a[:n] * (int(b.max(initial=0)) + 1) + b[half : half + n])
+        return self._runs[k]
 
+    def seen(self, k: int) -> np.ndarray:
+        """For each document, the share of words that lie in a run of ``k`` words that began earlier in it as well."""
+        g, size = self.runs(k), len(self.codes)
+        at = np.flatnonzero(self.doc[: len(g)] == self.doc[size - len(g) :])
+        key = self.doc[at] * (int(g.max(initial=0)) + 1) + g[at]
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        starts = at[first[inverse] < np.arange(len(at))]
+        step = np.bincount(starts, minlength=size + 1) - np.bincount(starts + k, minlength=size + 1)
+        return np.bincount(self.doc, weights=np.cumsum(step)[:size] > 0, minlength=len(self.n)) / np.maximum(self.n, 1)
 
-def repeated_share(codes: np.ndarray) -> float:
-    """Words in a run of five whose same five words began earlier in the text, by all words; 0 for fewer than six words."""
-    n = len(codes)
-    if n <= RUN:
-        return 0.0
-    two = _join(codes[:-1], codes[1:])
-    four = _join(two[:-2], two[2:])
-    five = _join(four[:-1], codes[RUN - 1 :])
-    return _cover(_seen(five), n, RUN) / n
 
+def repeated_shares_of(words: Words) -> np.ndarray:
+    """For each document: words in a run of five whose same five words began earlier, by all words; 0 for fewer than six words."""
+    return words.seen(RUN)
 
-def statistics(text: str | None, words: list[str], codes: np.ndarray) -> list[float]:
-    """The values of FEATURES; all 0 for a text without words."""
-    n = len(codes)
-    if not n:
-        return [0.0] * len(FEATURES)
 
-    def units(parts: list[str]) -> float:
-        seen: set[str] = set()
-        again = whole = 0
-        for p in parts:
-            p = p.strip().lower()
-            if len(p) > 15:
-                whole += len(p)
-                if p in seen:
-                    again += len(p)
-                seen.add(p)
-        return again / whole if whole else 0.0
+def statistics(lists: list[list[str]], words: Words) -> np.ndarray:
+    """The values of FEATURES of each document; all 0 for a text without words."""
+    n, top = np.maximum(words.n, 1), int(words.codes.max(initial=0)) + 1
+    key, count = np.unique(words.doc * top + words.codes, return_counts=True)
+    owner = key // top
+    most = np.zeros(len(n))
+    np.maximum.at(most, owner, count)
+    distinct = np.bincount(owner, minlength=len(n))
+    chars = np.bincount(words.doc, weights=np.array([len(w) for t in lists for w in t], dtype=float), minlength=len(n)) if len(words.codes) else np.zeros(len(n))
+    x = np.stack([1 - distinct / n, words.seen(2), most / n, np.log1p(words.n), chars / n], axis=1)
+    return np.where(words.n[:, None] > 0, x, 0.0)
 
-    two = _join(codes[:-1], codes[1:]) if n > 1 else codes[:0]
-    three = _join(two[:-1], codes[2:]) if n > 2 else codes[:0]
-    four = _join(two[:-2], two[2:]) if n > 3 else codes[:0]
-    return [
-        1 - (int(codes.max()) + 1) / n, _cover(_seen(two), n, 2) / n, _cover(_seen(three), n, 3) / n, _cover(_seen(four), n, 4) / n, units(text.splitlines()), units(_SENTENCE.split(text)),
-        float(np.bincount(codes).max()) / n, float(np.log1p(n)), sum(map(len, words)) / n,
-    ]
+
+def _pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in pieces of PIECE characters, so that memory does not depend on how long the texts of a batch are."""
+    at = (pdf["text"].str.len().fillna(0).cumsum() // PIECE).to_numpy()
+    for k in np.unique(at):
+        yield pdf[at == k]
 
 
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for t in pdf["text"]:
-            w = words_of(t)
-            c = codes_of(w)
-            rows.append([*statistics(t, w, c), repeated_share(c)])
-        yield pd.DataFrame(rows, columns=[*FEATURES, "share"])
+        for part in _pieces(pdf):
+            lists = [words_of(t) for t in part["text"]]
+            words = Words.of(lists)
+            yield pd.DataFrame(np.column_stack([statistics(lists, words), repeated_shares_of(words)]), columns=[*FEATURES, "share"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
@@ -125,21 +130,31 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Forest, float]:
 
 
 def repetition_scores(docs: DataFrame, model: tuple[Forest, float] | None = None) -> DataFrame:
-    """(doc_id, n_words, score, candidate, share): ``score`` is the predicted share; ``share`` is exact, and null for documents the trees rule out.
+    """(doc_id, n_words, score, candidate, share): ``score`` is the predicted share; ``share`` is exact, and null for documents that are
+    ruled out, whose share is below SHARE.
 
     Null, empty and wordless texts have no words and share 0; rows with equal ids stay separate. One pass without a shuffle.
     """
     forest, least = model or train(docs)
 
+    def scored(part: pd.DataFrame) -> pd.DataFrame:
+        lists = [words_of(t) for t in part["text"]]
+        words = Words.of(lists)
+        x = statistics(lists, words)
+        score = forest.score(x)
+        hit = (score >= least) & (words.n > 0)
+        open_ = ~hit & (x[:, FEATURES.index("seen_pairs")] >= SHARE)
+        if open_.any():
+            hit[np.flatnonzero(open_)[words.of_docs(open_).seen(4) >= SHARE]] = True
+        share = np.full(len(x), np.nan)
+        share[words.n == 0] = 0.0
+        if hit.any():
+            share[hit] = repeated_shares_of(words.of_docs(hit))
+        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": words.n, "score": score, "candidate": hit, "share": pd.array(np.where(np.isnan(share), None, share), dtype="Float64")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [words_of(t) for t in pdf["text"]]
-            codes = [codes_of(w) for w in words]
-            x = np.array([statistics(t, w, c) for t, w, c in zip(pdf["text"], words, codes)], dtype=float).reshape(-1, len(FEATURES))
-            score = forest.score(x) if len(x) else np.zeros(0)
-            hit = ((score >= least) | (x[:, FEATURES.index("seen_fours")] >= SHARE)) & np.array([len(c) > 0 for c in codes], dtype=bool)
-            share = [repeated_share(c) if h else (0.0 if not len(c) else None) for c, h in zip(codes, hit)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(c) for c in codes], "score": score, "candidate": hit, "share": pd.array(share, dtype="Float64")})
+            yield from (scored(part) for part in _pieces(pdf))
 
     kind = dict(docs.dtypes)["doc_id"]
     # ids pass the worker as strings: a null among integers would turn them all into floats

@@ -16,16 +16,29 @@ def brute(words):
     return sum(hit) / len(words) if words else 0.0
 
 
+def share(words):
+    return float(rp.repeated_shares_of(rp.Words.of([words]))[0])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
 def test_share_against_brute_force(words):
-    assert rp.repeated_share(rp.codes_of(words)) == brute(words)
+    assert share(words) == brute(words)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=25), max_size=8), st.data())
+def test_documents_side_by_side(texts, data):
+    w = rp.Words.of(texts)
+    assert list(rp.repeated_shares_of(w)) == [brute(t) for t in texts]
+    keep = np.array([data.draw(st.booleans()) for _ in texts], dtype=bool)
+    assert list(rp.repeated_shares_of(w.of_docs(keep))) == [brute(t) for t, k in zip(texts, keep) if k]
 
 
 def test_words():
     assert rp.words_of("It's Ünï-x 12a½b² ÀB") == ["it", "s", "ünï", "x", "a", "b", "àb"]
     assert rp.words_of(None) == [] == rp.words_of("12 34")
-    assert brute(rp.words_of("a b c d e " * 40_000)) == rp.repeated_share(rp.codes_of(rp.words_of("a b c d e " * 40_000)))
+    assert brute(rp.words_of("a b c d e " * 40_000)) == share(rp.words_of("a b c d e " * 40_000))
 
 
 def test_trees_are_monotone_and_learn():
@@ -71,9 +84,9 @@ def test_operator(spark):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
-def test_runs_of_four_cover_runs_of_five(words):
-    codes = rp.codes_of(words)
-    assert rp.statistics(" ".join(words), words, codes)[rp.FEATURES.index("seen_fours")] >= rp.repeated_share(codes)
+def test_runs_of_two_and_four_cover_runs_of_five(words):
+    w = rp.Words.of([words])
+    assert w.seen(2)[0] >= w.seen(5)[0] and w.seen(4)[0] >= w.seen(5)[0]
 
 
 def test_rare_positives_beyond_the_sample(spark):
