@@ -26,6 +26,11 @@ RECITAL_LINE = r"^[ \t]*(?:[-*][ \t]*)?\((\d+)\)[ \t]+[A-Z\"'‘(]"
 TABLE_LINE = r"^\|.+\|[ \t]*$"
 TABLE_RULE = r"^\|[\s\-:|]+\|\s*$"
 
+# fixed values: units of measure that are counted, by what they measure
+UNITS = {"power": r"\b(MW|GW|kW)\b", "energy": r"\b(MWh|GWh|GJ)\b", "price": r"\b(EUR|€)\s*/\s*(MWh|GJ|kWh)\b"}
+#: Recitals of a document that are listed at most.
+MOST_RECITALS = 500
+
 # fixed values: references between articles and instruments
 ARTICLE_MENTION = r"\bArticles?\s+(\d+[a-z]?)\b"
 LIST_GOES_ON = r"\s*(?:to,?|--?|,|and(?:\s+the)?)\s*(\d+[a-z]?)\b"

@@ -12,30 +12,78 @@ def _labels(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def context_lines(candidates: DataFrame, edges: DataFrame, names: DataFrame, most: int = 8, chars: int = 2000, kinds: list[str] | None = None, directions: tuple[str, ...] = ("out", "in")) -> DataFrame:
+def _links(edges: DataFrame) -> DataFrame:
+    """(src, dst, kind, snip, ord): each link once, with its longest evidence cut to SNIPPET characters; links of a node to itself are left out."""
+    text = F.trim(F.coalesce(F.col("snippet") if "snippet" in edges.columns else F.lit(None).cast("string"), F.lit("")))
+    order = F.col("edge_ord") if "edge_ord" in edges.columns else F.lit(0)
+    e = edges.filter("src is not null and dst is not null and src != dst").select("src", "dst", "kind", text.alias("t"), order.alias("o"))
+    e = e.groupBy("src", "dst", "kind").agg(F.max_by("t", F.struct(F.length("t"), -F.col("o"))).alias("t"), F.min("o").alias("ord"))
+    flat = F.regexp_replace("t", r"\s+", " ")
+    return e.select("src", "dst", "kind", F.when(F.length(flat) <= SNIPPET, flat).otherwise(F.concat(F.substring(flat, 1, SNIPPET - 1), F.lit("…"))).alias("snip"), "ord")
+
+
+#: Characters of evidence in a line.
+SNIPPET = 120
+DEFINING = ["DEFINED_IN", "APPLIES_TO"]
+
+
+def context_lines(candidates: DataFrame, edges: DataFrame, names: DataFrame, most: int = 8, chars: int = 2000, kinds: list[str] | None = None, directions: tuple[str, ...] = ("out", "in"),
+                  snippets: bool = True, paths: bool = True, definitions: bool = True, most_paths: int = 3) -> DataFrame:
     """(query_id, lineage_id, n_lines, context): typed lines of the graph around each candidate (query_id, lineage_id, question).
 
-    Outgoing lines come before incoming, each ordered by how many words of the question the neighbour's name shares,
-    then by the neighbour. One line per (kind, direction, neighbour), at most ``most`` lines and ``chars`` characters;
-    ``kinds`` and ``directions`` ('out', 'in') restrict what is shown.
+    Outgoing lines come before incoming, each ordered by how many words of the question the neighbour's name and the
+    evidence share, then by the neighbour. One line per (kind, direction, neighbour), at most ``most`` lines (the first
+    incoming one is shown even if outgoing ones reach it). Behind them up to ``most_paths`` lines 'VIA middle → end' show
+    nodes two outgoing steps away that no line names yet, each by its best way. No line is added beyond ``chars``
+    characters in all. ``kinds``, ``definitions`` (DEFINED_IN and APPLIES_TO) and ``directions`` restrict the lines of one step,
+    ``snippets`` and ``paths`` leave out the evidence and the paths. Candidates that are no node, or have no line, give no row.
     """
-    e = edges.filter("src is not null and dst is not null")
-    if kinds:
-        e = e.filter(F.col("kind").isin(kinds))
-    e = e.select("src", "dst", "kind").distinct()
-    out = e.select(F.col("src").alias("lineage_id"), F.col("dst").alias("other"), F.lit(0).alias("way"), F.coalesce(_labels(fixed.OUT_LABEL)[F.col("kind")], F.col("kind")).alias("label"))
-    inn = e.select(F.col("dst").alias("lineage_id"), F.col("src").alias("other"), F.lit(1).alias("way"), F.coalesce(_labels(fixed.IN_LABEL)[F.col("kind")], F.col("kind")).alias("label"))
     if not set(directions) <= {"out", "in"} or not directions:
         raise ValueError(f"unknown directions {directions!r}")
-    shown = out.unionByName(inn).filter(F.col("way").isin([{"out": 0, "in": 1}[x] for x in directions]))
-    n = names.select(F.col("node_id").alias("other"), T.node_label(F.col("kind"), F.col("title"), F.col("term"), F.col("art_number"), F.col("node_id")).alias("name"))
-    x = candidates.select("query_id", "lineage_id", "question").join(shown, "lineage_id").join(n, "other", "left").withColumn("name", F.coalesce("name", "other"))
-    x = x.withColumn("score", T.overlap_score(F.col("question"), F.col("name")))
-    w = Window.partitionBy("query_id", "lineage_id").orderBy("way", F.col("score").desc(), "other", "label")
-    x = x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).withColumn("line", F.concat("label", F.lit(" "), "name"))
-    x = x.withColumn("used", F.sum(F.length("line") + 1).over(Window.partitionBy("query_id", "lineage_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= chars + 1)
-    g = x.groupBy("query_id", "lineage_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    return g.select("query_id", "lineage_id", "n_lines", F.array_join(F.col("l.line"), "\n").alias("context"))
+    link = _links(edges)
+    if not snippets:
+        link = link.withColumn("snip", F.lit(""))
+    known = names.select("node_id", T.node_label(F.col("kind"), F.col("title"), F.col("term"), F.col("art_number"), F.col("node_id")).alias("name"))
+    seeds = candidates.select("query_id", "lineage_id", "question").distinct().join(names.select(F.col("node_id").alias("lineage_id")), "lineage_id", "left_semi")
+    no = F.lit(None).cast("string")
+
+    def named(x: DataFrame, node: str, out: str) -> DataFrame:
+        x = x.join(known.select(F.col("node_id").alias(node), F.col("name").alias(out)), node, "left")
+        return x.withColumn(out, F.coalesce(out, T.node_label(no, no, no, no, F.col(node))))
+
+    quoted = F.when(F.col("snip") != "", F.concat(F.lit(' — "'), "snip", F.lit('"'))).otherwise("")
+    one = link if kinds is None else link.filter(F.col("kind").isin(kinds))
+    one = one if definitions else one.filter(~F.col("kind").isin(DEFINING))
+    way = lambda here, there, n, table: one.select(F.col(here).alias("lineage_id"), F.col(there).alias("other"), F.lit(n).alias("way"), F.coalesce(_labels(table)[F.col("kind")], F.col("kind")).alias("label"), "snip", "ord")
+    shown = [w for d, w in (("out", way("src", "dst", 0, fixed.OUT_LABEL)), ("in", way("dst", "src", 1, fixed.IN_LABEL))) if d in directions]
+    x = named(seeds.join(shown[0] if len(shown) == 1 else shown[0].unionByName(shown[1]), "lineage_id"), "other", "name")
+    x = x.withColumn("score", T.overlap_score(F.col("question"), F.concat("name", F.lit(" "), "snip")))
+    x = x.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "lineage_id", "way").orderBy(F.col("score").desc(), "other", "ord"))).filter(F.col("n") <= most)
+    x = x.withColumn("line", F.concat("label", F.lit(" "), "name", quoted))
+    g = x.groupBy("query_id", "lineage_id").agg(F.array_sort(F.collect_list(F.struct("way", "n", "line", "other"))).alias("l"))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.array().cast("array<string>").alias("others"), F.lit(0).alias("used"), F.lit(0).alias("n_in"))
+
+    def add(a: Column, i: Column) -> Column:
+        room = (F.size(a["lines"]) < most) | ((i["way"] == 1) & (a["n_in"] == 0))
+        fits = room & (a["used"] + F.length(i["line"]) + 2 <= chars)
+        more = F.struct(F.array_append(a["lines"], i["line"]).alias("lines"), F.array_append(a["others"], i["other"]).alias("others"), (a["used"] + F.length(i["line"])).alias("used"), (a["n_in"] + (i["way"] == 1).cast("int")).alias("n_in"))
+        return F.when(fits, more).otherwise(a)
+
+    lines = g.select("query_id", "lineage_id", F.aggregate("l", start, add).alias("a")).select("query_id", "lineage_id", "a.lines", "a.others", "a.used")
+    if paths:
+        steps = seeds.join(link.select(F.col("src").alias("lineage_id"), F.col("dst").alias("mid")).distinct(), "lineage_id")
+        ends = steps.join(link.select(F.col("src").alias("mid"), F.col("dst").alias("end"), "snip", "ord"), "mid").filter("end != lineage_id")
+        ends = ends.join(lines.select("query_id", "lineage_id", F.explode("others").alias("end")), ["query_id", "lineage_id", "end"], "left_anti")
+        ends = named(named(ends, "mid", "mid_name"), "end", "end_name").withColumn("via", F.concat("mid_name", F.lit(" → "), "end_name"))
+        ends = ends.withColumn("score", T.overlap_score(F.col("question"), F.concat("via", F.lit(" "), "snip"))).withColumn("line", F.concat(F.lit("VIA "), "via", quoted))
+        best = ends.groupBy("query_id", "lineage_id", "end").agg(F.min(F.struct((-F.col("score")).alias("s"), "mid", "ord", "line")).alias("m"))
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "lineage_id").orderBy("m", "end"))).filter(F.col("n") <= most_paths)
+        best = best.groupBy("query_id", "lineage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("m.line").alias("line")))), lambda y: y["line"]).alias("vias"))
+        x = lines.join(best, ["query_id", "lineage_id"], "full_outer").select("query_id", "lineage_id", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("vias", F.array().cast("array<string>")).alias("vias"))
+        begin = F.struct(F.col("lines"), F.col("used"), F.lit(True).alias("on"))
+        put = lambda a, v: F.struct(F.when(a["on"] & (a["used"] + F.length(v) + 2 <= chars), F.array_append(a["lines"], v)).otherwise(a["lines"]).alias("lines"), (a["used"] + F.length(v)).alias("used"), (a["on"] & (a["used"] + F.length(v) + 2 <= chars)).alias("on"))
+        lines = x.select("query_id", "lineage_id", F.aggregate("vias", begin, put)["lines"].alias("lines"))
+    return lines.filter("size(lines) > 0").select("query_id", "lineage_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("context"))
 
 
 def rerank(pool: DataFrame, order: DataFrame) -> DataFrame:

@@ -76,16 +76,13 @@ def candidate_recall(runs: DataFrame, gold: DataFrame, families: DataFrame, ks:
 
 
 def overlap_matrix(runs: DataFrame, k: int = 10) -> DataFrame:
-    """(system_a, system_b, jaccard): mean Jaccard of the first k of two systems over queries of either; 0 for empty unions."""
+    """(system_a, system_b, jaccard): mean Jaccard of the first k of two systems over the queries that both have results for."""
     top = runs.filter(F.col("rank") <= k).select("system", "query_id", "lineage_id").distinct()
     size = top.groupBy("system", "query_id").agg(F.count("*").alias("n"))
     a, b = (size.select(F.col("system").alias(f"system_{x}"), "query_id", F.col("n").alias(f"n_{x}")) for x in "ab")
     both = top.select(F.col("system").alias("system_a"), "query_id", "lineage_id").join(top.select(F.col("system").alias("system_b"), "query_id", "lineage_id"), ["query_id", "lineage_id"]).filter("system_a < system_b").groupBy("system_a", "system_b", "query_id").agg(F.count("*").alias("n_ab"))
-    names = runs.select("system").distinct()
-    pairs = F.broadcast(names.withColumnRenamed("system", "system_a")).join(F.broadcast(names.withColumnRenamed("system", "system_b")), F.col("system_a") < F.col("system_b"))
-    x = size.select("query_id").distinct().join(F.broadcast(pairs)).join(a, ["system_a", "query_id"], "left").join(b, ["system_b", "query_id"], "left").join(both, ["system_a", "system_b", "query_id"], "left").na.fill(0)
-    union = F.col("n_a") + F.col("n_b") - F.col("n_ab")
-    return x.groupBy("system_a", "system_b").agg(F.round(F.avg(F.when(union > 0, F.col("n_ab") / union).otherwise(0.0)), 4).alias("jaccard"))
+    x = a.join(b, "query_id").filter("system_a < system_b").join(both, ["system_a", "system_b", "query_id"], "left").na.fill(0, ["n_ab"])
+    return x.groupBy("system_a", "system_b").agg(F.round(F.avg(F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))), 4).alias("jaccard"))
 
 
 def complementarity(runs: DataFrame, gold: DataFrame, base: list[str], fused: str, k: int = 10) -> DataFrame:
@@ -104,9 +101,14 @@ def triage(ranks: DataFrame, window: int = 5) -> DataFrame:
 
 
 def error_class(rank: Column, k: int, answer: Column, f1: Column, cites: Column, faithful: Column) -> Column:
-    """RETRIEVAL_FAILURE, PARTIAL_RETRIEVAL, CORRECT, UNFAITHFUL or GENERATION_FAILURE of an answered query."""
+    """RETRIEVAL_FAILURE (no rank), PARTIAL_RETRIEVAL (beyond k), CORRECT, CORRECT_RETRIEVAL_WRONG_ANSWER or GENERATION_FAILURE.
+
+    An answer is right if it meets the reference answer (f1 of 0.5) or cites the target, and is judged faithful (3 of 5);
+    a missing judgement, f1 or citation counts as 0. A target in place without any answer is CORRECT.
+    """
+    f1, cites = F.coalesce(f1, F.lit(0.0)), F.coalesce(cites, F.lit(False))
     return (F.when(rank.isNull(), "RETRIEVAL_FAILURE").when(rank > k, "PARTIAL_RETRIEVAL").when(answer.isNull(), "CORRECT")
-            .when(F.coalesce(faithful, F.lit(5)) < 3, "UNFAITHFUL").when((f1 >= 0.5) | cites, "CORRECT").otherwise("GENERATION_FAILURE"))
+            .when(((f1 >= 0.5) | cites) & (F.coalesce(faithful, F.lit(0)) >= 3), "CORRECT").when((f1 > 0.1) | cites, "CORRECT_RETRIEVAL_WRONG_ANSWER").otherwise("GENERATION_FAILURE"))
 
 
 def failure_class(in_pool: Column, rank: Column, correct: Column, k: int = 10) -> Column:
@@ -167,8 +169,52 @@ def scenario_summary(audits: DataFrame) -> DataFrame:
         F.round(F.avg((F.col("compliant") == F.col("called_compliant")).cast("double")), 6).alias("detection_accuracy"))
 
 
-def correction_resolved(kind: Column, original: Column, correction: Column) -> Column:
-    """Whether a proposed correction undoes a deviation: a weakened duty is a duty again, a changed number is the original's again."""
-    low = F.lower(F.coalesce(correction, F.lit("")))
-    numbers = F.regexp_extract_all(F.coalesce(original, F.lit("")), F.lit(r"\d+"), F.lit(0))
-    return F.when(kind == "weakened_duty", low.rlike(r"\b(shall|must)\b")).when(kind == "changed_number", F.forall(numbers, lambda n: F.array_contains(F.regexp_extract_all(low, F.lit(r"\d+"), F.lit(0)), n))).otherwise(F.lit(None).cast("boolean"))
+def correction_resolved(kind: Column, clause: Column, original: Column, correction: Column) -> Column:
+    """Whether a proposed correction undoes the known deviation of ``clause``; null without a deviation.
+
+    It must have text and differ from the clause. A changed value ('numeric_value') must be back in it as in ``original``;
+    a changed duty ('obligation_strength') must say 'shall' if the original did, else 'must'.
+    """
+    cor = F.trim(F.coalesce(correction, F.lit("")))
+    value = F.coalesce(original, F.lit(""))
+    word = F.when(original == "shall", F.lit("shall")).otherwise(F.lit("must"))
+    back = F.when(kind == "numeric_value", (value == "") | F.contains(cor, value)).when(kind == "obligation_strength", F.contains(cor, word)).otherwise(F.lit(True))
+    return F.when(kind.isNotNull(), (cor != "") & (cor != F.coalesce(clause, F.lit(""))) & back)
+
+
+def judge_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, unsupported_claim_rate, graph_reasoning_correct, escalation_rate): means over judged answers, 6 decimals.
+
+    ``rows``: unsupported_claim_rate (a number), graph_reasoning_correct and escalated (booleans), null where not judged.
+    The first two are means over the rows that have them, null without any; escalation is a share of all rows.
+    """
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col("unsupported_claim_rate")).alias("unsupported_claim_rate"), share(F.col("graph_reasoning_correct")).alias("graph_reasoning_correct"), share(F.coalesce("escalated", F.lit(False))).alias("escalation_rate"))
+
+
+def attribution(reachable: Column, in_pool: Column) -> Column:
+    """What became of a target: 'recovered', or why it is not in the pool: 'candidate budget' if it was within reach, else 'not reachable'."""
+    return F.when(F.coalesce(in_pool, F.lit(False)), "recovered").when(F.coalesce(reachable, F.lit(False)), "candidate budget").otherwise("not reachable")
+
+
+def attribution_class(in_pool: Column, rank: Column, correct: Column, k: int = 8) -> Column:
+    """H1 (not in the pool), H2+H3 (in the pool, without a final rank), H4 (within k and answered rightly), H3 (anything else in the pool)."""
+    there = F.coalesce(in_pool, F.lit(False))
+    return F.when(~there, "H1").when(rank.isNull(), "H2+H3").when((rank <= k) & F.coalesce(correct, F.lit(False)), "H4").otherwise("H3")
+
+
+def rank_class(in_pool: Column, before: Column, after: Column) -> Column:
+    """G1 (target not in the pool), G3 (among the first ten before reranking and moved down by ten or more), G2 (all others)."""
+    return F.when(~F.coalesce(in_pool, F.lit(False)), "G1").when((before <= 10) & (after - before >= 10), "G3").otherwise("G2")
+
+
+def natural_order(query_id: Column) -> list[Column]:
+    """Sort keys that put q2 before q10: length, then text."""
+    return [F.length(query_id), query_id]
+
+
+def recovery_matrix(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """(found_a, found_b, n): queries by whether each of two systems (query_id, rank) has the target within k."""
+    x = a.select("query_id", F.col("rank").alias("ra")).join(b.select("query_id", F.col("rank").alias("rb")), "query_id")
+    inside = lambda c: F.coalesce(F.col(c) <= k, F.lit(False))
+    return x.groupBy(inside("ra").alias("found_a"), inside("rb").alias("found_b")).agg(F.count("*").alias("n"))

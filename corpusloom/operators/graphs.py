@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from ..keys import norm_key, norm_label
 
 
-def clean_edges(edges: DataFrame) -> DataFrame:
-    """Edges with keys and kinds in normal form, each edge_id once (the latest arrival), with edge_ord = edge_id."""
-    keep = ["src", "dst", "kind", "doc_id", "char_offset", "snippet", "unresolved", "ref_number", "recorded_at"]
-    x = edges.filter("edge_id is not null").select("edge_id", norm_key(F.col("src")).alias("src"), norm_key(F.col("dst")).alias("dst"), F.upper(norm_label(F.col("kind"))).alias("kind"), norm_key(F.col("doc_id")).alias("doc_id"), "char_offset", "snippet", "unresolved", norm_key(F.col("ref_number")).alias("ref_number"), "recorded_at", "ingested_at")
-    last = x.groupBy("edge_id").agg(F.max(F.struct(F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp")), *[F.col(c) for c in keep])).alias("m"))
+EDGE_COLUMNS = ["src", "dst", "kind", "doc_id", "char_offset", "snippet", "unresolved", "ref_number", "recorded_at"]
+
+
+def clean_edges(edges: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Edges with keys and kinds in normal form, each edge_id once (the latest arrival), with edge_ord = edge_id.
+
+    Only ``columns`` (all of EDGE_COLUMNS by default) are read and shuffled.
+    """
+    forms = {"src": norm_key(F.col("src")), "dst": norm_key(F.col("dst")), "kind": F.upper(norm_label(F.col("kind"))), "doc_id": norm_key(F.col("doc_id")), "ref_number": norm_key(F.col("ref_number"))}
+    keep = columns or EDGE_COLUMNS
+    x = edges.filter("edge_id is not null").select("edge_id", *[forms.get(c, F.col(c)).alias(c) for c in keep], F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp")).alias("at"))
+    last = x.groupBy("edge_id").agg(F.max(F.struct("at", *[F.col(c) for c in keep])).alias("m"))
     return last.select("edge_id", *[F.col(f"m.{c}") for c in keep], F.col("edge_id").alias("edge_ord"))
 
 
@@ -58,7 +65,7 @@ def hubs(deg: DataFrame) -> DataFrame:
     """(kind, node_id, degree): the node with most edges of each kind of node; of equals the smallest key."""
     x = deg.withColumn("degree", F.col("n_out") + F.col("n_in"))
     top = x.groupBy("kind").agg(F.max("degree").alias("degree"))
-    return x.join(F.broadcast(top), ["kind", "degree"], "left_semi").groupBy("kind", "degree").agg(F.min("node_id").alias("node_id")).select("kind", "node_id", "degree")
+    return x.join(top, ["kind", "degree"], "left_semi").groupBy("kind", "degree").agg(F.min("node_id").alias("node_id")).select("kind", "node_id", "degree")
 
 
 def isolated(deg: DataFrame) -> DataFrame:

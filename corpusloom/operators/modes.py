@@ -11,7 +11,11 @@ from . import context as cx
 from . import expansion as ex
 from . import retrieval as rt
 
-MODES = ["sparse", "dense", "graph", "hybrid", "hybrid_graph", "hybrid_rerank", "hybrid_graph_rerank", "hybrid_gr_1hop", "hybrid_gr_relations", "hybrid_gr_expand"]
+MODES = ["sparse", "dense", "graph", "neo4j_graph", "hybrid", "hybrid_graph", "hybrid_rerank", "hybrid_graph_rerank", "hybrid_gr_1hop", "hybrid_gr_relations", "hybrid_gr_expand"]
+#: What the graph adds to the reranker's view in each mode that shows it.
+SHOWN = {"hybrid_graph_rerank": {}, "hybrid_gr_1hop": {"paths": False}, "hybrid_gr_relations": {"paths": False, "snippets": False}, "hybrid_gr_expand": {}}
+#: Candidates a reranker is shown without the graph; with it, it is shown all. Seeds and edge kinds of the undirected search.
+RERANKED, UNDIRECTED_SEEDS, UNDIRECTED_KINDS = 20, 15, ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN", "APPLIES_TO"]
 OUT = ["query_id", "rank", "lineage_id", "score", "source_methods", "graph_edge_type"]
 
 
@@ -39,14 +43,14 @@ class Retriever:
         return rt.dense_search(queries.select("query_id", self.embedder(F.col("text")).alias("embedding")), self._vectors, k)
 
     def seed_nodes(self, ranked: DataFrame) -> DataFrame:
-        """(query_id, node_id, ord): the node of each ranked chunk, itself or the article whose span holds it or is nearest; the best rank of a node stays."""
-        own = ranked.join(self.nodes.select(F.col("node_id").alias("lineage_id")), "lineage_id", "left_semi").select("query_id", F.col("lineage_id").alias("node_id"), "rank")
+        """(query_id, node_id, ord, score): the node of each ranked chunk, itself or the article whose span holds it or is nearest; the best rank of a node stays."""
+        own = ranked.join(self.nodes.select(F.col("node_id").alias("lineage_id")), "lineage_id", "left_semi").select("query_id", F.col("lineage_id").alias("node_id"), "rank", "score")
         rest = ranked.join(self.nodes.select(F.col("node_id").alias("lineage_id")), "lineage_id", "left_anti")
         spans = self.chunks.filter("lineage_id like '%:article:%' and lineage_id not like '%:para:%'").join(self.nodes.select(F.col("node_id").alias("lineage_id")), "lineage_id", "left_semi").select("doc_id", F.col("span_start").alias("a"), F.col("span_end").alias("b"), F.col("lineage_id").alias("interval_id"))
         at = self.chunks.join(rest.select("lineage_id").distinct(), "lineage_id", "left_semi").select(F.col("lineage_id").alias("point_id"), "doc_id", F.col("span_start").alias("at"))
         near = ex.nearest_interval(at, spans, "doc_id").select(F.col("point_id").alias("lineage_id"), F.col("interval_id").alias("node_id"))
-        both = own.unionByName(rest.join(near, "lineage_id").select("query_id", "node_id", "rank"))
-        return both.groupBy("query_id", "node_id").agg(F.min("rank").alias("ord"))
+        both = own.unionByName(rest.join(near, "lineage_id").select("query_id", "node_id", "rank", "score"))
+        return both.groupBy("query_id", "node_id").agg(F.min("rank").alias("ord"), F.max("score").alias("score"))
 
     def graph(self, queries: DataFrame, k: int = 50, n_seeds: int = 10) -> DataFrame:
         """(query_id, rank, lineage_id, hop, edge): seeds from the sparse search in its order, then what the graph reaches, nearest first; only chunks."""
@@ -57,6 +61,13 @@ class Retriever:
         w = Window.partitionBy("query_id").orderBy("hop", "ord", "node_id")
         return x.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("node_id").alias("lineage_id"), "hop", "edge")
 
+    def undirected(self, queries: DataFrame, k: int = 50) -> DataFrame:
+        """(query_id, rank, lineage_id, hop, edge): seeds from the dense search, then trails of one or two edges in either direction; only chunks."""
+        seeds, _ = write_table(self.seed_nodes(self.dense(queries, UNDIRECTED_SEEDS)).select("query_id", "node_id", F.round("score", 6).alias("score")), "seeds")
+        targets = self.nodes.filter("kind in ('article', 'preamble')").join(self.chunks.select(F.col("lineage_id").alias("node_id")), "node_id", "left_semi").select("node_id")
+        x = ex.undirected_search(ex.strong_seeds(seeds, 0.0, UNDIRECTED_SEEDS), self.edges, targets, UNDIRECTED_KINDS, cap=k)
+        return x.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("node_id").alias("lineage_id"), "hop", F.when(F.col("hop") == 0, "seed").otherwise(F.concat(F.array_join("kinds", ";"), F.lit("@"), F.col("hop").cast("string"), F.lit("hop"))).alias("edge"))
+
     def _list(self, df: DataFrame, method: str) -> DataFrame:
         return df.select("query_id", F.lit(method).alias("method"), "rank", "lineage_id", F.lit(0.0).alias("score"))
 
@@ -93,17 +104,32 @@ class Retriever:
         more = turns.select("query_id", F.posexplode(taken).alias("pos", "x")).join(size, "query_id").select("query_id", (F.col("size") + F.col("pos") + 1).alias("rank"), F.col("x.node_id").alias("lineage_id"), F.lit(0.0).alias("score"), F.array(F.lit("graph:expand")).alias("source_methods"), F.concat(F.array_join("x.kinds", ";"), F.lit("@"), F.col("x.hop").cast("string"), F.lit("hop")).alias("graph_edge_type"))
         return pool.select(OUT).unionByName(more.select(OUT))
 
-    def reranked(self, queries: DataFrame, pool: DataFrame, kinds: list[str] | None, with_context: bool) -> DataFrame:
-        """A pool in the reranker's order; orders that are no permutation leave it as it was."""
+    def boosted_pool(self, queries: DataFrame, n: int) -> DataFrame:
+        """The hybrid pool with the graph's boost on scores and its edge types; items and order stay those of the hybrid pool."""
+        p = self.pool(queries, n, False)
+        g, _ = write_table(self.graph(queries, max(3 * n, 30)).filter("hop >= 1").select("query_id", "lineage_id", "hop", "edge"), "neighbours")
+        return rt.boosted(p.drop("graph_edge_type"), g).join(g.select("query_id", "lineage_id", F.col("edge").alias("graph_edge_type")), ["query_id", "lineage_id"], "left").select(OUT)
+
+    def reranked(self, queries: DataFrame, pool: DataFrame, shown: dict | None) -> DataFrame:
+        """A pool in the reranker's order; orders that are no permutation leave it as it was.
+
+        Without ``shown`` the reranker sees the first RERANKED items only and the rest keep their places behind them; with
+        it (options of ``context_lines``) it sees all items with their lines of the graph.
+        """
+        behind = None
+        if shown is None:
+            pool, _ = write_table(pool, "pool")
+            behind, pool = pool.filter(F.col("rank") > RERANKED), pool.filter(F.col("rank") <= RERANKED)
         p = pool.join(self.chunks.select("lineage_id", "text"), "lineage_id", "left").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
-        if with_context:
-            lines = cx.context_lines(p.select("query_id", "lineage_id", "question"), self.edges, self.nodes, kinds=kinds).select("query_id", "lineage_id", "context")
+        if shown is not None:
+            lines = cx.context_lines(p.select("query_id", "lineage_id", "question"), self.edges, self.nodes, **shown).select("query_id", "lineage_id", "context")
             p = p.join(lines, ["query_id", "lineage_id"], "left")
         else:
             p = p.withColumn("context", F.lit(None).cast("string"))
         p, _ = write_table(p, "pool")
         new = cx.rerank(p, self.reranker(p)).select("query_id", "lineage_id", F.col("rank").alias("new_rank"))
-        return p.join(new, ["query_id", "lineage_id"]).select("query_id", F.col("new_rank").alias("rank"), "lineage_id", "score", F.array_append("source_methods", "rerank").alias("source_methods"), "graph_edge_type")
+        x = p.join(new, ["query_id", "lineage_id"]).select("query_id", F.col("new_rank").alias("rank"), "lineage_id", "score", F.array_append("source_methods", "rerank").alias("source_methods"), "graph_edge_type")
+        return x if behind is None else x.unionByName(behind.select(OUT))
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, pool_n: int | None = None) -> DataFrame:
         """Ranked results of ``queries`` (query_id, text): OUT, ranks from 1, at most ``k`` per query.
@@ -116,20 +142,17 @@ class Retriever:
         n = pool_n or max(k, 5)
         if mode in ("sparse", "dense"):
             x = rt.hybrid(getattr(self, mode)(queries, n), n).select("query_id", "rank", "lineage_id", F.round("score", 6).alias("score"), F.col("methods").alias("source_methods"), F.lit(None).cast("string").alias("graph_edge_type"))
-        elif mode == "graph":
-            g = self.graph(queries, 3 * k)
-            x = g.select("query_id", "rank", "lineage_id", F.when(F.col("hop") <= 1, 1.0).otherwise(0.5).alias("score"), F.array(F.lit("graph")).alias("source_methods"), F.col("edge").alias("graph_edge_type"))
-        elif mode == "hybrid":
-            p = self.pool(queries, n, False)
-            g = self.graph(queries, max(3 * n, 30)).filter("hop >= 1").select("query_id", "lineage_id", "hop", "edge")
-            x = rt.boosted(p.drop("graph_edge_type"), g).join(g.select("query_id", "lineage_id", F.col("edge").alias("graph_edge_type")), ["query_id", "lineage_id"], "left").select(OUT)
+        elif mode in ("graph", "neo4j_graph"):
+            g = self.graph(queries, 3 * k) if mode == "graph" else self.undirected(queries, 3 * k)
+            x = g.select("query_id", "rank", "lineage_id", F.when(F.col("hop") <= 1, 1.0).otherwise(0.5).alias("score"), F.array(F.lit(mode)).alias("source_methods"), F.col("edge").alias("graph_edge_type"))
+        elif mode == "hybrid_graph":
+            x = self.pool(queries, n, True)
         else:
-            p = self.pool(queries, n, "graph" in mode)
+            x = self.boosted_pool(queries, n)
             if mode == "hybrid_gr_expand":
-                p = self.expanded(p)
-            if mode != "hybrid_graph":
-                p = self.reranked(queries, p, ["CROSS_REFERENCES"] if mode == "hybrid_gr_1hop" else None, mode.startswith("hybrid_gr"))
-            x = p
+                x = self.expanded(x)
+            if mode != "hybrid":
+                x = self.reranked(queries, x, SHOWN.get(mode))
         return x.filter(F.col("rank") <= k).select(OUT)
 
     def answer_contexts(self, queries: DataFrame, mode: str = "hybrid_graph", k: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,13 @@ def _poisson(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
     return np.searchsorted(steps, u).astype(np.float64)
 
 
-def bootstrap_ci(values: DataFrame, by: list[str], key: str, value: str = "value", draws: int = 2000, level: float = 0.95, seed: int = 2024) -> DataFrame:
+def bootstrap_ci(values: DataFrame, by: list[str], key: str, value: str = "value", draws: int = 2000, level: float = 0.95, seed: int = 2024, interpolate: bool = True) -> DataFrame:
     """(by, mean, low, high, n): mean and percentile interval of each group by Poisson resampling.
 
     Each row draws its weight in every replicate by a hash of ``key``; tasks sum weighted values of all replicates of
     their rows, and the sums of a group, ``draws`` numbers, are added up. Nulls and NaN are left out; groups without
-    values give no row; a single value is its own interval. Quantiles are interpolated linearly.
+    values give no row; a single value is its own interval. Quantiles are interpolated linearly, or without
+    ``interpolate`` the value at index int(q * draws) of the sorted means.
     """
     x = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.xxhash64(key).alias("_k"), F.col(value).cast("double").alias("_v"))
     schema = ", ".join(f"{n} {t}" for n, t in x.dtypes if n in by)
@@ -49,13 +51,16 @@ def bootstrap_ci(values: DataFrame, by: list[str], key: str, value: str = "value
         yield pd.DataFrame(rows, columns=[*by, "sums", "weights", "total", "n"])
 
     p = x.mapInPandas(partial, f"{schema}, sums array<double>, weights array<double>, total double, n long")
-    add = lambda c: F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.aggregate(F.col(c), F.lit(0.0), lambda s, a: s + a[i]))
-    # one row per task and group: at most as many arrays of a group meet as there are tasks
-    g = p.groupBy(*by).agg(F.collect_list("sums").alias("s"), F.collect_list("weights").alias("w"), F.sum("total").alias("total"), F.sum("n").alias("n"))
-    means = F.array_sort(F.filter(F.zip_with(add("s"), add("w"), lambda a, b: F.try_divide(a, b)), lambda m: m.isNotNull()))
-    g = g.select(*by, (F.col("total") / F.col("n")).alias("mean"), "n", means.alias("m"))
+    both = F.arrays_zip(F.col("sums").alias("s"), F.col("weights").alias("w"))
+    each = p.select(*by, "total", "n", F.posexplode(both).alias("draw", "z")).select(*by, "draw", "z.*", F.when(F.col("draw") == 0, F.col("total")).alias("total"), F.when(F.col("draw") == 0, F.col("n")).alias("n"))
+    each = each.groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    # a group's row holds one mean for each draw, however many tasks its values came from
+    g = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.try_divide("s", "w"))).alias("m"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    g = g.select(*by, (F.col("total") / F.col("n")).alias("mean"), "n", "m")
 
     def quantile(q: float):
+        if not interpolate:
+            return F.get("m", F.least(F.floor(F.size("m") * F.lit(q)).cast("int"), F.size("m") - 1))
         at = (F.size("m") - 1) * F.lit(q)
         lo = F.floor(at).cast("int")
         a, b = F.get("m", lo), F.get("m", F.least(lo + 1, F.size("m") - 1))
@@ -159,3 +164,12 @@ def mcnemar(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> Data
             yield pdf
 
     return x.mapInPandas(run, f"{schema}, only_a long, only_b long, p double, p_halved double")
+
+
+def list_bootstrap(values: list[float], draws: int = 2000, alpha: float = 0.05, seed: int = 13) -> dict | None:
+    """mean, ci95_low, ci95_high and n of a short list on the driver, by Python's generator and index percentiles; null for an empty list."""
+    if not values:
+        return None
+    rng, n = random.Random(seed), len(values)
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
+    return {"mean": sum(values) / n, "ci95_low": means[int(alpha / 2 * draws)], "ci95_high": means[int((1 - alpha / 2) * draws)], "n": n}

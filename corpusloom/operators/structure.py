@@ -77,7 +77,7 @@ def marks_of(text: str) -> list[tuple]:
     for m in _CHAPTER.finditer(text):
         rest = re.sub(r"\s+", " ", text[m.end() : m.end() + 160]).strip(" *_#-–—:")[:140]
         out.append(("chapter", m[2], rest or None, None, m.start(), m.end(), None, None))
-    for m in list(_RECITAL.finditer(text))[:500]:
+    for m in list(_RECITAL.finditer(text))[: fixed.MOST_RECITALS]:
         out.append(("recital", m[1], None, None, m.start(), m.end(), None, None))
     for name, p in (("lettered", _LETTERED), ("numbered", _NUMBERED)):
         for m in p.finditer(text):
@@ -113,7 +113,7 @@ def structure_map(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("string").alias("doc_id"), F.length(t).cast("long").alias("content_chars"), words.cast("long").alias("words"), T.title_heuristic(t).alias("document_title"),
         T.instrument(t).alias("instrument"), T.publication_date(t).alias("publication_date"), T.obligation_count(t).cast("long").alias("obligations"), per(T.obligation_count(t)).alias("obligation_density"),
         T.derogation_count(t).cast("long").alias("derogations"), per(T.derogation_count(t)).alias("derogation_density"),
-        unit(r"(?i)\b\d[\d.,]*\s*(?:k|m|g)?w\b").cast("long").alias("power_units"), unit(r"(?i)\b(?:k|m|g|t)wh\b").cast("long").alias("energy_units"), unit(r"(?i)(?:€|\beur\b)").cast("long").alias("price_units"))
+        unit(fixed.UNITS["power"]).cast("long").alias("power_units"), unit(fixed.UNITS["energy"]).cast("long").alias("energy_units"), unit(fixed.UNITS["price"]).cast("long").alias("price_units"))
     m = structure_marks(docs)
     n = lambda k: F.sum(F.when(F.col("mark") == k, 1).otherwise(0))
     counts = m.groupBy("doc_id").agg(n("article").alias("articles"), n("chapter").alias("chapters"), n("recital").alias("recitals"), n("table").alias("tables"), n("lettered").alias("lettered"), n("numbered").alias("numbered"))

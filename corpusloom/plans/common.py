@@ -9,8 +9,9 @@ from ..operators.graphs import clean_edges, clean_nodes
 from ..session import table
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return clean_edges(table(spark, d, "graph_edges"))
+def edges(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Edges with src, dst, kind, edge_ord and the columns ``more``."""
+    return clean_edges(table(spark, d, "graph_edges"), ["src", "dst", "kind", *more])
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ runs AS (SELECT query_id, method AS system, rank, lineage_id, score FROM l WHERE
 gold AS (SELECT query_id, lineage_id, rank FROM l WHERE method = 'rerank' AND rank <= 3)"""
 
 SEEDS = f"""{EDGES}, {NODES}, {LISTS},
-seeds AS (SELECT DISTINCT query_id, lineage_id AS node_id FROM l WHERE method = 'sparse' AND rank <= 3 AND lineage_id IN (SELECT node_id FROM n))"""
+seeds AS (SELECT DISTINCT query_id, lineage_id AS node_id FROM l WHERE method = 'sparse' AND rank <= 10 AND lineage_id IN (SELECT node_id FROM n))"""
 
 CHUNKS = f"""c0 AS (SELECT lower(trim(lineage_id, {B})) AS lineage_id, lower(trim(doc_id, {B})) AS doc_id, lower(trim(node_type, {B})) AS node_type, text, span_start, span_end, thin, absorbed,
   row_number() OVER (PARTITION BY lower(trim(lineage_id, {B})) ORDER BY ingested_at DESC, chunk_id DESC) AS rn FROM chunks WHERE page_no IS NULL),

@@ -1,6 +1,7 @@
 """Queries over ranked lists: fusion, metrics, comparison, statistics, failure analysis."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
@@ -147,7 +148,37 @@ def judge_aggregate(s, d):
     return ev.judge_summary(x, ["variant"], ["positive"])
 
 
-QUERIES = {f.__name__: f for f in (ranked_lists, rrf_fusion, hybrid_pool, mode_sparse, hybrid_graph, hybrid_boost, best_dense_variant, mean_rank_baseline, metrics_at_k, metrics_aggregate, family_breakdown, candidate_recall, overlap_jaccard, complementarity, triage, failure_classes, pair_compare, paired_outcomes, table_pivot, hybrid_deltas, cohen_d, wilcoxon_ranks, wilcoxon_test, mcnemar_counts, bootstrap_intervals, paired_bootstrap, judge_aggregate)}
+def judge_rates(s, d):
+    """No table holds judgements, so results stand for answers: the score's distance from 1 for unsupported claims, a graph edge for graph reasoning, a missing variant for escalation."""
+    x = table(s, d, "retrieved_chunks").select("result_id", F.array_join(F.array_sort(F.transform("source_methods", c.norm_label)), "+").alias("system"), F.when(F.col("score").isNotNull() & ~F.isnan("score"), F.greatest(F.least(1 - F.col("score"), F.lit(1.0)), F.lit(0.0))).alias("unsupported_claim_rate"),
+                                                   F.when(F.col("graph_edge_type").isNotNull(), F.col("graph_edge_type").contains("@1hop")).alias("graph_reasoning_correct"), F.col("model_variant").isNull().alias("escalated")).dropDuplicates(["result_id"]).drop("result_id")
+    return ev.judge_rates(x, ["system"])
+
+
+def attribution_classes(s, d):
+    """Targets of the graph list: in the pool if it has them, right if the dense list has them within ten."""
+    r = _ranks(s, d, "graph").select("query_id", F.col("rank").alias("r")).join(_ranks(s, d, "dense"), "query_id").join(_ranks(s, d, "neo4j").select("query_id", F.col("rank").isNotNull().alias("reach")), "query_id")
+    x = r.select(ev.attribution(F.col("reach"), F.col("r").isNotNull()).alias("cause"), ev.attribution_class(F.col("r").isNotNull(), F.col("r"), F.col("rank") <= 10).alias("class"), ev.rank_class(F.col("r").isNotNull(), F.col("r"), F.col("rank")).alias("rank_class"))
+    return x.groupBy("cause", "class", "rank_class").agg(F.count("*").alias("n"))
+
+
+def recovery_matrix(s, d):
+    return ev.recovery_matrix(_ranks(s, d, "dense"), _ranks(s, d, "sparse"))
+
+
+def error_classes(s, d):
+    """Labels of the dense list; the sparse list's score stands for the answer's f1, the graph list for its citation, the rank for its judgement."""
+    x = _ranks(s, d, "dense").join(_ranks(s, d, "sparse").select("query_id", F.when(F.col("rank").isNotNull(), 1.0 / F.col("rank")).alias("f1")), "query_id").join(_ranks(s, d, "graph").select("query_id", F.col("rank").isNotNull().alias("cites"), (6 - F.col("rank")).alias("faithful")), "query_id")
+    return x.groupBy(ev.error_class(F.col("rank"), 5, F.col("f1"), F.col("f1"), F.col("cites"), F.col("faithful")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def natural_ids(s, d):
+    """Place of each article number of a document in natural order (2 before 10)."""
+    x = c.nodes(s, d).filter("art_number is not null and doc_id is not null").select("doc_id", "art_number").distinct()
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*ev.natural_order(F.col("art_number")))).cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (ranked_lists, rrf_fusion, hybrid_pool, mode_sparse, hybrid_graph, hybrid_boost, best_dense_variant, mean_rank_baseline, metrics_at_k, metrics_aggregate, family_breakdown, candidate_recall, overlap_jaccard, complementarity, triage, failure_classes, pair_compare, paired_outcomes, table_pivot, hybrid_deltas, cohen_d, wilcoxon_ranks, wilcoxon_test, mcnemar_counts, bootstrap_intervals, paired_bootstrap, judge_aggregate, judge_rates, attribution_classes, recovery_matrix, error_classes, natural_ids)}
 
 _L = f"WITH {c.LISTS}"
 _M = f"WITH {c.LISTS}, {c.METRICS}"
@@ -170,7 +201,7 @@ ORACLE = {
     "metrics_aggregate": _M + f", {_AGG} SELECT * FROM agg",
     "family_breakdown": _M + f", {_FAM}, x AS (SELECT m.system, m.metric, m.k, fam.family, round(value, 9) AS value FROM m JOIN fam USING (query_id) WHERE k = 10) SELECT system, coalesce(family, 'ALL') AS family, metric, k, round(avg(value), 6) AS mean, count(value) AS n FROM x GROUP BY GROUPING SETS ((system, metric, k, family), (system, metric, k))",
     "candidate_recall": _L + f", {_FAM}, {_RANKS}, x AS (SELECT s.system, fam.family, k, rank FROM fam CROSS JOIN (SELECT DISTINCT system FROM runs) s CROSS JOIN (SELECT unnest([5, 10, 20, 30]) AS k) LEFT JOIN gr ON gr.system = s.system AND gr.query_id = fam.query_id) SELECT system, coalesce(family, 'ALL') AS family, k, count(*) AS n, CAST(sum(CASE WHEN rank <= k THEN 1 ELSE 0 END) AS BIGINT) AS recalled FROM x GROUP BY GROUPING SETS ((system, family, k), (system, k))",
-    "overlap_jaccard": _L + ", t AS (SELECT system, query_id, lineage_id FROM runs WHERE rank <= 10), q AS (SELECT DISTINCT query_id FROM t), s AS (SELECT DISTINCT system FROM runs), g AS (SELECT system, query_id, count(*) AS n FROM t GROUP BY 1, 2), i AS (SELECT a.system AS sa, b.system AS sb, query_id, count(*) AS n FROM t a JOIN t b USING (query_id, lineage_id) WHERE a.system < b.system GROUP BY 1, 2, 3) SELECT a.system AS system_a, b.system AS system_b, round(avg(CASE WHEN coalesce(ga.n, 0) + coalesce(gb.n, 0) > 0 THEN coalesce(i.n, 0) / (coalesce(ga.n, 0) + coalesce(gb.n, 0) - coalesce(i.n, 0)) ELSE 0 END), 4) AS jaccard FROM s a JOIN s b ON a.system < b.system CROSS JOIN q LEFT JOIN g ga ON ga.system = a.system AND ga.query_id = q.query_id LEFT JOIN g gb ON gb.system = b.system AND gb.query_id = q.query_id LEFT JOIN i ON i.sa = a.system AND i.sb = b.system AND i.query_id = q.query_id GROUP BY 1, 2",
+    "overlap_jaccard": _L + ", t AS (SELECT system, query_id, list(DISTINCT lineage_id) AS ids FROM runs WHERE rank <= 10 GROUP BY 1, 2) SELECT a.system AS system_a, b.system AS system_b, round(avg(len(list_intersect(a.ids, b.ids)) / len(list_distinct(a.ids || b.ids))), 4) AS jaccard FROM t a JOIN t b USING (query_id) WHERE a.system < b.system GROUP BY 1, 2",
     "complementarity": _L + f", {_RANKS}, w AS (SELECT query_id, max(CASE WHEN system = 'dense' THEN 1 ELSE 0 END) AS de, max(CASE WHEN system = 'sparse' THEN 1 ELSE 0 END) AS sp, max(CASE WHEN system = 'graph' THEN 1 ELSE 0 END) AS gp, max(CASE WHEN system = 'dense+sparse' THEN 1 ELSE 0 END) AS fu, count(*) AS n FROM gr WHERE rank <= 10 GROUP BY 1), y AS (SELECT gq.query_id, coalesce(de, 0) AS de, coalesce(sp, 0) AS sp, coalesce(gp, 0) AS gp, coalesce(fu, 0) AS fu, coalesce(n, 0) AS n FROM gq LEFT JOIN w USING (query_id)) SELECT count(*) FILTER (de = 1 AND sp + gp = 0) AS only_dense, count(*) FILTER (sp = 1 AND de + gp = 0) AS only_sparse, count(*) FILTER (gp = 1 AND de + sp = 0) AS only_graph, count(*) FILTER (de + sp + gp = 0 AND fu = 1) AS fusion_only, count(*) FILTER (n = 0) AS no_hit, count(*) AS n_queries FROM y",
     "triage": _L + f", {_RANKS} SELECT gq.query_id, rank, CASE WHEN rank IS NULL THEN 'missed' WHEN rank <= 5 THEN 'in_context' ELSE 'retrieved' END AS context FROM gq LEFT JOIN (SELECT * FROM gr WHERE system = 'dense') g USING (query_id)",
     "failure_classes": _L + f", {_RANKS}, x AS (SELECT gq.query_id, a.rank, b.rank <= 10 AS correct FROM gq LEFT JOIN (SELECT * FROM gr WHERE system = 'dense') a USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'graph') b ON b.query_id = gq.query_id) SELECT CASE WHEN rank IS NULL THEN 'A' WHEN rank > 5 THEN 'B' WHEN correct IS NULL THEN 'S' WHEN NOT correct THEN 'C' ELSE 'D' END AS failure_class, count(*) AS n FROM x GROUP BY 1",
@@ -182,4 +213,9 @@ ORACLE = {
     "wilcoxon_ranks": _M + f", {_PAIRS}, dd AS (SELECT metric, round(b - a, 9) AS d FROM p WHERE round(b - a, 9) <> 0), r AS (SELECT metric, d, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS rk FROM dd) SELECT metric, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM r GROUP BY 1",
     "mcnemar_counts": _M + " SELECT 'dense|sparse' AS pair, count(*) FILTER (a.value > 0 AND b.value = 0) AS only_a, count(*) FILTER (a.value = 0 AND b.value > 0) AS only_b FROM m a JOIN m b USING (query_id, metric, k) WHERE metric = 'hit' AND k = 10 AND a.system = 'dense' AND b.system = 'sparse'",
     "judge_aggregate": "WITH x AS (SELECT DISTINCT result_id, coalesce(model_variant, 'none') AS variant, score FROM retrieved_chunks) SELECT variant, 'positive' AS metric, round(avg(CASE WHEN score > 0 THEN 1.0 WHEN score IS NOT NULL THEN 0 END), 6) AS mean, count(score) AS n FROM x WHERE score IS NULL OR NOT isnan(score) GROUP BY 1",
+    "judge_rates": f"WITH x AS (SELECT DISTINCT result_id, array_to_string(list_sort(list_transform(source_methods, lambda x: translate(lower(trim(x, {c.B})), ' -', '__'))), '+') AS system, score, graph_edge_type, model_variant FROM retrieved_chunks) SELECT system, count(*) AS n, round(avg(CASE WHEN score IS NOT NULL AND NOT isnan(score) THEN greatest(least(1 - score, 1), 0) END), 6) AS unsupported_claim_rate, round(avg(CASE WHEN graph_edge_type IS NOT NULL THEN CASE WHEN contains(graph_edge_type, '@1hop') THEN 1.0 ELSE 0 END END), 6) AS graph_reasoning_correct, round(avg(CASE WHEN model_variant IS NULL THEN 1.0 ELSE 0 END), 6) AS escalation_rate FROM x GROUP BY 1",
+    "attribution_classes": _L + f", {_RANKS}, x AS (SELECT gq.query_id, g.rank AS r, de.rank, ne.rank IS NOT NULL AS reach FROM gq LEFT JOIN (SELECT * FROM gr WHERE system = 'graph') g USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'dense') de USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'neo4j') ne USING (query_id)) SELECT CASE WHEN r IS NOT NULL THEN 'recovered' WHEN reach THEN 'candidate budget' ELSE 'not reachable' END AS cause, CASE WHEN r IS NULL THEN 'H1' WHEN r <= 8 AND coalesce(rank <= 10, false) THEN 'H4' ELSE 'H3' END AS class, CASE WHEN r IS NULL THEN 'G1' WHEN r <= 10 AND rank - r >= 10 THEN 'G3' ELSE 'G2' END AS rank_class, count(*) AS n FROM x GROUP BY 1, 2, 3",
+    "recovery_matrix": _L + f", {_RANKS} SELECT coalesce(a.rank <= 10, false) AS found_a, coalesce(b.rank <= 10, false) AS found_b, count(*) AS n FROM gq LEFT JOIN (SELECT * FROM gr WHERE system = 'dense') a USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'sparse') b USING (query_id) GROUP BY 1, 2",
+    "error_classes": _L + f", {_RANKS}, x AS (SELECT de.rank, 1.0 / sp.rank AS f1, g.rank IS NOT NULL AS cites, coalesce(6 - g.rank, 0) AS faith FROM gq LEFT JOIN (SELECT * FROM gr WHERE system = 'dense') de USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'sparse') sp USING (query_id) LEFT JOIN (SELECT * FROM gr WHERE system = 'graph') g USING (query_id)) SELECT CASE WHEN rank IS NULL THEN 'RETRIEVAL_FAILURE' WHEN rank > 5 THEN 'PARTIAL_RETRIEVAL' WHEN f1 IS NULL THEN 'CORRECT' WHEN (f1 >= 0.5 OR cites) AND faith >= 3 THEN 'CORRECT' WHEN f1 > 0.1 OR cites THEN 'CORRECT_RETRIEVAL_WRONG_ANSWER' ELSE 'GENERATION_FAILURE' END AS label, count(*) AS n FROM x GROUP BY 1",
+    "natural_ids": f"WITH {c.NODES}, x AS (SELECT DISTINCT doc_id, art_number FROM n WHERE art_number IS NOT NULL AND doc_id IS NOT NULL) SELECT doc_id, art_number, row_number() OVER (PARTITION BY doc_id ORDER BY length(art_number), art_number) AS place FROM x",
 }

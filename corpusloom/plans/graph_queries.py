@@ -17,11 +17,11 @@ KINDS = ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN", "APPLIES_TO"]
 
 
 def edge_summary_rollup(s, d):
-    return g.edge_summary(c.edges(s, d))
+    return g.edge_summary(c.edges(s, d, "doc_id", "unresolved"))
 
 
 def edge_pivot(s, d):
-    return g.edge_pivot(c.edges(s, d), sinks.KINDS)
+    return g.edge_pivot(c.edges(s, d, "doc_id"), sinks.KINDS)
 
 
 def degree_hubs(s, d):
@@ -41,7 +41,7 @@ def document_citations(s, d):
 
 
 def edge_problems(s, d):
-    return g.edge_problems(c.edges(s, d), c.nodes(s, d))
+    return g.edge_problems(c.edges(s, d, "snippet", "unresolved"), c.nodes(s, d))
 
 
 def dup_edges_check(s, d):
@@ -49,12 +49,13 @@ def dup_edges_check(s, d):
 
 
 def dedupe_first_wins(s, d):
-    return rel.first_wins(c.edges(s, d).filter("dst is not null").select("src", "dst", "kind", "edge_ord", "char_offset"), ["src", "dst", "kind"], ["edge_ord"])
+    return rel.first_wins(c.edges(s, d, "char_offset").filter("dst is not null").select("src", "dst", "kind", "edge_ord", "char_offset"), ["src", "dst", "kind"], ["edge_ord"])
 
 
 def migrated_edges(s, d):
     e = c.edges(s, d).filter("dst is not null").select("src", "dst", "kind")
-    new = e.filter("kind = 'PART_OF'").select("src", F.col("dst"), F.lit("PART_OF").alias("kind"))
+    n = c.nodes(s, d).filter("kind in ('article', 'preamble') and doc_id is not null")
+    new = n.select(F.col("node_id").alias("src"), F.concat("doc_id", F.lit(":document")).alias("dst"), F.lit("PART_OF").alias("kind"))
     return rel.merge_edges(e.distinct(), new, ["PART_OF", "IMPLEMENTS", "SUPERSEDES"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -131,7 +132,7 @@ def admission_mechanism(s, d):
 
 def graph_context(s, d):
     q = c.lists(s, d).filter("method = 'dense' and rank <= 3").select("query_id", "lineage_id", F.lit("Which access log or trading log rules apply?").alias("question"))
-    return cx.context_lines(q, c.edges(s, d), c.nodes(s, d))
+    return cx.context_lines(q, c.edges(s, d, "snippet"), c.nodes(s, d))
 
 
 def rerank_lexical(s, d):
@@ -162,7 +163,7 @@ def target_audit(s, d):
 def leakage_overlap(s, d):
     cands = bm.candidates(c.edges(s, d), c.nodes(s, d), c.clean_chunks(s, d))
     a = bm.allocate(cands, bm.QUOTAS)
-    b = bm.allocate(cands, bm.QUOTAS, [r["target"] for r in a.select("target").collect()])
+    b = bm.allocate(cands, bm.HELDOUT_QUOTAS, [r["target"] for r in a.select("target").collect()], "h")
     return bm.leakage(a, b)
 
 
@@ -206,8 +207,8 @@ ways AS (
   SELECT s.query_id, x.dst, 2, s.node_id, w.edge_ord, x.edge_ord, s.node_id || ' ' || w.kind || ' ' || w.dst || ' ' || x.kind || ' ' || x.dst, CASE WHEN w.kind = x.kind THEN w.kind ELSE w.kind || '|' || x.kind END FROM seeds s JOIN w ON w.src = s.node_id JOIN w x ON x.src = w.dst),
 okay AS (SELECT * FROM ways y WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = y.query_id AND z.node_id = y.node_id) AND node_id IN (SELECT lineage_id FROM c) QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY hop, seed, o1, o2) = 1),
 paths AS (SELECT query_id, node_id, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, seed, o1, o2, node_id) AS ord, way, relations FROM okay)"""
-_BFS = f"""WITH RECURSIVE {c.EDGES}, {c.NODES}, {c.LISTS}, sd AS (SELECT DISTINCT query_id, lineage_id AS node_id FROM l WHERE method = 'sparse' AND rank <= 1 AND lineage_id IN (SELECT node_id FROM n)),
-u AS (SELECT src AS a, dst AS b FROM e WHERE dst IS NOT NULL AND src <> dst AND kind IN ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN') UNION SELECT dst, src FROM e WHERE dst IS NOT NULL AND src <> dst AND kind IN ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN')),
+_BFS = f"""WITH RECURSIVE {c.EDGES}, {c.NODES}, {c.LISTS}, sd AS (SELECT DISTINCT query_id, lineage_id AS node_id FROM l WHERE method = 'sparse' AND lineage_id IN (SELECT node_id FROM n)),
+u AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
 r AS (SELECT query_id, node_id, 0 AS hop FROM sd UNION SELECT r.query_id, u.b, r.hop + 1 FROM r JOIN u ON u.a = r.node_id WHERE r.hop < 3),
 dist AS (SELECT query_id, node_id, min(hop) AS hop FROM r GROUP BY 1, 2)"""
 
@@ -221,7 +222,7 @@ ORACLE = {
     "edge_problems": _EN + ", p AS (SELECT 'duplicate_key' AS problem FROM e WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst, kind HAVING count(*) > 1 UNION ALL SELECT 'dangling_src' FROM e WHERE src IS NOT NULL AND src NOT IN (SELECT node_id FROM n WHERE node_id IS NOT NULL) UNION ALL SELECT 'dangling_dst' FROM e WHERE dst IS NOT NULL AND dst NOT IN (SELECT node_id FROM n WHERE node_id IS NOT NULL) UNION ALL SELECT 'no_evidence' FROM e WHERE snippet IS NULL OR trim(snippet) = '' UNION ALL SELECT 'long_snippet' FROM e WHERE length(snippet) > 120 UNION ALL SELECT 'wrong_flag' FROM e WHERE coalesce(starts_with(dst, 'ext:'), false) <> coalesce(unresolved, false)) SELECT problem, count(*) AS n FROM p GROUP BY 1",
     "dup_edges_check": _E + " SELECT src, dst, kind, count(*) AS n FROM e WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "dedupe_first_wins": _E + " SELECT src, dst, kind, edge_ord, char_offset FROM e WHERE dst IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src, dst, kind ORDER BY edge_ord) = 1",
-    "migrated_edges": _E + " SELECT kind, count(*) AS n FROM (SELECT DISTINCT src, dst, kind FROM e WHERE dst IS NOT NULL AND kind NOT IN ('IMPLEMENTS', 'SUPERSEDES')) GROUP BY 1",
+    "migrated_edges": _EN + " SELECT kind, count(*) AS n FROM (SELECT src, dst, kind FROM e WHERE dst IS NOT NULL AND kind NOT IN ('PART_OF', 'IMPLEMENTS', 'SUPERSEDES') UNION SELECT node_id, doc_id || ':document', 'PART_OF' FROM n WHERE kind IN ('article', 'preamble') AND doc_id IS NOT NULL) GROUP BY 1",
     "two_hop_chain": _E + f", w AS (SELECT DISTINCT src, dst, kind FROM e WHERE kind IN ('CROSS_REFERENCES', 'AMENDS') AND dst IS NOT NULL) SELECT x.src AS a, x.dst AS b, y.dst AS c, x.kind AS k1, y.kind AS k2 FROM w x JOIN w y ON y.src = x.dst WHERE x.src <> y.dst AND {_DOC('x.src')} <> {_DOC('y.dst')}",
     "pair_distractors": _E + ", f AS (SELECT src, dst, min(edge_ord) AS o FROM e WHERE kind = 'CROSS_REFERENCES' AND dst IS NOT NULL GROUP BY 1, 2), x AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY o) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM f), st AS (SELECT unnest([1, 2, 3]) AS d) SELECT a.src, a.dst, b.dst AS other FROM x a JOIN st ON d < a.n JOIN x b ON b.src = a.src AND b.pos = (a.pos + d) % a.n",
     "graph_expand_2hop": _WALK + f", {_HOPS} SELECT * FROM far",
@@ -234,7 +235,7 @@ ORACLE = {
     "two_hop_only": _WALK + f", {_HOPS} SELECT query_id, node_id FROM far WHERE hop = 2",
     "bfs_distance": _BFS + " SELECT * FROM dist",
     "admission_mechanism": _BFS + " SELECT CASE WHEN n.node_id IS NULL THEN 'OUT_OF_CORPUS' WHEN hop <= 2 THEN 'SEED_PRESENT' ELSE 'SEED_MISS' END AS mechanism, count(*) AS n FROM gold LEFT JOIN n ON n.node_id = gold.lineage_id LEFT JOIN dist ON dist.query_id = gold.query_id AND dist.node_id = gold.lineage_id GROUP BY 1",
-    "undirected_traversal": f"WITH {c.EDGES}, {c.NODES}, {c.LISTS}, sd AS (SELECT query_id, lineage_id AS seed, round(score, 6) AS score FROM l WHERE method = 'dense' AND rank <= 2), f AS (SELECT * FROM e WHERE dst IS NOT NULL AND kind IN ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN')), u AS (SELECT edge_ord, src AS a, dst AS b, kind FROM f UNION ALL SELECT edge_ord, dst, src, kind FROM f WHERE src <> dst), t1 AS (SELECT query_id, seed, score, u.b AS node_id, [u.kind] AS ks, edge_ord FROM sd JOIN u ON u.a = seed), tr AS (SELECT query_id, seed, score, node_id, 1 AS hop, ks FROM t1 UNION ALL SELECT query_id, seed, score, u.b, 2, ks || [u.kind] FROM t1 JOIN u ON u.a = t1.node_id AND u.edge_ord <> t1.edge_ord), ok AS (SELECT * FROM tr WHERE node_id <> seed AND node_id IN (SELECT node_id FROM n WHERE kind IN ('article', 'preamble'))), got AS (SELECT query_id, node_id, min(hop) AS hop, max(score) AS score, array_to_string(list_sort(list(DISTINCT seed)), '|') AS seeds, array_to_string(list_sort(list_distinct(flatten(list(ks)))), '|') AS kinds FROM ok GROUP BY 1, 2), al AS (SELECT * FROM got UNION ALL SELECT query_id, seed, 0, max(score), seed, '' FROM sd WHERE seed IN (SELECT node_id FROM n WHERE kind IN ('article', 'preamble')) AND NOT EXISTS (SELECT 1 FROM got WHERE got.query_id = sd.query_id AND got.node_id = sd.seed) GROUP BY query_id, seed) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hop, node_id) AS rank FROM al QUALIFY rank <= 60",
+    "undirected_traversal": f"WITH {c.EDGES}, {c.NODES}, {c.LISTS}, sd AS (SELECT query_id, lineage_id AS seed, round(score, 6) AS score FROM l WHERE method = 'dense' AND round(score, 6) >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, lineage_id) <= 15), f AS (SELECT * FROM e WHERE dst IS NOT NULL AND kind IN ('CROSS_REFERENCES', 'AMENDS', 'DEFINED_IN', 'APPLIES_TO')), u AS (SELECT edge_ord, src AS a, dst AS b, kind FROM f UNION ALL SELECT edge_ord, dst, src, kind FROM f WHERE src <> dst), t1 AS (SELECT query_id, seed, score, u.b AS node_id, [u.kind] AS ks, edge_ord FROM sd JOIN u ON u.a = seed), tr AS (SELECT query_id, seed, score, node_id, 1 AS hop, ks FROM t1 UNION ALL SELECT query_id, seed, score, u.b, 2, ks || [u.kind] FROM t1 JOIN u ON u.a = t1.node_id AND u.edge_ord <> t1.edge_ord), ok AS (SELECT * FROM tr WHERE node_id <> seed AND node_id IN (SELECT node_id FROM n WHERE kind IN ('article', 'preamble'))), got AS (SELECT query_id, node_id, min(hop) AS hop, max(score) AS score, array_to_string(list_sort(list(DISTINCT seed)), '|') AS seeds, array_to_string(list_sort(list_distinct(flatten(list(ks)))), '|') AS kinds FROM ok GROUP BY 1, 2), al AS (SELECT * FROM got UNION ALL SELECT query_id, seed, 0, max(score), seed, '' FROM sd WHERE seed IN (SELECT node_id FROM n WHERE kind IN ('article', 'preamble')) AND NOT EXISTS (SELECT 1 FROM got WHERE got.query_id = sd.query_id AND got.node_id = sd.seed) GROUP BY query_id, seed) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hop, node_id) AS rank FROM al QUALIFY rank <= 60",
     "priority_fallback_match": _E + f", {c.CHUNKS}, w AS (SELECT DISTINCT dst AS want, {_DOC('dst')} AS doc, CAST(nullif(regexp_extract(dst, ':article:([0-9]+)', 1), '') AS INT) AS num FROM e WHERE kind = 'CROSS_REFERENCES' AND dst LIKE '%:article:%' AND dst NOT LIKE 'ext:%'), cc AS (SELECT DISTINCT lineage_id, {_DOC('lineage_id')} AS doc, CAST(nullif(regexp_extract(lineage_id, ':article:([0-9]+)', 1), '') AS INT) AS num FROM c), f AS (SELECT doc, min(lineage_id) FILTER (contains(lineage_id, ':article:')) AS s3, min(lineage_id) FILTER (ends_with(lineage_id, ':preamble')) AS s4, min(lineage_id) AS s5 FROM cc GROUP BY 1), sm AS (SELECT doc, num, min(lineage_id) AS s2 FROM cc WHERE num IS NOT NULL GROUP BY 1, 2) SELECT want, coalesce(x.lineage_id, s2, s3, s4, s5) AS lineage_id, CASE WHEN x.lineage_id IS NOT NULL THEN 1 WHEN s2 IS NOT NULL THEN 2 WHEN s3 IS NOT NULL THEN 3 WHEN s4 IS NOT NULL THEN 4 WHEN s5 IS NOT NULL THEN 5 END AS step FROM w LEFT JOIN cc x ON x.lineage_id = w.want LEFT JOIN sm ON sm.doc = w.doc AND sm.num = w.num LEFT JOIN f ON f.doc = w.doc",
     "merge_upsert": f"WITH n0 AS (SELECT lower(trim(lineage_id, {c.B})) AS node_id, title, art_number, deleted_at IS NULL AS live FROM graph_nodes), o AS (SELECT node_id, max(title) AS title, max(art_number) AS art_number FROM n0 WHERE NOT live GROUP BY 1), w AS (SELECT node_id, max(title) AS title, max(art_number) AS art_number FROM n0 WHERE live GROUP BY 1) SELECT node_id, coalesce(w.title, o.title) AS title, coalesce(w.art_number, o.art_number) AS art_number FROM o FULL JOIN w USING (node_id)",
     "metadata_completeness": "WITH x AS (SELECT " + " + ".join(f"CASE WHEN {f} IS NULL THEN 1 ELSE 0 END" for f in ("filename", "folder_key", "raw_present", "size_bytes", "page_count", "sha256", "pdf_valid", "multi_column", "has_footnotes", "has_tables", "has_headers", "hyphenation")) + " AS n_missing, " + " + ".join(f"CASE WHEN trim({f}) = '' THEN 1 ELSE 0 END" for f in ("filename", "folder_key", "sha256")) + " AS n_empty FROM document_audits) SELECT n_missing, n_empty, greatest(0, round(1 - (n_missing + n_empty) / 14.0, 6)) AS score, round(1 - (n_missing + n_empty) / 14.0, 6) >= 0.9 AS ok, count(*) AS n FROM x GROUP BY ALL",

@@ -27,8 +27,8 @@ def _docs(s, d):
 def text_features(s, d):
     t = T.text_or_empty(F.col("text"))
     join = lambda x: F.array_join(x, "|")
-    return _docs(s, d).select("doc_id", join(T.article_numbers(t)).alias("articles"), join(F.slice(F.array_distinct(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in fixed.DATE_FORMS[:2]])), 1, 8)).alias("dates"), join(T.headings(t)).alias("headings"),
-                              T.paragraph_count(t).alias("paragraphs"), T.obligation_count(t).alias("obligations"), T.derogation_count(t).alias("derogations"), T.instrument(t).alias("instrument"), T.celex(t).alias("celex"), T.slug(F.substring(t, 1, 60)).alias("slug"), T.snippet(t).alias("snippet"))
+    return _docs(s, d).select("doc_id", join(T.article_numbers(t)).alias("articles"), join(T.dates(t)).alias("dates"), join(T.headings(t)).alias("headings"),
+                              T.paragraph_count(t).alias("paragraphs"), T.obligation_count(t).alias("obligations"), T.derogation_count(t).alias("derogations"), T.instrument(t).alias("instrument"), T.celex(t).alias("celex"), T.slug(t).alias("slug"), T.snippet(t).alias("snippet"))
 
 
 def table_features(s, d):
@@ -66,7 +66,7 @@ def bm25_recall(s, d):
 
 
 def _retriever(s, d):
-    return Retriever(c.clean_chunks(s, d), c.nodes(s, d), c.edges(s, d))
+    return Retriever(c.clean_chunks(s, d), c.nodes(s, d), c.edges(s, d, "snippet"))
 
 
 def _mode(mode):
@@ -140,7 +140,7 @@ def structure_marks(s, d):
 
 
 def recital_counts(s, d):
-    return st.structure_marks(_docs(s, d)).filter("mark = 'numbered'").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.min("span_start").cast("long").alias("first_at"))
+    return st.structure_marks(_docs(s, d)).filter("mark = 'recital'").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.min("span_start").cast("long").alias("first_at"))
 
 
 def structure_map(s, d):
@@ -235,7 +235,7 @@ def page_flags(s, d):
 
 
 def row_fingerprint(s, d):
-    return sinks.fingerprint(table(s, d, "region"))
+    return sinks.fingerprint(table(s, d, "graph_edges"))
 
 
 def answer_prompts(s, d):
@@ -250,7 +250,7 @@ def missing_embeddings(s, d):
 
 
 def query_segments(s, d):
-    q = table(s, d, "graph_edges").filter("snippet is not null and edge_id % 20 = 0").groupBy("edge_id").agg(F.min("snippet").alias("text"))
+    q = table(s, d, "graph_edges").filter("snippet is not null").groupBy("edge_id").agg(F.min("snippet").alias("text"))
     return rt.query_segments(q.select(F.col("edge_id").alias("query_id"), "text")).select("query_id", F.col("segment").cast("long").alias("segment"), "text")
 
 
@@ -283,14 +283,14 @@ _SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '
 
 ORACLE = {
     "text_features": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-x AS (SELECT doc_id, t, list_distinct(regexp_extract_all(t, '\\bArticle\\s+(\\d+[a-z]?)\\b', 1)) AS an, list_slice(list_distinct_ordered, 1, 8) AS ds FROM (SELECT *, list_reduce(list_prepend([], list_transform(regexp_extract_all(t, '\\d{1,2}\\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{4}') || regexp_extract_all(t, '\\b\\d{4}-\\d{2}-\\d{2}\\b'), lambda v: [v])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered FROM d))
+x AS (SELECT doc_id, t, list_distinct(regexp_extract_all(t, '\\bArticle\\s+(\\d+[a-z]?)\\b', 1)) AS an, list_slice(list_distinct_ordered, 1, 8) AS ds FROM (SELECT *, list_reduce(list_prepend([], list_transform(regexp_extract_all(t, '\\d{1,2}\\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{4}') || regexp_extract_all(t, '\\b\\d{4}-\\d{2}-\\d{2}\\b') || list_transform(list_filter(regexp_extract_all(t, '(?:^|[^0-9])\\d{1,2}\\.\\d{1,2}\\.\\d{4}(?:[^0-9]|$)'), lambda v: true), lambda v: regexp_extract(v, '\\d{1,2}\\.\\d{1,2}\\.\\d{4}')), lambda v: [v])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered FROM d))
 SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(an, lambda v: {'n': length(v), 'x': v})), lambda v: v.x), '|') AS articles, array_to_string(ds, '|') AS dates,
 array_to_string(list_slice(list_transform(regexp_extract_all(t, '(?m)^#{1,6}[ \\t]+(.+)$', 1), lambda v: trim(v)), 1, 10), '|') AS headings,
 CAST(len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: length(trim(p, ' ' || chr(9) || chr(10) || chr(13))) > 50)) AS INT) AS paragraphs,
 CAST(len(regexp_extract_all(t, '(?i)\\b(shall|must|is\\s+required\\s+to)\\b')) AS INT) AS obligations, CAST(len(regexp_extract_all(t, '(?i)\\b(notwithstanding|except\\s+(where|when|if|as)|without\\s+prejudice\\s+to)\\b')) AS INT) AS derogations,
 CASE WHEN regexp_extract(t, i, 1) <> '' THEN regexp_extract(t, i, 1) || ' (' || regexp_extract(t, i, 2) || ') ' || regexp_extract(t, i, 3) || '/' || regexp_extract(t, i, 4) || CASE WHEN regexp_extract(t, i, 5) <> '' THEN '/' || regexp_extract(t, i, 5) ELSE '' END
   WHEN regexp_extract(t, b, 1) <> '' THEN regexp_extract(t, b, 1) || ' ' || regexp_extract(t, b, 2) || '/' || regexp_extract(t, b, 3) END AS instrument,
-nullif(regexp_extract(t, '\\b3\\d{10}\\b'), '') AS celex, trim(regexp_replace(lower(trim(substring(t, 1, 60))), '[^a-z0-9]+', '_', 'g'), '_') AS slug, substring(trim(regexp_replace(t, '\\s+', ' ', 'g')), 1, 120) AS snippet
+nullif(regexp_extract(t, '\\b3\\d{10}\\b'), '') AS celex, trim(regexp_replace(lower(trim(t)), '[^a-z0-9]+', '_', 'g'), '_') AS slug, substring(trim(regexp_replace(t, '\\s+', ' ', 'g')), 1, 120) AS snippet
 FROM x, (SELECT '(?i)(Regulation|Directive|Decision)[*_ ]*\\(?[ ]*(EU|EC|EURATOM)[*_ ]*\\)?[*_ ]*(?:No[._ ]*)?[*_ ]*(\\d{4})[ ]*/[ ]*(\\d+)(?:\\s*/\\s*(EC|EEC))?' AS i, '(?i)(Regulation|Directive|Decision)[*_ ]*No?[._ ]*[*_ ]*(\\d{4})[\\s/]+(\\d+)' AS b)""",
     "search_terms": f"WITH {c.CHUNKS} SELECT lineage_id, array_to_string({_tok('text')}, ' ') AS terms FROM c",
     "bm25_topk": _BM + " SELECT query_id, rank, lineage_id, round(score, 5) AS score FROM runs WHERE rank <= 10",
@@ -301,7 +301,7 @@ FROM x, (SELECT '(?i)(Regulation|Directive|Decision)[*_ ]*\\(?[ ]*(EU|EC|EURATOM
     "html_clean": "SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)<br\\s*/?>|</p>|</li>', chr(10), 'g'), '(?i)<p\\b[^>]*>', '', 'g'), '(?i)<li\\b[^>]*>', '- ', 'g'), '<[^>]+>', '', 'g') || chr(10) || '- a & b' || chr(10), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\n{3,}', chr(10) || chr(10), 'g'), '^$', ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents",
     "window_samples": "WITH d AS (SELECT doc_id, length(text) AS n, greatest(length(text) - 400, 0) AS last FROM documents WHERE text <> ''), s AS (SELECT doc_id, n, last, least(400, n // 3) AS sec FROM d), w AS (SELECT doc_id, n, unnest(list_distinct([least(0, last), least(sec, last), least(CAST(floor(sec + (last - sec) * 1 / 2) AS BIGINT), last), last])) AS a FROM s) SELECT doc_id, CAST(a AS BIGINT) AS window_start, CAST(least(a + 400, n) AS BIGINT) AS window_end FROM w",
     "line_offsets": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS l FROM x) SELECT doc_id, line_no, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start, length(l) AS chars FROM y",
-    "recital_counts": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS l FROM x), z AS (SELECT doc_id, l, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM y) SELECT doc_id, count(*) AS n, CAST(min(pos) AS BIGINT) AS first_at FROM z WHERE regexp_matches(l, '^[ \\t]*\\d+[.)][ \\t]*\\S') GROUP BY 1",
+    "recital_counts": "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS l FROM x), z AS (SELECT doc_id, l, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM y) SELECT doc_id, count(*) AS n, CAST(min(pos) AS BIGINT) AS first_at FROM z WHERE regexp_matches(l, '^[ \\t]*([-*][ \\t]*)?\\(\\d+\\)[ \\t]+[A-Z\"''‘(]') GROUP BY 1",
     "span_overlap_check": f"WITH {c.CHUNKS}, x AS (SELECT *, lag(span_end) OVER (PARTITION BY doc_id ORDER BY span_start, span_end, lineage_id) AS b FROM c WHERE span_end IS NOT NULL) SELECT doc_id, lineage_id, 'inverted' AS problem FROM x WHERE span_end <= span_start UNION ALL SELECT doc_id, lineage_id, 'short' FROM x WHERE span_end - span_start BETWEEN 1 AND 7 UNION ALL SELECT doc_id, lineage_id, 'overlap' FROM x WHERE span_start < b UNION ALL SELECT doc_id, lineage_id, 'blank' FROM x WHERE coalesce(trim(text, {c.B}), '') = ''",
     "thin_fold_islands": f"WITH {c.CHUNKS}, x AS (SELECT *, CASE WHEN length(coalesce(text, '')) >= 200 THEN 1 ELSE 0 END AS big FROM c WHERE span_end IS NOT NULL), y AS (SELECT *, greatest(sum(big) OVER (PARTITION BY doc_id ORDER BY span_start, lineage_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS island FROM x) SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(min(span_start) AS BIGINT) AS span_start, CAST(max(span_end) AS BIGINT) AS span_end, count(*) AS n_chunks, coalesce(string_agg(lineage_id, '|' ORDER BY lineage_id) FILTER (big = 0), '') AS absorbed FROM y GROUP BY 1, 2",
     "chunk_summary": f"WITH {c.CHUNKS} SELECT doc_id, count(*) AS n_chunks, CAST(sum(CASE WHEN thin THEN 1 ELSE 0 END) AS BIGINT) AS n_thin, CAST(sum(coalesce(len(absorbed), 0)) AS BIGINT) AS n_absorbed, min(length(coalesce(text, ''))) AS min_chars, CAST(floor(avg(length(coalesce(text, '')))) AS BIGINT) AS mean_chars, max(length(coalesce(text, ''))) AS max_chars FROM c GROUP BY 1",
@@ -311,7 +311,7 @@ FROM x, (SELECT '(?i)(Regulation|Directive|Decision)[*_ ]*\\(?[ ]*(EU|EC|EURATOM
     "obligation_sentences": f"WITH x AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM x GROUP BY 1",
     "weakened_obligations": "WITH x AS (SELECT DISTINCT snippet FROM graph_edges WHERE snippet IS NOT NULL) SELECT snippet, CASE WHEN contains(snippet, 'shall') THEN regexp_replace(snippet, 'shall', 'may') ELSE regexp_replace(snippet, 'must', 'should') END AS weak FROM x WHERE contains(snippet, 'shall') OR contains(snippet, 'must')",
     "missing_embeddings": f"WITH {c.NODES} SELECT node_id, CAST(64 AS INT) AS dim FROM n WHERE kind IN ('term', 'article', 'preamble', 'document', 'entity') AND node_id NOT LIKE '%:document' AND trim(concat_ws(' ', title, term, art_number, doc_id)) <> ''",
-    "query_segments": "WITH q AS (SELECT edge_id, min(snippet) AS s FROM graph_edges WHERE snippet IS NOT NULL AND edge_id % 20 = 0 GROUP BY 1), x AS (SELECT edge_id, list_slice(list_filter(list_transform(string_split(s, '.'), lambda v: trim(v)), lambda v: length(v) BETWEEN 16 AND 399), 1, 3) AS p FROM q) SELECT edge_id AS query_id, generate_subscripts(p, 1) - 1 AS segment, unnest(p) AS text FROM x",
+    "query_segments": "WITH q AS (SELECT edge_id, min(snippet) AS s FROM graph_edges WHERE snippet IS NOT NULL GROUP BY 1), x AS (SELECT edge_id, list_slice(list_filter(list_transform(string_split(s, '.'), lambda v: trim(v)), lambda v: length(v) BETWEEN 16 AND 399), 1, 3) AS p FROM q) SELECT edge_id AS query_id, generate_subscripts(p, 1) - 1 AS segment, unnest(p) AS text FROM x",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events), y AS (SELECT user_id, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sn FROM x), z AS (SELECT user_id, sn, count(*) AS n FROM y GROUP BY 1, 2) SELECT user_id AS user, count(*) AS n_sessions, max(n) AS longest FROM z GROUP BY 1",
 }

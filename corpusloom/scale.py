@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is set, a session on one machine gets a temporary one, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             root = jdir.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
             spark.sparkContext.setCheckpointDir(root)

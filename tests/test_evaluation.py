@@ -40,7 +40,7 @@ def test_metrics(spark):
 def test_overlap_and_complementarity(spark):
     r = run(spark, [("dense", 1, 1, "a"), ("dense", 1, 2, "b"), ("dense", 1, 3, "c"), ("sparse", 1, 1, "b"), ("sparse", 1, 2, "c"), ("sparse", 1, 3, "d"), ("fused", 2, 1, "q")])
     j = {(x.system_a, x.system_b): x.jaccard for x in ev.overlap_matrix(r).collect()}
-    assert j["dense", "sparse"] == 0.25  # 0.5 on query 1, 0 on query 2
+    assert j == {("dense", "sparse"): 0.5}  # both have query 1 only; no query in common, no row
     c = ev.complementarity(r, gold(spark, [(1, "a"), (2, "q"), (3, "n")]), ["dense", "sparse"], "fused").first()
     assert (c.only_dense, c.only_sparse, c.fusion_only, c.no_hit) == (1, 0, 1, 1)
 
@@ -54,8 +54,22 @@ def test_classes_and_pairs(spark):
     p = {x.query_id: (x.outcome, x.delta) for x in ev.paired(a, b).collect()}
     assert p == {1: ("promotion", -2), 2: ("recovery", -1), 3: ("regression", 10), 4: ("both_miss", 0), 5: ("tie", 0)}
     assert [x.context for x in ev.triage(a).orderBy("query_id").collect()] == ["in_context", "missed", "in_context", "missed", "in_context"]
-    e = spark.createDataFrame([(1,)], "x int").select(ev.error_class(F.lit(None).cast("int"), 10, F.lit("a"), F.lit(0.1), F.lit(False), F.lit(5)).alias("a"), ev.error_class(F.lit(2), 10, F.lit("a"), F.lit(0.6), F.lit(False), F.lit(5)).alias("b"), ev.error_class(F.lit(2), 10, F.lit("a"), F.lit(0.1), F.lit(False), F.lit(1)).alias("c")).first()
-    assert tuple(e) == ("RETRIEVAL_FAILURE", "CORRECT", "UNFAITHFUL")
+    rows = [(None, "a", 0.1, False, 5), (12, "a", 0.9, True, 5), (2, None, None, None, None), (2, "a", 0.6, False, 3), (2, "a", 0.6, False, None), (2, "a", 0.0, True, 1), (2, "a", 0.1, None, 5)]
+    e = spark.createDataFrame(rows, "rank int, answer string, f1 double, cites boolean, faithful int").select(ev.error_class(F.col("rank"), 10, F.col("answer"), F.col("f1"), F.col("cites"), F.col("faithful")))
+    assert [x[0] for x in e.collect()] == ["RETRIEVAL_FAILURE", "PARTIAL_RETRIEVAL", "CORRECT", "CORRECT", "CORRECT_RETRIEVAL_WRONG_ANSWER", "CORRECT_RETRIEVAL_WRONG_ANSWER", "GENERATION_FAILURE"]
+
+
+def test_judge_rates(spark):
+    d = spark.createDataFrame([("a", 0.5, True, True), ("a", 0.0, None, None), ("a", None, False, False), ("b", None, None, None)], "s string, unsupported_claim_rate double, graph_reasoning_correct boolean, escalated boolean")
+    assert {tuple(r) for r in ev.judge_rates(d, ["s"]).collect()} == {("a", 3, 0.25, 0.5, 0.333333), ("b", 1, None, None, 0.0)}
+
+
+def test_attribution_and_order(spark):
+    d = spark.createDataFrame([("q10", None, True, None, None), ("q9", True, True, None, None), ("q2", True, False, 3, True), ("q1", True, True, 9, True), ("q11", None, None, 2, False)], "q string, pool boolean, reach boolean, rank int, ok boolean")
+    x = d.orderBy(*ev.natural_order(F.col("q"))).select("q", ev.attribution(F.col("reach"), F.col("pool")), ev.attribution_class(F.col("pool"), F.col("rank"), F.col("ok"))).collect()
+    assert [tuple(r) for r in x] == [("q1", "recovered", "H3"), ("q2", "recovered", "H4"), ("q9", "recovered", "H2+H3"), ("q10", "candidate budget", "H1"), ("q11", "not reachable", "H1")]
+    a, b = (spark.createDataFrame([(1, r), (2, s)], "query_id int, rank int") for r, s in ((3, None), (11, 1)))
+    assert {tuple(r) for r in ev.recovery_matrix(a, b).collect()} == {(True, False, 1), (False, True, 1)}
 
 
 def test_tables(spark):
@@ -108,9 +122,20 @@ def test_bootstrap(spark):
     assert st.bootstrap_ci(d.limit(0), ["g"], "key").count() == 0
 
 
+def test_list_bootstrap_and_index_percentiles(spark):
+    assert st.list_bootstrap([]) is None and st.list_bootstrap([2.0])["ci95_low"] == 2.0
+    one = st.list_bootstrap([0.0, 1.0] * 40)
+    assert one == st.list_bootstrap([0.0, 1.0] * 40) and one["ci95_low"] < 0.5 < one["ci95_high"] and one["n"] == 80
+    d = spark.createDataFrame([("g", i, float(i % 2)) for i in range(80)], "g string, key int, value double").repartition(5)
+    r = st.bootstrap_ci(d, ["g"], "key", interpolate=False).first()
+    assert r.mean == 0.5 and abs(r.low - one["ci95_low"]) < 0.05 and abs(r.high - one["ci95_high"]) < 0.05
+
+
 def test_scenarios(spark):
     a = spark.createDataFrame([("b", 1, True, True), ("b", 5, True, False), ("b", None, False, None)], "baseline string, rank int, compliant boolean, called_compliant boolean")
     r = ev.scenario_summary(a).first()
     assert (r.n, r.hit_rate, r.mean_rank, r.top3, r.detection_accuracy) == (3, 0.666667, 3.0, 0.333333, 0.5)
-    d = spark.createDataFrame([("weakened_duty", "It shall", "It shall do"), ("weakened_duty", "x", "may"), ("changed_number", "in 5 days", "5 days"), ("changed_number", "in 5 days", "2 days"), ("other", "a", None)], "k string, o string, c string")
-    assert [x[0] for x in d.select(ev.correction_resolved(F.col("k"), F.col("o"), F.col("c"))).collect()] == [True, False, True, False, None]
+    rows = [("obligation_strength", "It may do", "shall", "It shall do"), ("obligation_strength", "It may do", "shall", "It must do"), ("obligation_strength", "x", "must", "x must"), ("numeric_value", "in 6 days", "5", "in 5 days"), ("numeric_value", "in 6 days", "5", "in 7 days"),
+            ("numeric_value", "in 6 days", None, "in 6 days"), ("numeric_value", "in 6 days", "5", " "), ("obligation_strength", "a", "shall", None), ("other", "a", None, "b"), (None, "a", None, "b")]
+    d = spark.createDataFrame(rows, "k string, clause string, o string, c string")
+    assert [x[0] for x in d.select(ev.correction_resolved(*[F.col(x) for x in ("k", "clause", "o", "c")])).collect()] == [True, False, True, True, False, False, False, False, True, None]

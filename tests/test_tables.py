@@ -111,10 +111,12 @@ def test_rerank_and_context(spark):
     assert y.select(cx.invented_citations(F.col("a"), F.col("p")).alias("x")).first().x == ["e:article:2"]
     q = spark.createDataFrame([(1, "a1", "capacity rules")], "query_id int, lineage_id string, question string")
     e = spark.createDataFrame([("a1", "a2", "CROSS_REFERENCES", 1), ("a4", "a1", "AMENDS", 2)], "src string, dst string, kind string, edge_ord long")
-    n = spark.createDataFrame([("a2", "article", "Capacity", None, "2")], "node_id string, kind string, title string, term string, art_number string")
+    N = "node_id string, kind string, title string, term string, art_number string"
+    n = spark.createDataFrame([("a1", "article", None, None, "1"), ("a2", "article", "Capacity", None, "2")], N)
     c = cx.context_lines(q, e, n).first()
-    assert c.context == "CITES Article 2 Capacity\nAMENDED_BY a4" and c.n_lines == 2
-    assert cx.context_lines(q, e, n, directions=("in",)).first().context == "AMENDED_BY a4"
+    assert c.context.startswith("CITES Article 2 Capacity\nAMENDED_BY ") and c.n_lines == 2
+    assert cx.context_lines(q, e, n, directions=("in",)).first().context.startswith("AMENDED_BY ")
+    assert cx.context_lines(q, e, n.filter("node_id = 'a2'")).count() == 0  # a candidate that is no node
     with pytest.raises(ValueError):
         cx.context_lines(q, e, n, directions=("up",))
     rows = spark.createDataFrame([(1, 1, "a1", "d", "text", "AMENDS@1hop")], "query_id int, rank int, lineage_id string, doc_id string, text string, edge string")
@@ -122,6 +124,24 @@ def test_rerank_and_context(spark):
     assert out[2].refused and out[2].context == "[INSUFFICIENT CONTEXT]" and "a1 via AMENDS@1hop" in out[1].context
 
 
+def test_context_paths_snippets_and_budgets(spark):
+    q = spark.createDataFrame([(1, "a1", "storage rules"), (2, "hub", None)], "query_id int, lineage_id string, question string")
+    E = "src string, dst string, kind string, snippet string, edge_ord long"
+    rows = [("a1", "a2", "CROSS_REFERENCES", "short", 1), ("a1", "a2", "CROSS_REFERENCES", "  the  longer one  ", 2), ("a2", "a3", "CROSS_REFERENCES", None, 3), ("a2", "a1", "CROSS_REFERENCES", "x", 4), ("a4", "a1", "AMENDS", "y" * 200, 5),
+            ("a1", "a5", "SUPERSEDES", None, 6), ("a5", "a6", "AMENDS", "of storage", 7), ("t", "a1", "DEFINED_IN", None, 8), ("a1", "a1", "AMENDS", None, 9)] + [("hub", f"n{i:02d}", "CROSS_REFERENCES", None, 100 + i) for i in range(30)] + [(f"m{i}", "hub", "AMENDS", None, 200 + i) for i in range(5)]
+    e = spark.createDataFrame(rows, E)
+    names = spark.createDataFrame([(k, "chapter", k.upper(), None, None) for k in {x for r in rows for x in r[:2]}], "node_id string, kind string, title string, term string, art_number string")
+    got = {r.query_id: r for r in cx.context_lines(q, e, names).collect()}
+    # by shared words, then by key; a2 is named both ways; a path ends in what no line names
+    assert got[1].context.split("\n") == ['CITES A2 — "the longer one"', "SUPERSEDES A5", 'CITED_BY A2 — "x"', 'AMENDED_BY A4 — "' + "y" * 119 + '…"', "DEFINES T", 'VIA A5 → A6 — "of storage"', "VIA A2 → A3"]
+    assert got[2].context.split("\n") == [f"CITES N{i:02d}" for i in range(8)] + ["AMENDED_BY M0"]
+    plain = {r.query_id: r.context for r in cx.context_lines(q, e, names, snippets=False, paths=False, definitions=False).collect()}
+    assert plain[1].split("\n") == ["CITES A2", "SUPERSEDES A5", "CITED_BY A2", "AMENDED_BY A4"]
+    short = {r.query_id: r.context for r in cx.context_lines(q, e, names, chars=40).collect()}
+    assert short[1].split("\n") == ['CITES A2 — "the longer one"', "DEFINES T"]  # a line that does not fit is left out, a shorter one may follow
+    assert cx.context_lines(q.limit(0), e, names).count() == 0 == cx.context_lines(q, e.limit(0), names).count()
+
+
 def test_benchmark(spark):
     H = "array<struct<src:string,kind:string,dst:string>>"
     cands = spark.createDataFrame([("f1", "1", "q1", "t1", []), ("f1", "2", "q2", "t2", []), ("f2", "1", "q3", "t1", []), ("f2", "2", "q4", "t3", [("a", "K", "t3")])], f"family string, order_key string, question string, target string, path {H}")
