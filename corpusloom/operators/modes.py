@@ -16,6 +16,8 @@ MODES = ["sparse", "dense", "graph", "neo4j_graph", "hybrid", "hybrid_graph", "h
 SHOWN = {"hybrid_graph_rerank": {}, "hybrid_gr_1hop": {"paths": False}, "hybrid_gr_relations": {"paths": False, "snippets": False}, "hybrid_gr_expand": {}}
 #: Candidates a reranker is shown without the graph; with it, it is shown all. Seeds and edge kinds of the undirected search.
 RERANKED, UNDIRECTED_SEEDS, UNDIRECTED_KINDS = 20, 15, ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN", "APPLIES_TO"]
+#: Items of the fixed systems' common pool, and of the pool that one step of the graph fills up.
+FROZEN_POOL, G1_POOL = 30, 50
 OUT = ["query_id", "rank", "lineage_id", "score", "source_methods", "graph_edge_type"]
 
 
@@ -110,16 +112,16 @@ class Retriever:
         g, _ = write_table(self.graph(queries, max(3 * n, 30)).filter("hop >= 1").select("query_id", "lineage_id", "hop", "edge"), "neighbours")
         return rt.boosted(p.drop("graph_edge_type"), g).join(g.select("query_id", "lineage_id", F.col("edge").alias("graph_edge_type")), ["query_id", "lineage_id"], "left").select(OUT)
 
-    def reranked(self, queries: DataFrame, pool: DataFrame, shown: dict | None) -> DataFrame:
+    def reranked(self, queries: DataFrame, pool: DataFrame, shown: dict | None, most: int | None = RERANKED) -> DataFrame:
         """A pool in the reranker's order; orders that are no permutation leave it as it was.
 
-        Without ``shown`` the reranker sees the first RERANKED items only and the rest keep their places behind them; with
+        Without ``shown`` the reranker sees the first ``most`` items only and the rest keep their places behind them; with
         it (options of ``context_lines``) it sees all items with their lines of the graph.
         """
         behind = None
-        if shown is None:
+        if shown is None and most is not None:
             pool, _ = write_table(pool, "pool")
-            behind, pool = pool.filter(F.col("rank") > RERANKED), pool.filter(F.col("rank") <= RERANKED)
+            behind, pool = pool.filter(F.col("rank") > most), pool.filter(F.col("rank") <= most)
         p = pool.join(self.chunks.select("lineage_id", "text"), "lineage_id", "left").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
         if shown is not None:
             lines = cx.context_lines(p.select("query_id", "lineage_id", "question"), self.edges, self.nodes, **shown).select("query_id", "lineage_id", "context")
@@ -155,6 +157,33 @@ class Retriever:
                 x = self.reranked(queries, x, SHOWN.get(mode))
         return x.filter(F.col("rank") <= k).select(OUT)
 
+    def frozen(self, queries: DataFrame, system: str) -> DataFrame:
+        """(query_id, rank, lineage_id, source, hybrid_rank, before, graph_distance, graph_path, score): the whole pool of a fixed system, reranked, with the provenance of each candidate.
+
+        All start from the hybrid pool of FROZEN_POOL items. 'b0' adds nothing, 'g1' chunks one step away until the pool has
+        G1_POOL items, 'g2' and 'g2_nogc' up to 12 of one and 9 of two steps; only 'g2' shows the reranker the graph's lines.
+        ``before`` is the place before reranking.
+        """
+        if system not in ("b0", "g1", "g2", "g2_nogc"):
+            raise ValueError(f"unknown system {system!r}")
+        pool, _ = write_table(self.boosted_pool(queries, FROZEN_POOL), "pool")
+        none = F.lit(None)
+        both = pool.select(*OUT, F.lit("hybrid").alias("source"), F.col("rank").alias("hybrid_rank"), none.cast("int").alias("graph_distance"), none.cast("string").alias("graph_path"))
+        if system != "b0":
+            seeds, _ = write_table(self.seed_nodes(pool).select("query_id", "node_id"), "seeds")
+            real = self.chunks.select(F.col("lineage_id").alias("node_id"))
+            ways = ex.two_hop_paths(seeds, self.edges, real, ex.WALKED, max_hops=1 if system == "g1" else 2)
+            ways = ways.join(pool.select("query_id", F.col("lineage_id").alias("node_id")), ["query_id", "node_id"], "left_anti")
+            size = pool.groupBy("query_id").agg(F.count("*").alias("size"))
+            new = ex.admit(ways, "first", G1_POOL) if system == "g1" else ex.admit(ways, "split_12_9", 21)
+            new = new.join(size, "query_id")
+            new = new.filter(F.col("ord") <= G1_POOL - F.col("size")) if system == "g1" else new
+            both = both.unionByName(new.select("query_id", (F.col("size") + F.col("ord")).cast("long").alias("rank"), F.col("node_id").alias("lineage_id"), F.lit(0.0).alias("score"), F.array(F.lit("graph:new")).alias("source_methods"), none.cast("string").alias("graph_edge_type"),
+                                               F.lit("graph").alias("source"), none.cast("long").alias("hybrid_rank"), F.col("hop").alias("graph_distance"), F.array_join("path", " ").alias("graph_path")))
+        both, _ = write_table(both, "candidates")
+        final = self.reranked(queries, both.select(OUT), {} if system == "g2" else None, None).select("query_id", "lineage_id", F.col("rank").alias("final"))
+        return both.withColumnRenamed("rank", "before").join(final, ["query_id", "lineage_id"]).select("query_id", F.col("final").alias("rank"), "lineage_id", "source", "hybrid_rank", "before", "graph_distance", "graph_path", F.round("score", 8).alias("score"))
+
     def answer_contexts(self, queries: DataFrame, mode: str = "hybrid_graph", k: int = 10) -> DataFrame:
         """(query_id, context, refused): what a generator is shown for each query; those without results are refused."""
         r = self.retrieve(queries, mode, k).join(self.chunks.select("lineage_id", "doc_id", "text"), "lineage_id", "left").withColumnRenamed("graph_edge_type", "edge")

@@ -241,3 +241,10 @@ ORACLE = {
     "metadata_completeness": "WITH x AS (SELECT " + " + ".join(f"CASE WHEN {f} IS NULL THEN 1 ELSE 0 END" for f in ("filename", "folder_key", "raw_present", "size_bytes", "page_count", "sha256", "pdf_valid", "multi_column", "has_footnotes", "has_tables", "has_headers", "hyphenation")) + " AS n_missing, " + " + ".join(f"CASE WHEN trim({f}) = '' THEN 1 ELSE 0 END" for f in ("filename", "folder_key", "sha256")) + " AS n_empty FROM document_audits) SELECT n_missing, n_empty, greatest(0, round(1 - (n_missing + n_empty) / 14.0, 6)) AS score, round(1 - (n_missing + n_empty) / 14.0, 6) >= 0.9 AS ok, count(*) AS n FROM x GROUP BY ALL",
     "manifest_cross_check": f"WITH a AS (SELECT DISTINCT lower(trim(doc_id, {c.B})) AS doc_id FROM document_audits), b AS (SELECT DISTINCT lower(trim(doc_id, {c.B})) AS doc_id FROM chunks) SELECT doc_id, 'missing' AS problem FROM a ANTI JOIN b USING (doc_id) UNION ALL SELECT doc_id, 'untracked' FROM b ANTI JOIN a USING (doc_id)",
 }
+ORACLE["benchmark_candidates"] = f"""WITH {c.EDGES}, {c.NODES}, {c.CHUNKS}, v AS (SELECT *, {_DOC('src')} AS sd, {_DOC('dst')} AS td FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+pool AS (SELECT * FROM v WHERE kind IN ('AMENDS', 'APPLIES_TO') OR (kind = 'CROSS_REFERENCES' AND sd <> td)), w AS (SELECT DISTINCT src, dst, kind FROM v WHERE kind IN ('CROSS_REFERENCES', 'AMENDS')),
+r AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM (SELECT DISTINCT src, dst FROM v WHERE kind = 'CROSS_REFERENCES')),
+t AS (SELECT lower(n.term) AS term, v.dst, v.edge_ord FROM v JOIN n ON n.node_id = v.src WHERE v.kind = 'DEFINED_IN' AND length(n.term) >= 4 QUALIFY row_number() OVER (PARTITION BY lower(n.term) ORDER BY v.edge_ord) = 1),
+x AS (SELECT 'single_document' AS family, lineage_id AS target FROM c JOIN n ON n.node_id = c.lineage_id WHERE node_type = 'article' UNION ALL SELECT 'non_relational', dst FROM t UNION ALL SELECT 'one_hop', dst FROM pool UNION ALL SELECT 'relation_direction', src FROM pool UNION ALL
+  SELECT 'two_hop', b.dst FROM w a JOIN w b ON b.src = a.dst WHERE a.src <> b.dst AND {_DOC('a.src')} <> {_DOC('b.dst')} UNION ALL SELECT 'temporal', src FROM v WHERE kind IN ('AMENDS', 'SUPERSEDES') UNION ALL SELECT 'graph_distractor', dst FROM r WHERE k > 1 UNION ALL SELECT 'multi_doc', dst FROM v WHERE kind = 'CROSS_REFERENCES' AND sd <> td)
+SELECT family, count(*) AS n, count(DISTINCT target) AS n_targets FROM x WHERE target IN (SELECT node_id FROM n) GROUP BY 1"""

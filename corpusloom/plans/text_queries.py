@@ -78,6 +78,14 @@ def _mode(mode):
     return run
 
 
+def _system(name):
+    def run(s, d):
+        return _retriever(s, d).frozen(_title_queries(s, d).select("query_id", "text"), name)
+
+    run.__name__ = f"system_{name}"
+    return run
+
+
 def rag_contexts(s, d):
     return _retriever(s, d).answer_contexts(_title_queries(s, d).select("query_id", "text"))
 
@@ -262,7 +270,7 @@ def event_sessions(s, d):
     return inc.sessions(table(s, d, "events")).groupBy("user").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (text_features, table_features, document_titles, search_terms, bm25_topk, bm25_recall, dense_topk, dense_label_metrics, vector_cosine, html_clean, window_samples, line_offsets, structure_marks, recital_counts, structure_map, strategy_mix, syntax_tree, document_chunks, recovered_articles, span_overlap_check, thin_fold_islands, chunk_summary, nearest_interval, answer_scores, parser_scores, node_labels, lineage_parts, graph_from_text, cross_references_from_text, obligation_sentences, weakened_obligations, scenario_pairs, page_flags, row_fingerprint, answer_prompts, missing_embeddings, query_segments, event_windows, event_sessions, rag_contexts, text_graph_nodes, coverage_audit, changed_numbers, *map(_mode, MODES))}
+QUERIES = {f.__name__: f for f in (text_features, table_features, document_titles, search_terms, bm25_topk, bm25_recall, dense_topk, dense_label_metrics, vector_cosine, html_clean, window_samples, line_offsets, structure_marks, recital_counts, structure_map, strategy_mix, syntax_tree, document_chunks, recovered_articles, span_overlap_check, thin_fold_islands, chunk_summary, nearest_interval, answer_scores, parser_scores, node_labels, lineage_parts, graph_from_text, cross_references_from_text, obligation_sentences, weakened_obligations, scenario_pairs, page_flags, row_fingerprint, answer_prompts, missing_embeddings, query_segments, event_windows, event_sessions, rag_contexts, text_graph_nodes, coverage_audit, changed_numbers, *map(_mode, MODES), *map(_system, ("b0", "g1", "g2", "g2_nogc")))}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(fixed.STOP_WORDS))) + "]"
 _TOK = f"list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(translate(coalesce({{0}}, ''), chr(1) || chr(2), '  '), '(' || '\\b\\d{{{{4}}}}/\\d{{{{2,5}}}}(?:/\\w{{{{2,3}}}})?\\b|\\b[A-Z][A-Z0-9]{{{{1,}}}}\\b' || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1) || '[^' || chr(2) || ']+' || chr(2) || '|[A-Za-z]+|\\d+'), lambda t: CASE WHEN NOT starts_with(t, chr(1)) THEN lower(t) WHEN regexp_matches(t, '^.[0-9]') THEN lower(trim(t, chr(1) || chr(2))) ELSE chr(1) || trim(t, chr(1) || chr(2)) END), lambda t: starts_with(t, chr(1)) OR (NOT list_contains({_STOP}, t) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]')))), lambda t: replace(t, chr(1), ''))"
@@ -314,4 +322,12 @@ FROM x, (SELECT '(?i)(Regulation|Directive|Decision)[*_ ]*\\(?[ ]*(EU|EC|EURATOM
     "query_segments": "WITH q AS (SELECT edge_id, min(snippet) AS s FROM graph_edges WHERE snippet IS NOT NULL GROUP BY 1), x AS (SELECT edge_id, list_slice(list_filter(list_transform(string_split(s, '.'), lambda v: trim(v)), lambda v: length(v) BETWEEN 16 AND 399), 1, 3) AS p FROM q) SELECT edge_id AS query_id, generate_subscripts(p, 1) - 1 AS segment, unnest(p) AS text FROM x",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events), y AS (SELECT user_id, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sn FROM x), z AS (SELECT user_id, sn, count(*) AS n FROM y GROUP BY 1, 2) SELECT user_id AS user, count(*) AS n_sessions, max(n) AS longest FROM z GROUP BY 1",
+    "node_labels": f"WITH {c.NODES}, x AS (SELECT *, lower(coalesce(kind, 'node')) AS low, coalesce(nullif(trim(term), ''), nullif(trim(title), '')) AS named FROM n), y AS (SELECT *, trim(regexp_replace(CASE WHEN low = 'article' AND art_number IS NOT NULL THEN 'Article ' || art_number || coalesce(' ' || named, '') ELSE coalesce(named, CASE WHEN low = 'preamble' THEN 'Preamble' END, upper(low[1]) || low[2:] || ' ' || list_last(string_split(node_id, ':'))) END, '\\s+', ' ', 'g')) AS l FROM x) SELECT node_id, CASE WHEN length(l) <= 80 THEN l ELSE rtrim(l[:79]) || '…' END AS label, CASE WHEN kind = 'term' THEN concat_ws(' ', term, doc_id) WHEN kind = 'article' THEN concat_ws(' ', 'Article ' || art_number, title, doc_id) WHEN kind IN ('preamble', 'document', 'entity') THEN concat_ws(' ', title, doc_id) END AS search_text FROM y",
+    "changed_numbers": "WITH x AS (SELECT DISTINCT snippet AS s, '(\\d+)(\\s*(?:%|per\\s+cent|days?|months?|years?|hours?|weeks?|units?|megawatts?|[kMG]W))' AS p FROM graph_edges WHERE snippet IS NOT NULL), y AS (SELECT s, regexp_extract(s, p, 0) AS w, regexp_extract(s, p, 1) AS k, regexp_extract(s, p, 2) AS u FROM x) SELECT s AS snippet, s[:strpos(s, w) - 1] || CAST(CAST(round_even(CAST(k AS DOUBLE) / 2, 0) AS BIGINT) AS VARCHAR) || u || s[strpos(s, w) + length(w):] AS changed FROM y WHERE w <> ''",
+    "page_flags": f"WITH p AS (SELECT lower(trim(doc_id, {c.B})) AS doc_id, page_no, regexp_matches(text, '(?m)^\\s*[(\\[]\\d{{1,2}}[)\\]]\\s+\\S') AS n, regexp_matches(text, '(?m)\\p{{L}}[-‐­¬]\\s*$') AS h, regexp_matches(text, '(?m)\\S {{4,}}\\S.*\\n.*\\S {{4,}}\\S') AS c, regexp_matches(text, '(?m)^\\|.+\\|') AS tb, lower(regexp_extract(text, '^\\s*([^\\n]+)', 1)) AS first FROM chunks WHERE page_no <= 3 AND text IS NOT NULL), hd AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, first FROM p WHERE length(first) BETWEEN 5 AND 90 GROUP BY 1, 2 HAVING count(DISTINCT page_no) > 1)) SELECT doc_id, bool_or(n) AS has_footnotes, doc_id IN (SELECT doc_id FROM hd) AS has_headers, bool_or(h) AS hyphenation, bool_or(c) AS multi_column, bool_or(tb) AS has_tables FROM p GROUP BY doc_id",
 }
+_FOUND = ORACLE["text_features"]
+_INSTRUMENT = _FOUND[_FOUND.index("CASE WHEN regexp_extract(t, i, 1)"):_FOUND.index(" AS instrument")]
+_PATTERNS = _FOUND[_FOUND.index("(SELECT '(?i)(Regulation"):]
+_form = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))".format
+ORACLE["parser_scores"] = f"WITH d AS (SELECT source, coalesce(text, '') AS t, instrument AS want, n_chars FROM documents), f AS (SELECT source, t, want, n_chars, {_INSTRUMENT} AS found FROM d, {_PATTERNS}), m AS (SELECT source, {_form('found')} AS a, {_form('want')} AS b, CASE WHEN n_chars IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - abs(length(t) - n_chars) / CAST(greatest(1, n_chars) AS DOUBLE))) END AS cl FROM f) SELECT source, round(avg(CASE WHEN b = '' THEN 1.0 WHEN a = '' THEN 0.0 WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE 0.0 END), 6) AS instrument_match, round(avg(cl), 6) AS length_closeness, count(*) AS n FROM m GROUP BY 1"

@@ -4,8 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import drop_table, write_table
-
 #: Relations that a graph store takes.
 KINDS = ["CROSS_REFERENCES", "AMENDS", "DEFINED_IN", "APPLIES_TO", "PART_OF", "IMPLEMENTS", "SUPERSEDES"]
 
@@ -36,21 +34,25 @@ def reject_malformed(df: DataFrame, required: list[str], kinds: list[str] | None
 def upsert(path: str, new: DataFrame, keys: list[str], required: list[str] | None = None, kinds: list[str] | None = None) -> None:
     """Idempotent merge of ``new`` into the parquet table at ``path``; the same rows again change nothing.
 
-    The merged table is written aside first, so a lost executor or a failed write leaves the old table whole.
+    The merged table is written once, beside the old one, and the two change places by renames. At any moment the whole
+    old or the whole new table exists at ``path`` or ``path.prev``; the next call puts back what a crash left at ``.prev``.
     """
     spark = new.sparkSession
     reject_malformed(new, required or keys, kinds)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        new.dropDuplicates(keys).write.parquet(path)
-        return
-    staged, aside = write_table(merged(spark.read.parquet(path), new, keys), "upsert")
-    staged.write.mode("overwrite").parquet(path + ".next")
-    fs.delete(p, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(path + ".next"), p)
-    drop_table(spark, aside)
+    here, prev, nxt = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".prev", ".next"))
+    fs = here.getFileSystem(conf)
+    if not fs.exists(here) and fs.exists(prev):
+        fs.rename(prev, here)
+    if not fs.exists(here):
+        merged(new.limit(0), new, keys).write.mode("overwrite").parquet(path + ".next")
+    else:
+        merged(spark.read.parquet(path), new, keys).write.mode("overwrite").parquet(path + ".next")
+        fs.delete(prev, True)
+        fs.rename(here, prev)
+    fs.rename(nxt, here)
+    fs.delete(prev, True)
+    spark.catalog.refreshByPath(path)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -219,6 +219,13 @@ def test_modes(spark):
     assert got["hybrid"][0][0] == "x:article:0" and ("x:article:3", "CROSS_REFERENCES@2hop") in got["hybrid_graph"]
     assert set(got) < set(MODES)
     assert len({x for x, _ in got["hybrid_gr_expand"]}) >= len(got["hybrid_graph"])
+    und = [(x.lineage_id, x.graph_edge_type) for x in r.retrieve(q.filter("query_id = 1"), "neo4j_graph", 5).orderBy("rank").collect()]
+    assert {"x:article:0", "x:article:2"} <= {x for x, _ in und} and all(e is None or "@" in e or e == "seed" for _, e in und)
+    # reranking never changes which chunks a mode finds, and no chunk of the graph alone gets in
+    pools = {m: {x.lineage_id for x in r.retrieve(q.filter("query_id = 1"), m, 5).collect()} for m in ("hybrid", "hybrid_rerank", "hybrid_graph_rerank", "hybrid_gr_1hop", "hybrid_gr_relations")}
+    assert len({frozenset(x) for x in pools.values()}) == 1
+    b0, g1 = (r.frozen(q.filter("query_id = 1"), s).collect() for s in ("b0", "g1"))
+    assert {x.lineage_id for x in b0} <= {x.lineage_id for x in g1} and sorted(x.rank for x in g1) == list(range(1, len(g1) + 1)) and {x.source for x in b0} == {"hybrid"}
     with pytest.raises(ValueError):
         r.retrieve(q, "no_such")
     c = {x.query_id: x.refused for x in r.answer_contexts(q.filter("query_id != 3"), "sparse").collect()}
