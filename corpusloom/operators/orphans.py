@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import norm_key, referred_table
-from ..scale import heavy_keys, lookup, write_table
+from ..scale import carry_max, heavy_keys, lookup, write_table
 
 
 def record_lives(*tables: DataFrame) -> DataFrame:
@@ -27,17 +27,6 @@ def references(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.coalesce(dst, by_number).alias("ref_key"), "recorded_at").filter("ref_key is not null")
 
 
-def merged_lives(lives: DataFrame) -> DataFrame:
-    """Disjoint intervals (ref_key, since, until) of the records of each key; open ends are a far timestamp, a null start the earliest."""
-    far, early = F.lit("9999-12-31").cast("timestamp"), F.lit("0001-01-02").cast("timestamp")
-    x = lives.select("ref_key", F.coalesce("created_at", early).alias("since"), F.coalesce("deleted_at", far).alias("until")).distinct()
-    w = Window.partitionBy("ref_key").orderBy("since", "until")
-    x = x.withColumn("_top", F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("_new", F.when(F.col("_top").isNull() | (F.col("since") > F.col("_top")), 1).otherwise(0))
-    x = x.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("ref_key", "_island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_island")
-
-
 def orphan_references(edges: DataFrame, *tables: DataFrame) -> DataFrame:
     """(edge_id, ref_table, ref_key, recorded_at, reason) of edges whose target is not there, rows sent again once.
 
@@ -67,8 +56,11 @@ def orphan_references(edges: DataFrame, *tables: DataFrame) -> DataFrame:
     sure = hit.filter("has_parent = 0 or has_live = 0").withColumn("reason", F.when(F.col("has_parent") == 0, "missing").otherwise("deleted"))
     maybe = hit.filter("has_parent = 1 and has_live = 1")
     ended = lives.filter("deleted_at is not null").join(suspects.filter("has_live = 1").select("ref_key"), "ref_key", "left_semi")
-    spans = merged_lives(ended).withColumnRenamed("ref_key", "_k")
-    late = maybe.join(spans, (F.col("ref_key") == F.col("_k")) & (F.col("since") <= F.col("recorded_at")) & (F.col("recorded_at") < F.col("until")), "left_anti").withColumn("reason", F.lit("late"))
+    # an ended life holds at recorded_at if, of those that began by then, the last to end ends later; no key has to fit one task
+    stamps = ended.select("ref_key", F.coalesce("created_at", F.lit("0001-01-02").cast("timestamp")).alias("at"), F.lit(0).alias("tag"), F.lit(None).cast(dict(maybe.dtypes)["edge_id"]).alias("edge_id"), F.lit(None).cast("string").alias("ref_table"), F.col("deleted_at").alias("until")).distinct()
+    points = maybe.select("ref_key", F.col("recorded_at").alias("at"), F.lit(1).alias("tag"), "edge_id", "ref_table", stamp.alias("until"))
+    late = carry_max(stamps.unionByName(points), ["ref_key"], ["at", "tag", "edge_id"], "until", "top").filter("tag = 1 and (top is null or top <= at)")
+    late = late.withColumnRenamed("at", "recorded_at").withColumn("reason", F.lit("late"))
     cols = ["edge_id", "ref_table", "ref_key", "recorded_at", "reason"]
     return sure.select(*cols).unionByName(late.select(*cols)).dropDuplicates(["edge_id", "reason"])
 

@@ -118,3 +118,15 @@ def carry_last(df: DataFrame, group: list[str], order: list[str], value: str, ou
     v = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_carry", F.last(F.col(f"_m.{value}"), ignorenulls=True).over(v)).drop("_m")
     return local.join(parts, [*group, "_part"]).withColumn(out, F.coalesce("_local", "_carry")).drop("_part", "_local", "_carry")
+
+
+def carry_max(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the largest ``value`` of the rows up to this one, in the order of ``order`` within each group. As ``carry_last``."""
+    from pyspark.sql import Window
+
+    ranged, _ = write_table(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.max(value).over(w))
+    v = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*group, "_part").agg(F.max(value).alias("_m")).withColumn("_carry", F.max("_m").over(v)).drop("_m")
+    return local.join(parts, [*group, "_part"]).withColumn(out, F.greatest("_local", "_carry")).drop("_part", "_local", "_carry")
