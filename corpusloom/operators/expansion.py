@@ -45,16 +45,21 @@ def two_hop_paths(seeds: DataFrame, edges: DataFrame, real: DataFrame, kinds: li
     Ways are ordered by hop, seed, order of the first edge, order of the second. A middle node need not be real. Seeds
     are never results. ``ord`` ranks the results of a query from 1; ``keep`` cuts there.
     """
-    e = _kinds(edges, kinds).select("src", "dst", "kind", "edge_ord")
+    # of parallel edges, and of the seeds before a middle node, only the first can be part of a first way, so hubs are reduced before they meet
+    e = _kinds(edges, kinds).groupBy("src", "dst").agg(F.min(F.struct("edge_ord", "kind")).alias("m")).select("src", "dst", "m.edge_ord", "m.kind")
     s = seeds.select("query_id", "node_id").distinct()
+    there = real.select("node_id").distinct()
     one = s.join(e, s["node_id"] == e["src"]).select("query_id", F.col("node_id").alias("seed"), F.col("dst").alias("n1"), F.col("kind").alias("k1"), F.col("edge_ord").alias("o1"))
-    first = one.select("query_id", F.col("n1").alias("node_id"), F.lit(1).alias("hop"), "seed", "o1", F.lit(-1).cast("long").alias("o2"), F.array("seed", "k1", "n1").alias("path"), F.array("k1").alias("relations"))
-    ways = first
+    one = one.groupBy("query_id", "n1").agg(F.min(F.struct("seed", "o1", "k1")).alias("m")).select("query_id", "n1", "m.*")
+    none = F.lit(None).cast("string")
+    ways = one.join(there, one["n1"] == there["node_id"], "left_semi").select("query_id", F.col("n1").alias("node_id"), F.lit(1).alias("hop"), "seed", "o1", F.lit(-1).cast("long").alias("o2"), "k1", none.alias("n1"), none.alias("k2"))
     if max_hops > 1:
-        two = one.join(e, one["n1"] == e["src"]).select("query_id", F.col("dst").alias("node_id"), F.lit(2).alias("hop"), "seed", "o1", F.col("edge_ord").alias("o2"), F.array("seed", "k1", "n1", "kind", "dst").alias("path"), F.array_distinct(F.array("k1", "kind")).alias("relations"))
+        to = e.join(there, e["dst"] == there["node_id"], "left_semi")
+        two = one.join(to, one["n1"] == to["src"]).select("query_id", F.col("dst").alias("node_id"), F.lit(2).alias("hop"), "seed", "o1", F.col("edge_ord").alias("o2"), "k1", "n1", F.col("kind").alias("k2"))
         ways = ways.unionByName(two)
-    ways = ways.join(s, ["query_id", "node_id"], "left_anti").join(real.select("node_id").distinct(), "node_id", "left_semi")
-    best = ways.groupBy("query_id", "node_id").agg(F.min(F.struct("hop", "seed", "o1", "o2", "path", "relations")).alias("m")).select("query_id", "node_id", "m.*")
+    ways = ways.join(s, ["query_id", "node_id"], "left_anti")
+    best = ways.groupBy("query_id", "node_id").agg(F.min(F.struct("hop", "seed", "o1", "o2", "k1", "n1", "k2")).alias("m")).select("query_id", "node_id", "m.*")
+    best = best.withColumn("path", F.when(F.col("hop") == 1, F.array("seed", "k1", "node_id")).otherwise(F.array("seed", "k1", "n1", "k2", "node_id"))).withColumn("relations", F.array_distinct(F.array_compact(F.array("k1", "k2"))))
     w = Window.partitionBy("query_id").orderBy("hop", "seed", "o1", "o2", "node_id")
     best = best.withColumn("ord", F.row_number().over(w))
     if keep is not None:
