@@ -23,11 +23,10 @@ _TERMS, _BARE = [re.compile(p) for p in fixed.QUOTED_TERM], re.compile(fixed.BAR
 MENTIONS = "doc_id string, kind string, host string, ref string, instrument string, char_offset int, snippet string, build_order int"
 
 
-def list_members(text: str, at: int, whole: bool = True, most: int = 25) -> list[str]:
-    """Numbers that follow a mention in a list or range; only the first without ``whole``. Ranges give their ends."""
+def list_members(text: str, at: int, whole: bool = True) -> list[str]:
+    """Numbers that follow a mention in a list or range, however long; only the first without ``whole``. Ranges give their ends."""
     out: list[str] = []
-    end = at + 60
-    while len(out) < most and (m := _MORE.match(text, at, end)):
+    while m := _MORE.match(text, at):
         out.append(m[1])
         at = m.end()
         if not whole:
