@@ -543,7 +543,7 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rare_words(pages: DataFrame, trained: Trained) -> DataFrame:
-    """(chunk_id, at, rare): for each page, its words that are beyond the lexicon of all workers but known, or one confusion from such a word.
+    """(doc_key, page_no, w, n, other): for each page, its words that are beyond the lexicon of all workers but known, or one confusion from such a word.
 
     Distinct words are looked up once, in all their forms; words broken at a line's end count in one piece as well.
     """
@@ -552,11 +552,11 @@ def rare_words(pages: DataFrame, trained: Trained) -> DataFrame:
     marked = F.split(F.regexp_replace(F.lower("text"), f"[{BREAKS}][ \\t]*\\n\\s*", "\x01"), "[^\\p{L}\\p{N}|!(\x01]+")
     token = F.col("t")
     words = F.when(token.contains("\x01"), F.concat(F.array(F.translate(token, "\x01", "")), F.split(token, "\x01"))).otherwise(F.array(token))
-    on_page = pages.filter("text is not null").select("chunk_id", "at", F.explode(F.array_distinct(marked)).alias("t")).select("chunk_id", "at", F.explode(words).alias("w")).select("chunk_id", "at", F.rtrim("w", F.lit("!|(")).alias("w"))
+    on_page = pages.filter("text is not null").select("doc_key", "page_no", F.explode(F.array_distinct(marked)).alias("t")).select("doc_key", "page_no", F.explode(words).alias("w")).select("doc_key", "page_no", F.rtrim("w", F.lit("!|(")).alias("w"))
     on_page, _ = write_table(on_page.filter("length(w) > 1 and not w rlike '^[0-9]+$'").join(F.broadcast(head), "w", "left_anti"), "unknown")
     forms = on_page.select("w").distinct().mapInPandas(_variants, "w string, v string, own boolean")
     hits = forms.join(trained.tail.select(F.col("w").alias("v"), "n"), "v").groupBy("w").agg(F.max(F.when(F.col("own"), F.col("n"))).alias("n"), F.max_by("v", F.struct("n", "v")).alias("other"))
-    return on_page.join(hits, "w").groupBy("chunk_id", "at").agg(F.collect_list(F.struct("w", "n", "other")).alias("rare"))
+    return on_page.join(hits, "w").select("doc_key", "page_no", "w", "n", "other")
 
 
 def _zone(text: Column) -> Column:
@@ -572,17 +572,22 @@ def _zone(text: Column) -> Column:
 def pages_with_neighbours(chunks: DataFrame, trained: Trained) -> DataFrame:
     """Pages with the zones of the two pages before and after (of several scans of a neighbour the latest serves), and their rare words.
 
-    Neighbours meet by (doc_id, page_no), so a document of any number of pages is spread over all tasks.
+    Neighbours and words meet the pages by (doc_id, page_no) in one join, so a document of any number of pages is spread
+    over all tasks and texts are shuffled once. Scans of one page share their rare words; a page without doc_id has its own.
     """
     at = F.coalesce("ingested_at", F.lit("0001-01-02").cast("timestamp"))
     pages = chunks.filter("page_no is not null and chunk_id is not null").select("chunk_id", norm_key(F.col("doc_id")).alias("doc_id"), "page_no", "text", at.alias("at"))
-    some = pages.filter("text is not null and doc_id is not null").select("doc_id", "page_no", "at", "chunk_id", _zone(F.col("text")).alias("zone")).groupBy("doc_id", "page_no").agg(F.max_by("zone", F.struct("at", "chunk_id")).alias("zone"))
-    near = some.select("doc_id", F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("d"), (F.col("page_no") - F.col("d")).alias("page_no"), "zone")
-    near = near.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("d", "zone.top", "zone.foot", "zone.firsts", "zone.lasts")).alias("near"))
-    x = pages.join(near, ["doc_id", "page_no"], "left")
-    if trained.tail is None:
-        return x.withColumn("rare", F.lit(None).cast("array<struct<w:string,n:bigint,other:string>>"))
-    return x.join(rare_words(pages, trained), ["chunk_id", "at"], "left")
+    pages = pages.withColumn("doc_key", F.coalesce("doc_id", F.concat(F.lit("\x01"), F.col("chunk_id").cast("string"))))
+    some = pages.filter("text is not null and doc_id is not null").select("doc_key", "page_no", "at", "chunk_id", _zone(F.col("text")).alias("zone")).groupBy("doc_key", "page_no").agg(F.max_by("zone", F.struct("at", "chunk_id")).alias("zone"))
+    near = some.select("doc_key", F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("d"), (F.col("page_no") - F.col("d")).alias("page_no"), "zone")
+    near = near.select("doc_key", "page_no", F.struct("d", "zone.top", "zone.foot", "zone.firsts", "zone.lasts").alias("z"), F.lit(None).cast(RARE).alias("r"))
+    if trained.tail is not None:
+        near = near.unionByName(rare_words(pages, trained).select("doc_key", "page_no", F.lit(None).cast(near.schema["z"].dataType).alias("z"), F.struct("w", "n", "other").cast(RARE).alias("r")))
+    side = near.groupBy("doc_key", "page_no").agg(F.collect_list("z").alias("near"), F.collect_set("r").alias("rare"))
+    return pages.join(side, ["doc_key", "page_no"], "left").drop("doc_key")
+
+
+RARE = "struct<w:string,n:bigint,other:string>"
 
 
 def _rare(rows) -> dict[str, tuple[int | None, str | None]]:
