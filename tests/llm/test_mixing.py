@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing as mx
 
@@ -76,3 +77,40 @@ def test_small_labels_share_a_cell(spark, monkeypatch):
     m = mx.Mix(spark.createDataFrame(docs, D), spark.createDataFrame([("a", 1.0, 2)], T))
     assert set(m.cells["lang"]) == {"en", "de", mx.OTHER} and set(m.cells["topic"]) == {mx.OTHER}
     assert m.records.count() == 80 and m.report.first().n_docs == 80
+
+
+def test_raking_a_table_gives_the_weights_of_the_driver(spark):
+    import random
+
+    rng = random.Random(8)
+    cap = {"a": 1, "b": 2, "c": 5, "d": 0}
+    rows = [(s, f"l{i}", f"t{j}", rng.choice([0, 1, 5, rng.randint(1, 900)]), 1, cap[s]) for s in cap for i in range(5) for j in range(30) if rng.random() < 0.4]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, n_docs long, max_repeats int")
+    total = sum(r[3] for r in rows)
+    aim = {"a": 0.2 * total, "b": 0.1 * total, "c": 0.7 * total, "d": 0.0}
+    got = mx.rake_table(cells, spark.createDataFrame(list(aim.items()), "source string, target_tokens double"), rounds=3).toPandas()
+    assert len(got) == len(rows)
+    assert np.abs(got["weight"] - mx.rake(got, aim, rounds=3)).max() < 1e-9
+
+
+def test_rare_labels_are_raked_by_themselves(spark, monkeypatch):
+    docs = [(i, "word " * (40 if i < 40 else 1 + i % 3), "ab"[i % 2 if i < 40 else i % 5 // 4], f"l{i // 8}" if i >= 40 else ("en", "de")[i // 2 % 2], "k", 0, 0.0) for i in range(80)]
+    docs, tg = spark.createDataFrame(docs, D), spark.createDataFrame([("a", 3.0, 9), ("b", 2.0, 9)], T)
+    full = mx.Mix(docs, tg)
+    monkeypatch.setattr(mx, "MAX_CELLS", 8)
+    m = mx.Mix(docs, tg)
+    assert mx.OTHER in set(m.cells["lang"])  # the driver's view only
+    rows = lambda m: {(r.margin, r.label): (round(r.wanted_tokens, 5), round(r.raked_tokens, 5), r.met) for r in m.margins.collect()}
+    assert rows(m) == rows(full) and {k for n, k in rows(m) if n == "lang"} == {"en", "de", "l5", "l6", "l7", "l8", "l9"}
+    assert sorted(m.records.collect()) == sorted(full.records.collect()) and sorted(m.report.collect()) == sorted(full.report.collect())
+
+
+def test_a_source_of_many_small_cells_is_drawn_whole(spark):
+    docs = [(i, "word " * (1 + i % 4), "ab"[i % 3 == 0], "en", f"t{i}", 0, 0.0) for i in range(300)]
+    docs, tg = spark.createDataFrame(docs, D), spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 3)], T)
+    m = mx.Mix(docs, tg)
+    drawn = {r.source: r.t for r in m.records.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).collect()}
+    longest = m.sizes.agg(F.max("n_tokens")).first()[0]
+    goal = m.goal.set_index("source")["raked_tokens"]
+    assert all(abs(drawn[s] - goal[s]) <= longest for s in "ab")
+    assert sorted(m.records.collect()) == sorted(mx.Mix(docs.repartition(5), tg).records.collect())
