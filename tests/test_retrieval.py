@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import expansion as ex
 from corpusloom.operators import retrieval as rt
@@ -39,6 +40,30 @@ def test_bm25_against_brute_force(spark):
     assert not any(q in (2, 3) for q, _ in got)
 
 
+def test_search_forms_no_pairs_outside_the_workers(spark):
+    rng = random.Random(5)
+    docs = [(f"d{i:03}", " ".join(rng.choice(["market", "grid", "tariff", "EU", "2016/679"]) for _ in range(8))) for i in range(200)] + [(f"e{i:03}", "other words") for i in range(600)]
+    queries = [(i, ["market grid", "grid market", "EU tariff", "2016/679"][i % 4]) for i in range(40)]
+    index = rt.InvertedIndex(spark.createDataFrame(docs, "lineage_id string, text string").repartition(3))
+    assert {r.lineage_id: r.dl for r in index.postings.collect()} == {k: len(t.split()) for k, t in docs}  # a row for each document
+    q = spark.createDataFrame(queries, "query_id int, text string")
+    got, by = {}, {}
+    for block in (4096, 1):
+        got[block] = sorted((r.query_id, r.rank, r.lineage_id, r.score) for r in index.search(q, 3, block).collect())
+    assert got[4096] == got[1] and len(got[1]) == 120
+    for i, rank, key, score in got[1]:
+        by.setdefault(i % 4 or 1, set()).add((rank, key, score))
+    assert [len(by[k]) for k in (1, 2, 3)] == [3, 3, 3]  # the same terms give the same list
+
+
+def test_terms_of_workers_are_those_of_the_plan(spark):
+    from corpusloom.functions import text as T
+
+    texts = ["The EU-wide TSO shall apply 2016/679/EU and 5 A b X2 notices of Member States, (EU) 2019/943.", "Directive é market\u0001x\u0002 no 7", "", None, "A1 AA a1 1a 12/34 2020/12"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.raw_tokens(F.col("t")).alias("raw"), T.tokenize(F.col("t")).alias("terms")).collect():
+        assert [t for w in r.raw if (t := T.search_term(w)) is not None] == r.terms
+
+
 def test_dense_against_brute_force(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 8))
