@@ -257,6 +257,30 @@ def test_modes(spark):
     assert c == {1: False, 2: True}
 
 
+def test_queries_of_the_same_text_are_one_search(spark):
+    from corpusloom.operators import context as cx
+    from corpusloom.operators.modes import Retriever
+
+    texts = ["capacity market notice", "tariff notice of the operator", "unrelated words entirely", "penalty calendar"]
+    chunks = spark.createDataFrame([(f"x:article:{i}", "x", t, 10 * i, 10 * i + 9) for i, t in enumerate(texts)], "lineage_id string, doc_id string, text string, span_start int, span_end int")
+    nodes = spark.createDataFrame([(f"x:article:{i}", "article", "x", str(i), f"T{i}", None) for i in range(4)], "node_id string, kind string, doc_id string, art_number string, title string, term string")
+    shown = []
+
+    def reranker(pool):
+        shown.append({r.query_id for r in pool.collect()})
+        return cx.lexical_order(pool)
+
+    r = Retriever(chunks, nodes, graph(spark, [("x:article:0", "x:article:2"), ("x:article:2", "x:article:3")]), reranker=reranker)
+    q = spark.createDataFrame([(i, ["capacity market", "penalty", None][i % 3]) for i in range(9)], "query_id int, text string")
+    for run in (lambda: r.retrieve(q, "hybrid_gr_1hop", 5), lambda: r.frozen(q, "g2")):
+        lists = {}
+        for x in run().orderBy("query_id", "rank").collect():
+            lists.setdefault(x.query_id, []).append(tuple(x)[1:])
+        assert lists[0] == lists[3] == lists[6] != lists[1] == lists[4] == lists[7] and set(lists) == {0, 1, 3, 4, 6, 7}
+    assert shown == [{0, 1}, {0, 1}]
+    assert {x.query_id: x.refused for x in r.answer_contexts(q).collect()} == {i: i % 3 == 2 for i in range(9)}
+
+
 def test_expanded_pool_takes_two_hops_and_chooses_in_order(spark):
     from corpusloom.operators.modes import Retriever
 
