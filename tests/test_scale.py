@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.scale import carry_last, heavy_keys, lookup, running_totals, write_table
+from corpusloom.scale import carry_last, heavy_keys, likely, lookup, running_totals, write_table
 
 
 def test_lookup_keeps_all_rows_with_hot_keys(spark):
@@ -32,3 +32,11 @@ def test_running_totals_and_carry_against_brute_force(spark):
 def test_written_tables_are_read_back(spark):
     t, path = write_table(spark.range(10), "test")
     assert t.count() == 10 and "corpusloom/test-" in path
+
+
+def test_likely_rows_hold_all_of_the_keys(spark):
+    rows = spark.createDataFrame([(f"k{i % 50}", i) for i in range(500)] + [(None, 1)], "k string, i int")
+    keys = spark.createDataFrame([("k1",), ("k2",), ("absent",), (None,)], "key string")
+    assert {r.k for r in likely(rows, "k", keys).collect()} - {None} == {"k1", "k2"}
+    assert likely(rows, "k", keys.limit(1)).filter("k = 'k1'").count() == 10
+    assert likely(rows, "k", keys, most=1).count() == 501

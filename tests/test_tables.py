@@ -146,6 +146,15 @@ def test_context_paths_snippets_and_budgets(spark):
     assert cx.context_lines(q.limit(0), e, names).count() == 0 == cx.context_lines(q, e.limit(0), names).count()
 
 
+def test_paths_leave_a_middle_node_pruned(spark):
+    # each middle node hands on three ends, among them the best whatever other ways lead to them
+    q = spark.createDataFrame([(1, "a", "x3 storage")], "query_id int, lineage_id string, question string")
+    rows = [("a", f"m{i}", "AMENDS", None, i) for i in range(3)] + [(f"m{i}", f"e{j:02d}", "AMENDS", "storage" if j == 7 - i else None, 10 + 10 * i + j) for i in range(3) for j in range(9)]
+    e = spark.createDataFrame(rows, "src string, dst string, kind string, snippet string, edge_ord long")
+    names = spark.createDataFrame([(k, "chapter", k.upper(), None, None) for k in {x for r in rows for x in r[:2]}], "node_id string, kind string, title string, term string, art_number string")
+    assert [x for x in cx.context_lines(q, e, names).first().context.split("\n") if x.startswith("VIA")] == [f'VIA M{i} → E0{7 - i} — "storage"' for i in range(3)]
+
+
 def test_benchmark(spark):
     H = "array<struct<src:string,kind:string,dst:string>>"
     cands = spark.createDataFrame([("f1", "1", "q1", "t1", []), ("f1", "2", "q2", "t2", []), ("f2", "1", "q3", "t1", []), ("f2", "2", "q4", "t3", [("a", "K", "t3")])], f"family string, order_key string, question string, target string, path {H}")
